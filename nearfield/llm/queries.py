@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from nearfield.llm import exact_dedup
+from nearfield.llm import exact_dedup, mixing, pieces
 
 QUERIES = {
+    "op2_pieces": pieces.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op5_mixing": mixing.query,
 }
 
 ORACLE_SQL = {
