@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from nearfield.llm import exact_dedup, mixing, pieces
+from nearfield.llm import exact_dedup, mixing, near_dup, pieces
 
 QUERIES = {
     "op2_pieces": pieces.query,
     "op3_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
+    "op6_near_dup": near_dup.query,
 }
 
 ORACLE_SQL = {
