@@ -8,6 +8,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,21 +62,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back.
+def materialise(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back. arrow_rows: rows of an Arrow batch meanwhile.
 
     The lineage is cut there: after the loss of an executor Spark reads the table again instead of
     computing what came before. The table is removed when the driver ends, or by :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/nearfield-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_batches(spark, arrow_rows):
+        df.write.parquet(path)
     _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._nearfield_path = path
     return out
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Rows of an Arrow batch for the actions within; the session's own setting holds again after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables of :func:`materialise` that no later plan reads."""
     for t in tables:
