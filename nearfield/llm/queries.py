@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from nearfield.llm import exact_dedup, mixing, near_dup, pieces
+from nearfield.llm import exact_dedup, language, mixing, near_dup, pieces, quality
 
 QUERIES = {
+    "op1_language": language.query,
     "op2_pieces": pieces.query,
     "op3_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op6_near_dup": near_dup.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL = {
