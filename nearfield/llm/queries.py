@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearfield.llm import exact_dedup, language, mixing, near_dup, pieces, quality
+from nearfield.llm import exact_dedup, language, mixing, near_dup, neighbours, pieces, quality
 
 QUERIES = {
     "op1_language": language.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op6_near_dup": near_dup.query,
+    "op8_neighbours": neighbours.query,
     "op10_quality": quality.query,
 }
 
