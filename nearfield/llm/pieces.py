@@ -6,8 +6,8 @@ after another only if re-merging the two gives just these two; where none fits,
 failed in a bitfield, step back and take the next shorter prefix. Longest matches of all positions come
 from one Aho-Corasick pass over the reversed text, which is linear in its length.
 
-A text is first cut where no piece can span: before a run of the white space mark, and around characters
-that no piece holds, which become bytes. Results of short cuts are kept in a bounded table.
+A text is first cut where no piece can span: before a run of the white space mark, around white space
+that no piece holds, and between a letter and a character that follows a letter in no piece. Results of short cuts are kept in a bounded table.
 
 Defined cases. A null text counts as empty; an empty text has no ids. Characters without a piece are
 encoded as the bytes of their UTF-8. Rows are independent, so ties and repeated rows get equal results.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +30,7 @@ from nearfield.session import ship
 
 MARK = "▁"
 #: Entries that the table of results, and that of pairs, may hold; each is emptied when full.
-TABLE = 150_000
+TABLE = 500_000
 #: Longer cuts are not kept.
 SHORT = 48
 
@@ -60,6 +61,7 @@ class Pieces:
         self.name = {i: p for p, i in self.id.items()}
         #: Pieces that merging reaches; others never appear in an encoding.
         reached = {p for p in self.id if len(p) == 1 or self.merge(list(p)) == [p]}
+        self.whole = {p: [self.id[p]] for p in reached}
         self.automaton = ahocorasick.Automaton()
         for p in reached:
             self.automaton.add_word(p[::-1], self.id[p])
@@ -68,13 +70,25 @@ class Pieces:
         self.shorter: list[int] = [-1] * len(self.text)
         for p in reached:
             self.shorter[self.id[p]] = next((self.id[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in reached), -1)
-        held = {c for p in self.id for c in p}
-        inside = any(MARK in p.lstrip(MARK) for p in self.id)
-        cuts = "".join(c for c in "\n\t\r\x0b\x0c" if c not in held)
-        self.cut = re.compile(f"{MARK}*[^{MARK}{re.escape(cuts)}]+|{MARK}+|[{re.escape(cuts)}]" if cuts and not inside else f"{MARK}*[^{MARK}]+|{MARK}+" if not inside else "(?s:.+)").findall
+        self.cut = re.compile(self._cuts()).findall
         self.pairs: dict[tuple[int, int], bool] = {}
         self.table = _Table(self)
 
+    def _cuts(self) -> str:
+        """A pattern of the parts of a text across whose ends no piece spans."""
+        if any(MARK in p.lstrip(MARK) for p in self.id):
+            return "(?s:.+)"
+        held = {c for p in self.id for c in p}
+        alone = re.escape("".join(c for c in "\n\t\r\x0b\x0c" if c not in held)) or MARK
+        letter = "[" + "".join(re.escape(c) for c in sorted(held) if c.isalpha()) + "]"
+        joined = {m[1] for p in self.id for m in re.finditer(f"(?<={letter})(.)", p, re.S)}
+        #: No piece has one of these after a letter.
+        ends = re.escape("".join(sorted(c for c in held if not c.isalpha() and c != MARK and c not in joined)))
+        other = f"[^{letter[1:-1]}{MARK}{alone}]"
+        on = f"(?:[^{letter[1:-1]}{MARK}{alone}{ends}]{other}*+)?"
+        words = f"(?:{letter}++{on})++"
+        return f"{MARK}*+(?:{words}|{other}++(?:{words})?)|{MARK}++|[{alone}]"
+
     def merge(self, parts: list[str]) -> list[str]:
         """Best pair first, leftmost among equals: the library's own order, for short texts."""
         rank = self.rank
@@ -100,6 +114,9 @@ class Pieces:
 
     def ids_of(self, cut: str) -> list[int]:
         """Ids of a text in which white space is marked already."""
+        whole = self.whole.get(cut)
+        if whole is not None:
+            return whole
         n = len(cut)
         longest = [-1] * n
         for end, piece in self.automaton.iter(cut[::-1]):
@@ -164,6 +181,8 @@ class Pieces:
 
     def pieces_to_text(self, ids: list[int]) -> str:
         """Text of ids without the removal of the first space; bytes that are no UTF-8 become U+FFFD each."""
+        if not any(map(self.bytes.__contains__, ids)):
+            return "".join([self.text[i] for i in ids])
         out, raw = [], bytearray()
         for i in [*ids, None]:
             if i is not None and i in self.bytes:
@@ -196,6 +215,10 @@ def _decode_bytes(raw: bytes) -> str:
     return "".join(out)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Table(dict):
     """Results of cuts: ids as bytes, and their text."""
 
@@ -205,7 +228,7 @@ class _Table(dict):
 
     def __missing__(self, cut: str) -> tuple[bytes, str]:
         ids = self.pieces.ids_of(cut)
-        out = np.array(ids, "<u4").tobytes(), self.pieces.pieces_to_text(ids)
+        out = _packed(ids), self.pieces.pieces_to_text(ids)
         if len(cut) <= SHORT:
             if len(self) >= TABLE:
                 self.clear()
