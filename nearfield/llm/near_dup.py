@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.components import components
-from nearfield.llm.runs import complete_runs
+from nearfield.llm.runs import complete_runs, trimmed
 from nearfield.llm.shingles import MinHash, mix64, set_digests, shingle_hashes
 from nearfield.session import discard, materialise, ship
 
@@ -49,6 +49,8 @@ SMALL = 64
 LOOK, MISS = 16, 1e-5
 #: Documents in a block, and hub documents that each block of a large cluster shares, about.
 BLOCK, HUBS = 256, 16
+#: Rows of an Arrow batch where rows hold texts or sets.
+ARROW_ROWS = 1000
 
 
 @lru_cache
@@ -234,7 +236,7 @@ def _run_blocks(rows: DataFrame, percent: int) -> DataFrame:
     columns = ["cluster", "block", "part", "doc_id", "component", "side", "sig", "members"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*columns).repartition(n, "cluster", "block", "part").sortWithinPartitions("cluster", "block", "part")
-    return dealt.mapInArrow(_block_edges(percent), "a long, b long")
+    return dealt.mapInArrow(trimmed(_block_edges(percent)), "a long, b long")
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +245,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ship(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = materialise(texts.mapInArrow(_profile(words), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"), "near-profile")
+    profile = materialise(texts.mapInArrow(trimmed(_profile(words)), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"), "near-profile", ARROW_ROWS)
     sets = ["set_a", "set_b", "n_shingles"]
     classes = materialise(profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("doc_id")), "near-classes")
     reps = materialise(profile.select("doc_id", "n_shingles", "sig", "bands").join(classes.select("doc_id").distinct(), "doc_id", "left_semi"), "near-reps")
@@ -252,7 +254,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     keys = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
     members = materialise(banded.join(keys, "band"), "near-members")
     signed = members.where(f"n <= {SMALL}").select("band", "doc_id").join(reps.select("doc_id", "sig"), "doc_id")
-    forests = signed.select("band", "doc_id", "sig").repartition(partitions, "band").sortWithinPartitions("band").mapInArrow(_band_edges(percent / 100), "a long, b long")
+    forests = signed.select("band", "doc_id", "sig").repartition(partitions, "band").sortWithinPartitions("band").mapInArrow(trimmed(_band_edges(percent / 100)), "a long, b long")
     stars = members.where(f"n > {SMALL} AND doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     clusters = components(forests.unionByName(stars), "near-clusters").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
@@ -260,12 +262,12 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("long")
     dealt = clusters.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("own", F.floor(_share(1) * F.col("blocks")).cast("long"))
     dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id")
-    pool = materialise(dealt.join(texts, "doc_id").mapInArrow(_sets(words), "doc_id long, cluster long, size long, blocks long, own long, sig binary, members binary"), "near-pool")
+    pool = materialise(dealt.join(texts, "doc_id").mapInArrow(trimmed(_sets(words)), "doc_id long, cluster long, size long, blocks long, own long, sig binary, members binary"), "near-pool", ARROW_ROWS)
     # Each document is alone at first: its id is its component.
     everywhere = (F.col("blocks") > 1) & (_share(2) < F.lit(float(HUBS)) / F.col("size"))
     first = pool.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))))
     first = first.select("*", F.lit(0).cast("long").alias("part"), F.col("doc_id").alias("component"), F.lit(0).alias("side"))
-    links = materialise(_run_blocks(first, percent), "near-links")
+    links = materialise(_run_blocks(first, percent), "near-links", ARROW_ROWS)
 
     large = pool.where("blocks > 1")
     if large.limit(1).count():
@@ -277,7 +279,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         fixed = known.withColumn("block", F.col("own")).withColumn("part", every("parts")).withColumn("side", F.lit(0))
         roaming = known.where("component <> largest").withColumn("block", every("blocks")).withColumn("part", F.floor(_share(3) * F.col("parts")).cast("long")).withColumn("side", F.lit(1))
-        more = materialise(_run_blocks(fixed.unionByName(roaming), percent), "near-more")
+        more = materialise(_run_blocks(fixed.unionByName(roaming), percent), "near-more", ARROW_ROWS)
         links = links.unionByName(more)
 
     found = components(links, "near-found").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 
 
+def trim() -> None:
+    """Returns freed memory to the system. Spark keeps Python workers, and what one stage freed would count against the next."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run):
+    """A function over Arrow batches that trims memory after each batch that it gives."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, b in enumerate(run(batches)):
+            yield b
+            if n % 16 == 15:
+                trim()
+        trim()
+
+    return out
+
+
 def complete_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(rows, starts): tables that hold whole runs of the key columns, which are long and sorted, and where each run starts.
 
