@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from nearfield.llm import exact_dedup, language, mixing, near_dup, neighbours, pieces, quality
+from nearfield.llm import exact_dedup, hosts, language, mixing, near_dup, neighbours, pieces, private, quality
 
 QUERIES = {
     "op1_language": language.query,
     "op2_pieces": pieces.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_private": private.query,
     "op5_mixing": mixing.query,
     "op6_near_dup": near_dup.query,
+    "op7_hosts": hosts.query,
     "op8_neighbours": neighbours.query,
     "op10_quality": quality.query,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op7_hosts": hosts.SQL,
 }
