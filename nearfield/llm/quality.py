@@ -288,6 +288,21 @@ def label_lines(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"doc_id {id_type}, line long, good boolean, p_good double")
 
 
+def keep(docs: DataFrame, field: Field, threshold: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches the threshold."""
+    ship(docs.sparkSession)
+    least = THRESHOLD if threshold is None else threshold
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                scores, _ = field.scores(line_features(b.column(at).to_pylist()))
+                yield b.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
+
+
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
