@@ -255,7 +255,11 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = materialise(banded.join(keys, "band"), "near-members")
     signed = members.where(f"n <= {SMALL}").select("band", "doc_id").join(reps.select("doc_id", "sig"), "doc_id")
     forests = signed.select("band", "doc_id", "sig").repartition(partitions, "band").sortWithinPartitions("band").mapInArrow(trimmed(_band_edges(percent / 100)), "a long, b long")
-    stars = members.where(f"n > {SMALL} AND doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # A document in several large keys hangs on one of their centres; that the centres belong together is said once, not by each document.
+    hung = members.where(f"n > {SMALL}").groupBy("doc_id").agg(F.sort_array(F.collect_set("first")).alias("centres"))
+    spokes = hung.select(F.col("centres")[0].alias("a"), F.col("doc_id").alias("b"))
+    rims = hung.select(F.col("centres")[0].alias("a"), F.explode("centres").alias("b")).distinct()
+    stars = spokes.unionByName(rims).where("a <> b")
     clusters = components(forests.unionByName(stars), "near-clusters").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
