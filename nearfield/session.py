@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
+#: Bytes of an Arrow batch to a Python worker.
+BATCH_BYTES = 8 << 20
+
 _shipped: set[str] = set()
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -39,10 +42,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes the package importable in Python workers, once per application.
+    """Makes the package importable in Python workers, once per application, and bounds their batches by size.
 
-    The zip goes through Spark's own file server, so that no folder need be shared.
+    The zip goes through Spark's own file server, so that no folder need be shared. Rows with whole texts are wide: a batch of the
+    default 64 MB exists several times, in the JVM and in its worker. A smaller size that the session names itself stays.
     """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "67108864"):
+        spark.conf.set(key, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
