@@ -29,7 +29,8 @@ from pyspark.sql.window import Window
 
 from nearfield.llm.quality import remainder
 from nearfield.llm.runs import trimmed
-from nearfield.session import ship
+from nearfield.sampling import uniform
+from nearfield.session import materialise, ship
 
 SIZES = (2, 3, 4)
 BUCKETS, WIDTH = 1 << 16, 16
@@ -192,10 +193,14 @@ def labelled_sample(docs: DataFrame, where, id_col: str = "doc_id", text_col: st
     """Texts and languages of the sample that trains. ``where`` picks ids."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & where(F.col("doc_id")))
-    languages = d.agg(F.count_distinct("lang")).first()[0]
-    quota = max(1, min(PER_LANGUAGE, SAMPLE // max(1, languages)))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    own = d.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= quota).select("doc_id", "lang")
+    # Rarer languages than the SAMPLE most frequent have no place in the sample, so this is a bounded table.
+    counts = materialise(d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE), "languages")
+    quota = max(1, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
+    draw = uniform("doc_id")
+    # A threshold on the hash leaves little more than the quota of each language, so no task ranks a whole language.
+    own = d.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(draw * F.col("n") < F.lit(quota + 8 * quota**0.5 + 50))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
+    own = own.withColumn("place", place).where(F.col("place") <= quota).select("doc_id", "lang")
     # At most SAMPLE ids and languages are broadcast, and as many texts come to the driver.
     own = own.distinct().limit(SAMPLE)
     rows = d.join(F.broadcast(own), ["doc_id", "lang"]).select("doc_id", "lang", "text").toPandas()
