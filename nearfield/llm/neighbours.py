@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.llm.runs import complete_runs, trimmed
+from nearfield.sampling import smallest_hashes
 from nearfield.session import materialise, ship
 
 TREES, BITS = 64, 24
@@ -196,7 +197,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # A bounded sample, of one dimension, to choose how many candidates are enough.
-    sample = own.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"].map(np.asarray)
+    sample = smallest_hashes(own.select("vec_id", "v"), ["vec_id"], SAMPLE, n).toPandas()["v"].map(np.asarray)
     dim = sample.map(len).mode()[0]
     share = choose_share(np.stack(sample[sample.map(len) == dim]), k, largest)
     shards, blocks = -(-n // SHARD), max(1, -(-asking // QUERIES))

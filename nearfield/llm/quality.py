@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.runs import trimmed
 from nearfield.llm.shingles import mix64, word_hashes
+from nearfield.sampling import smallest_hashes
 from nearfield.session import ship
 
 #: Labelled documents that training takes at most.
@@ -250,7 +251,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, where, sample: int = SAM
     """Texts and labels of at most ``sample`` documents, those with the smallest hashes of their ids. ``where`` picks ids."""
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & where(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bound of what is broadcast and collected
+    own = smallest_hashes(own, ["doc_id"], sample)  # the bound of what is broadcast and collected
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "doc_id").toPandas()
     rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable")
     return rows["text"].tolist(), rows["label"].to_numpy(np.int64)
