@@ -7,8 +7,8 @@ next. All but the last give the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from nearfield.bitmap import anti_join
 from nearfield.llm import exact_dedup, mixing, near_dup, pieces, quality
 from nearfield.session import materialise
 
@@ -21,21 +21,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each normalised text."""
-    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id")
-    return docs.join(materialise(gone, "pipeline-exact"), "doc_id", "left_anti").select(docs.columns)
+    return anti_join(docs, exact_dedup.exact_dedup(docs).where("NOT kept"), "doc_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group linked at 0.8 over shingles of five words."""
-    gone = near_dup.near_components(docs).where("NOT kept").select("doc_id")
-    return docs.join(materialise(gone, "pipeline-near"), "doc_id", "left_anti").select(docs.columns)
+    return anti_join(docs, near_dup.near_components(docs).where("NOT kept"), "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies <> 1").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    out = docs.join(materialise(copies, "pipeline-mix"), "doc_id", "left")
-    return out.withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

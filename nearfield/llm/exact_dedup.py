@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.bitmap import bitmap, candidates
 from nearfield.session import materialise, ship
 
 #: Bits of a fingerprint that filters hold. False matches only cost a byte comparison.
@@ -161,7 +162,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = materialise(repeated_fingerprints(slim.select("hash"), slim.count()), "exact-repeated")
     # The bytes decide: rows group by their whole normalised text, after a partial count in each partition.
     same = (
-        texts.withColumn("fingerprint", _fingerprint(F.col("norm")))
+        candidates(texts.withColumn("fingerprint", _fingerprint(F.col("norm"))), "fingerprint", bitmap(repeated, "fingerprint"))
         .join(repeated.select("fingerprint"), "fingerprint", "left_semi")
         .groupBy("norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -128,5 +128,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.join(info, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs.
+
+    A source whose documents are all taken equally often says so for all; only documents of the others look up their own number.
+    """
+    mixed = materialise(mix(docs, id_col, text_col, source_col, **options), "mix-taken")
+    by_source = mixed.where("size > 0").groupBy("source").agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"))
+    by_source = materialise(by_source.withColumnRenamed("source", "_source"), "mix-sources")
+    own = mixed.join(by_source.where("_low < _high").select("_source"), F.col("source").eqNullSafe(F.col("_source")), "left_semi")
+    own = materialise(own.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "mix-own")
+    known = docs.join(by_source, F.col(source_col).cast("string").eqNullSafe(F.col("_source")), "left")
+    empty = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    known = known.withColumn("_low", F.when(empty, F.lit(0)).otherwise(F.col("_low"))).withColumn("_high", F.when(empty, F.lit(0)).otherwise(F.col("_high")))
+    alike = known.where("_low = _high").withColumn("_copies", F.col("_low"))
+    apart = known.where("_low < _high").join(own, F.col(id_col) == F.col("_id"))
+    each = alike.select(*docs.columns, "_copies").unionByName(apart.select(*docs.columns, "_copies")).where("_copies > 0")
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

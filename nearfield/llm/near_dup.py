@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.bitmap import bitmap, candidates
 from nearfield.llm.components import components
 from nearfield.llm.runs import complete_runs, trimmed
 from nearfield.llm.shingles import MinHash, mix64, set_digests, shingle_hashes
@@ -266,7 +267,9 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("long")
     dealt = clusters.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("own", F.floor(_share(1) * F.col("blocks")).cast("long"))
     dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id")
-    pool = materialise(dealt.join(texts, "doc_id").mapInArrow(trimmed(_sets(words)), "doc_id long, cluster long, size long, blocks long, own long, sig binary, members binary"), "near-pool", ARROW_ROWS)
+    # Texts whose id is in no cluster do not take part in the shuffle.
+    wanted = candidates(texts, "doc_id", bitmap(clusters, "doc_id"))
+    pool = materialise(dealt.join(wanted, "doc_id").mapInArrow(trimmed(_sets(words)), "doc_id long, cluster long, size long, blocks long, own long, sig binary, members binary"), "near-pool", ARROW_ROWS)
     # Each document is alone at first: its id is its component.
     everywhere = (F.col("blocks") > 1) & (_share(2) < F.lit(float(HUBS)) / F.col("size"))
     first = pool.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))))
