@@ -34,6 +34,11 @@ def iso_utc(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def local_display(iso: Column, zone: str) -> Column:
+    """An ISO time in UTC as it reads in a time zone."""
+    return F.date_format(F.from_utc_timestamp(F.to_timestamp(iso, "yyyy-MM-dd'T'HH:mm:ss'Z'"), zone), "yyyy-MM-dd HH:mm")
+
+
 def humane_micros(us: Column) -> Column:
     return F.when(us < 1000, F.format_string("%.0f us", us.cast("double"))).when(us < 1_000_000, F.format_string("%.2f ms", us / 1000.0)).otherwise(F.format_string("%.2f s", us / 1_000_000.0))
 

@@ -481,3 +481,58 @@ def bench_pricing(spark, d):
     """The statistics of a large measurement table, for benchmarks."""
     x = table(spark, d, "lineitem")
     return x.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.round(F.percentile("l_extendedprice", 0.95), 2).alias("p95_price"), F.count(F.lit(1)).alias("n"))
+
+
+_INTERP = "round(CASE WHEN min(recall) >= 0.5 THEN arg_min(qps, (recall, qps)) WHEN max(recall) < 0.5 THEN arg_max(qps, (recall, qps)) ELSE max(CASE WHEN x0 < 0.5 AND recall >= 0.5 THEN y0 + (0.5 - x0) * (qps - y0) / (recall - x0) END) END, 6)"
+
+
+@query(
+    "cpu_vs_gpu_table",
+    f"WITH {_RAW}, p AS (SELECT device, scheme, qp, avg(recall) AS recall, 1000 / avg(latency_ms) AS qps FROM raw GROUP BY ALL), l AS (SELECT *, lag(recall) OVER w AS x0, lag(qps) OVER w AS y0 FROM p WINDOW w AS (PARTITION BY device, scheme ORDER BY recall, qps)), "
+    f"i AS (SELECT device, scheme, {_INTERP} AS qps FROM l GROUP BY device, scheme) SELECT coalesce(c.scheme, g.scheme) AS scheme, c.qps AS cpu_qps, g.qps AS gpu_qps, round(g.qps / c.qps, 4) AS ratio FROM (SELECT * FROM i WHERE device = 'cpu') c FULL OUTER JOIN (SELECT * FROM i WHERE device = 'gpu') g ON c.scheme = g.scheme",
+)
+def cpu_vs_gpu_table(spark, d):
+    """Throughput at one recall on both devices, side by side."""
+    p = raw(spark, d).groupBy("device", "scheme", "qp").agg(F.avg("recall").alias("recall"), (F.lit(1000.0) / F.avg("latency_ms")).alias("qps"))
+    at = rounded(a.interpolated(p, ["device", "scheme"], 0.5), "qps")
+    both = a.side_by_side(at.where("device = 'cpu'"), at.where("device = 'gpu'"), "scheme", ("cpu", "gpu"), "qps")
+    return rounded(both.withColumn("ratio", F.col("gpu_qps") / F.col("cpu_qps")), "ratio", digits=4)
+
+
+@query("cross_machine_latency", f"WITH {_RUNS} SELECT machine_id, device, threads, count(*) AS runs, round(avg(build_s), 4) AS mean, round(median(build_s), 4) AS p50 FROM runs WHERE status = 'complete' GROUP BY machine_id, device, threads")
+def cross_machine_latency(spark, d):
+    s = runs(spark, d).where("status = 'complete'").groupBy("machine_id", "device", "threads").agg(F.count(F.lit(1)).alias("runs"), F.avg("build_s").alias("mean"), F.percentile("build_s", 0.5).alias("p50"))
+    return rounded(s, "mean", "p50", digits=4)
+
+
+@query("build_time_summary", f"WITH {_RUNS}, c AS (SELECT scheme, machine_id, max(run_id) AS run_id, arg_max(build_s, run_id) AS build_s FROM runs WHERE NOT cache_hit AND status = 'complete' GROUP BY scheme, machine_id) SELECT scheme, count(*) AS machines, round(min(build_s), 4) AS fastest, round(max(build_s), 4) AS slowest, arg_min(machine_id, (build_s, machine_id)) AS machine_id FROM c GROUP BY scheme")
+def build_time_summary(spark, d):
+    cold = runs(spark, d).where("NOT cache_hit AND status = 'complete'").groupBy("scheme", "machine_id").agg(F.max_by("build_s", "run_id").alias("build_s"))
+    s = cold.groupBy("scheme").agg(F.count(F.lit(1)).alias("machines"), F.min("build_s").alias("fastest"), F.max("build_s").alias("slowest"), F.min_by("machine_id", F.struct("build_s", "machine_id")).alias("machine_id"))
+    return rounded(s, "fastest", "slowest", digits=4)
+
+
+@query("run_inventory", f"WITH {_RUNS} SELECT scheme, status, count(*) AS runs, count(DISTINCT machine_id) AS machines, max(run_id) AS newest, strftime(max(started_at), '%Y-%m-%d %H:%M') AS last_start FROM runs GROUP BY scheme, status")
+def run_inventory(spark, d):
+    return runs(spark, d).groupBy("scheme", "status").agg(
+        F.count(F.lit(1)).alias("runs"), F.count_distinct("machine_id").alias("machines"), F.max("run_id").alias("newest"), F.date_format(F.max("started_at"), "yyyy-MM-dd HH:mm").alias("last_start")
+    )
+
+
+@query("reservoir_sample", "SELECT doc_id, lang FROM documents ORDER BY ((doc_id + 42) * 2654435761) % 4294967296, doc_id LIMIT 25")
+def reservoir_sample(spark, d):
+    """An exact number of passages, the same whenever and wherever it is drawn; all if there are no more."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return docs.orderBy(((F.col("doc_id") + 42) * F.lit(2654435761)) % F.lit(4294967296), "doc_id").limit(25)
+
+
+@query("local_times", "SELECT event_id, strftime(make_timestamp((1700000000 + event_id * 3607) * 1000000) AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo', '%Y-%m-%d %H:%M') AS shown FROM events WHERE event_id < 500")
+def local_times(spark, d):
+    e = table(spark, d, "events").where("event_id < 500")
+    return e.select("event_id", t.local_display(t.iso_utc(F.col("event_id") * 3607 + 1700000000), "Asia/Tokyo").alias("shown"))
+
+
+@query("effective_bytes_dropped", f"WITH {_RAW} SELECT scheme, count(*) AS n FROM raw WHERE eff_bytes <> 0 GROUP BY scheme")
+def effective_bytes_dropped(spark, d):
+    """Rows without effective bytes are no measurement."""
+    return raw(spark, d).where("eff_bytes <> 0").groupBy("scheme").agg(F.count(F.lit(1)).alias("n"))

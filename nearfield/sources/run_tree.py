@@ -120,6 +120,24 @@ def with_metadata(rows: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:
     return rows.join(runs.select(*keys, *columns), keys, "left")
 
 
+def read_interop(spark: SparkSession, timing: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """The timing rows and the hits that an out-of-process cross-check leaves."""
+    read = spark.read.option("header", True)
+    t = "query_id long, encode_us long, upload_us long, server_us long, download_us long, decode_us long, total_us long"
+    return read.schema(t).csv(timing), read.schema("query_id long, rank int, doc_id long, score double").csv(out)
+
+
+def write_interop(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
+    """One line for each vector, its components parted by commas, in the order of the ids."""
+    vectors.orderBy(id_col).select(F.array_join(F.transform(vector_col, lambda x: x.cast("string")), ",").alias("value")).write.mode("overwrite").text(path)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256, bytes) of each file under a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
 def write_raw(df: DataFrame, path: str) -> None:
     """CSV with a header, recall to six digits, and nothing for null."""
     cols = [F.when(F.col(c).isNotNull(), F.format_string("%.6f", c)).alias(c) if c == "recall_at_k" else F.col(c) for c in df.columns]

@@ -138,3 +138,23 @@ def test_stream_of_queries(spark, tmp_path):
     q = search_stream(spark.readStream.schema("qid long, embedding array<float>").parquet(str(tmp_path / "in")), index, 2, 3, lambda df, _: seen.extend(df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert len(seen) == 6 and {r["vec_id"] for r in seen if r["rank"] == 1} == {0, 1, 2}
+
+
+def test_interop_files_and_digests(spark, tmp_path):
+    import hashlib
+
+    from nearfield.operators.analytics import manifest_state
+
+    (tmp_path / "timing.csv").write_text("query_id,encode_us,upload_us,server_us,download_us,decode_us,total_us\n0,1,2,3,4,5,15\n")
+    (tmp_path / "out.csv").write_text("query_id,rank,doc_id,score\n0,0,7,0.5\n")
+    t, o = run_tree.read_interop(spark, str(tmp_path / "timing.csv"), str(tmp_path / "out.csv"))
+    assert t.first()["total_us"] == 15 and o.first()["doc_id"] == 7
+    run_tree.write_interop(frame(spark, [[1, 2], [3, 4]]), str(tmp_path / "emb"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "emb").glob("part*")))
+    assert lines == "1.0,2.0\n3.0,4.0\n"
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.bin").write_bytes(b"abc")
+    own = run_tree.file_digests(spark, str(tmp_path / "files"))
+    assert own.first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
+    stated = spark.createDataFrame([("a.bin", hashlib.sha256(b"abc").hexdigest(), 3), ("b.bin", "x", 1)], "name string, sha256 string, bytes long")
+    assert {r["name"]: r["state"] for r in manifest_state(stated, own).collect()} == {"a.bin": "same", "b.bin": "absent"}
