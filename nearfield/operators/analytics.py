@@ -18,14 +18,14 @@ def _percentiles(x: str) -> list[Column]:
 def repetition_stats(raw: DataFrame, by: list[str], value: str = "latency_ms", query: str = "query_id") -> DataFrame:
     """Latency by group over repeated queries: the spread is that of repetitions around each query's own mean.
 
-    One shuffle: residuals come from a window over the group and query, and the groups are summed on top of it.
+    Partial sums by query are summed again by group, and percentiles join them, so rows are never shuffled one by one. Percentiles are exact
+    and hold a group's distinct values, whose number the clock's resolution bounds.
     """
-    w = Window.partitionBy(*by, query)
-    rows = raw.where(F.col(value).isNotNull()).withColumn("residual", F.col(value) - F.avg(value).over(w))
-    s = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(query).alias("queries"), F.avg("recall").alias("recall"), F.avg(value).alias("mean"),
-        *_percentiles(value), F.sum(F.col("residual") * F.col("residual")).alias("ss"),
-    )
+    rows = raw.where(F.col(value).isNotNull())
+    each = rows.groupBy(*by, query).agg(F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(F.lit(1))).alias("ss"))
+    weighted = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    s = each.groupBy(*by).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("queries"), weighted("recall").alias("recall"), weighted("mean").alias("mean"), F.sum("ss").alias("ss"))
+    s = s.withColumnRenamed("rows", "n").join(rows.groupBy(*by).agg(*_percentiles(value)), by)
     dof = F.col("n") - F.col("queries")
     s = s.withColumn("rep_std", F.when(dof > 0, F.sqrt(F.col("ss") / dof)).otherwise(0.0)).drop("ss")
     return s.withColumn("rep_se", F.col("rep_std") / F.sqrt("n")).withColumn("ci95", F.col("rep_se") * Z95)
@@ -55,22 +55,35 @@ def closest_point(stats: DataFrame, by: list[str], target: float, qp: str = "qp"
     return stats.groupBy(*by).agg(F.min_by(qp, F.struct(F.abs(F.col("recall") - target), qp)).alias(qp))
 
 
-def distribution(df: DataFrame, by: list[str], value: str, most: int = 500) -> DataFrame:
-    """(by..., value, cdf): the sorted values and their share; beyond ``most`` rows that many, evenly spread with both ends."""
+def _value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., value, lo, hi, total): the ranks, from 1, that the rows of each distinct value take. Windows see values, not rows."""
+    h = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by)
-    r = df.select(*by, value).withColumn("rn", F.row_number().over(w.orderBy(value))).withColumn("total", F.count(F.lit(1)).over(w))
-    # A row stays where some j of 0..most-1 has (j * (total - 1)) div (most - 1) = rn - 1: the least such j is tested.
-    j = F.ceil((F.col("rn") - 1) * (most - 1) / (F.col("total") - 1))
-    kept = (F.col("total") <= most) | (F.floor(j * (F.col("total") - 1) / (most - 1)) == F.col("rn") - 1)
-    return r.where(kept).select(*by, value, (F.col("rn") / F.col("total")).alias("cdf"))
+    h = h.withColumn("hi", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
+    return h.withColumn("lo", F.col("hi") - F.col("n") + 1)
+
+
+def _at_ranks(ranks: DataFrame, by: list[str], value: str, picked: Column) -> DataFrame:
+    return ranks.withColumn("rank", F.explode(picked)).select(*by, value, (F.col("rank") / F.col("total")).alias("cdf"))
+
+
+def distribution(df: DataFrame, by: list[str], value: str, most: int = 500) -> DataFrame:
+    """(by..., value, cdf): the sorted values and their share; beyond ``most`` rows that many, evenly spread with both ends.
+
+    The j-th of them has rank (j * (total - 1)) div (most - 1) + 1; the js of a value's ranks form a range.
+    """
+    first = f"((lo - 1) * {most - 1} + total - 2) div (total - 1)"
+    last = f"least({most - 1}, (hi * {most - 1} + total - 2) div (total - 1) - 1)"
+    some = f"CASE WHEN {first} <= {last} THEN transform(sequence({first}, {last}), j -> (j * (total - 1)) div {most - 1} + 1) ELSE CAST(array() AS array<bigint>) END"
+    return _at_ranks(_value_ranks(df, by, value), by, value, F.expr(f"CASE WHEN total <= {most} THEN sequence(lo, hi) ELSE {some} END"))
 
 
 def stepped_distribution(df: DataFrame, by: list[str], value: str, most: int = 500) -> DataFrame:
     """Every (total div most)-th sorted value, and the last."""
-    w = Window.partitionBy(*by)
-    r = df.select(*by, value).withColumn("rn", F.row_number().over(w.orderBy(value))).withColumn("total", F.count(F.lit(1)).over(w))
-    step = F.greatest(F.lit(1), F.floor(F.col("total") / most))
-    return r.where(((F.col("rn") - 1) % step == 0) | (F.col("rn") == F.col("total"))).select(*by, value, (F.col("rn") / F.col("total")).alias("cdf"))
+    step = f"greatest(1, total div {most})"
+    first, last = f"((lo - 1 + {step} - 1) div {step})", f"((hi - 1) div {step})"
+    some = f"CASE WHEN {first} <= {last} THEN transform(sequence({first}, {last}), k -> k * {step} + 1) ELSE CAST(array() AS array<bigint>) END"
+    return _at_ranks(_value_ranks(df, by, value), by, value, F.expr(f"array_union({some}, CASE WHEN hi = total THEN array(total) ELSE CAST(array() AS array<bigint>) END)"))
 
 
 def interpolated(points: DataFrame, by: list[str], target: float, x: str = "recall", y: str = "qps") -> DataFrame:
