@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import io
 import os
-import tempfile
+import shutil
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def ship(spark: SparkSession) -> None:
     """Makes the package importable in Python workers, once per application, and bounds their batches by size.
 
-    The zip goes through Spark's own file server, so that no folder need be shared. Rows with whole texts are wide: a batch of the
+    The zip lies in the shared folder, from where Spark hands it out. Rows with whole texts are wide: a batch of the
     default 64 MB exists several times, in the JVM and in its worker. A smaller size that the session names itself stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -58,9 +59,15 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
-    out = Path(tempfile.mkdtemp(prefix="nearfield-")) / "nearfield_package.zip"
-    out.write_bytes(buffer.getvalue())
-    spark.sparkContext.addPyFile(str(out.resolve()))
+    folder = f"{scratch_dir(spark)}/nearfield-code-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/nearfield_package.zip")
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    try:
+        stream.write(bytearray(buffer.getvalue()))
+    finally:
+        stream.close()
+    _scratch.append((spark, folder))
+    spark.sparkContext.addPyFile(f"{folder}/nearfield_package.zip")
     _shipped.add(app)
 
 
@@ -118,5 +125,8 @@ def _clear() -> None:
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
+                continue
         except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
+            pass
+        if path.startswith("file:"):  # a folder of this machine, of a session that was stopped before
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
