@@ -30,13 +30,15 @@ def strip_zeros(s: Column) -> Column:
 
 
 def iso_utc(seconds: Column) -> Column:
-    """Unix seconds as ISO-8601 in UTC; the session's time zone must be UTC."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Unix seconds as ISO-8601 in UTC, whatever the session's time zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.date_format(start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def local_display(iso: Column, zone: str) -> Column:
     """An ISO time in UTC as it reads in a time zone."""
-    return F.date_format(F.from_utc_timestamp(F.to_timestamp(iso, "yyyy-MM-dd'T'HH:mm:ss'Z'"), zone), "yyyy-MM-dd HH:mm")
+    utc = F.regexp_replace(iso, "[TZ]", " ").cast("timestamp_ntz")
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "yyyy-MM-dd HH:mm")
 
 
 def humane_micros(us: Column) -> Column:

@@ -47,3 +47,15 @@ def test_samples_are_exact_and_independent_of_partitions(spark):
     a = {r["k"] for r in smallest_hashes(df, ["k"], 100).collect()}
     assert len(a) == 100 and a == {r["k"] for r in smallest_hashes(df.repartition(7), ["k"], 100, 5000).collect()}
     assert smallest_hashes(df.limit(3), ["k"], 100).count() == 3
+
+
+def test_times_do_not_depend_on_the_session(spark):
+    from nearfield.functions import text
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = spark.range(1).select(text.iso_utc(F.lit(1781083455)).alias("iso")).select("iso", text.local_display(F.col("iso"), "Asia/Tokyo").alias("tokyo")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert tuple(row) == ("2026-06-10T09:24:15Z", "2026-06-10 18:24")
