@@ -32,13 +32,14 @@ def strip_zeros(s: Column) -> Column:
 def iso_utc(seconds: Column) -> Column:
     """Unix seconds as ISO-8601 in UTC, whatever the session's time zone."""
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.date_format(start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.substring((start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).cast("string"), 1, 19)
+    return F.concat(F.translate(at, " ", "T"), F.lit("Z"))
 
 
 def local_display(iso: Column, zone: str) -> Column:
     """An ISO time in UTC as it reads in a time zone."""
     utc = F.regexp_replace(iso, "[TZ]", " ").cast("timestamp_ntz")
-    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "yyyy-MM-dd HH:mm")
+    return F.substring(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("string"), 1, 16)
 
 
 def humane_micros(us: Column) -> Column:

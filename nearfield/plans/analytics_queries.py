@@ -515,7 +515,7 @@ def build_time_summary(spark, d):
 @query("run_inventory", f"WITH {_RUNS} SELECT scheme, status, count(*) AS runs, count(DISTINCT machine_id) AS machines, max(run_id) AS newest, strftime(max(started_at), '%Y-%m-%d %H:%M') AS last_start FROM runs GROUP BY scheme, status")
 def run_inventory(spark, d):
     return runs(spark, d).groupBy("scheme", "status").agg(
-        F.count(F.lit(1)).alias("runs"), F.count_distinct("machine_id").alias("machines"), F.max("run_id").alias("newest"), F.date_format(F.max("started_at"), "yyyy-MM-dd HH:mm").alias("last_start")
+        F.count(F.lit(1)).alias("runs"), F.count_distinct("machine_id").alias("machines"), F.max("run_id").alias("newest"), F.substring(F.max("started_at").cast("string"), 1, 16).alias("last_start")
     )
 
 
