@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.runs import complete_runs
 from nearfield.session import ship
 
-#: Bytes of query vectors that one broadcast may hold; more are searched in blocks of this size.
+#: Bytes of query vectors that may travel with each task; more are searched in blocks of this size.
 BLOCK_BYTES = 32 << 20
 METRICS = ("l2", "ip")
 
@@ -37,40 +38,58 @@ def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(((q - x) ** 2).sum(1)) if metric == "l2" else (q * x).sum(1)
 
 
-def _best(metric: str, k: int, ids: np.ndarray, q: np.ndarray):
-    """The k nearest of each query within a batch of vectors; ties to the smaller id."""
-
+def _search(metric: str, k: int, own: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    """The k nearest of each query among some vectors; ties to the smaller id."""
+    if x.shape[1] != q.shape[1]:
+        raise ValueError(f"vectors have {x.shape[1]} components, queries {q.shape[1]}")
+    qid, vid, value = [], [], []
+    step = max(1, 4_000_000 // len(own))
+    for s in range(0, len(q), step):
+        rough = _values(q[s : s + step], x, metric)
+        for i, row in enumerate(rough):
+            c = np.arange(len(own))
+            if len(own) > k:
+                worst = np.partition(row, k - 1)[k - 1]
+                c = np.flatnonzero(row <= worst + 1e-9 * (1 + abs(worst)))
+            exact = _exact(q[s + i], x[c], metric)
+            c, exact = (z[np.lexsort((own[c], exact if metric == "l2" else -exact))[:k]] for z in (c, exact))
+            qid.append(np.full(len(c), ids[s + i]))
+            vid.append(own[c])
+            value.append(exact)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (qid, vid, value)], ["qid", "vec_id", "value"])
+
+
+def _over_batches(metric: str, k: int, ids: np.ndarray, q: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            own, x = b.column(0).to_numpy(), matrix(b.column(1))
-            if x.shape[1] != q.shape[1]:
-                raise ValueError(f"vectors have {x.shape[1]} components, queries {q.shape[1]}")
-            qid, vid, value = [], [], []
-            step = max(1, 4_000_000 // len(own))
-            for s in range(0, len(q), step):
-                rough = _values(q[s : s + step], x, metric)
-                for i, row in enumerate(rough):
-                    c = np.arange(len(own))
-                    if len(own) > k:
-                        worst = np.partition(row, k - 1)[k - 1]
-                        c = np.flatnonzero(row <= worst + 1e-9 * (1 + abs(worst)))
-                    exact = _exact(q[s + i], x[c], metric)
-                    c, exact = (z[np.lexsort((own[c], exact if metric == "l2" else -exact))[:k]] for z in (c, exact))
-                    qid.append(np.full(len(c), ids[s + i]))
-                    vid.append(own[c])
-                    value.append(exact)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (qid, vid, value)], ["qid", "vec_id", "value"])
+            if b.num_rows:
+                yield _search(metric, k, b.column(0).to_numpy(), matrix(b.column(1)), ids, q)
+
+    return run
+
+
+def _over_blocks(metric: str, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in complete_runs(batches, ["shard", "block"]):
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                part = t.slice(s, e - s).combine_chunks()
+                side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
+                v = matrix(part.column("embedding").combine_chunks())
+                if side.any() and not side.all():
+                    yield _search(metric, k, ids[side == 0], v[side == 0], ids[side == 1], v[side == 1])
 
     return run
 
 
+_HITS = "qid long, vec_id long, value double"
+
+
 def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(qid, rank, vec_id, value), rank from 1: each query's k nearest of corpus(vec_id, embedding).
 
-    value is the distance, or the inner product for ``ip``. Fewer vectors than k give fewer rows. Queries(qid, embedding) travel to
-    the vectors, which are read once for each block of queries and never shuffled; each batch gives its own best,
+    value is the distance, or the inner product for ``ip``. Fewer vectors than k give fewer rows. Queries(qid, embedding) up to
+    :data:`BLOCK_BYTES` travel to the vectors, which are read once and never shuffled. More queries are dealt into blocks
+    and the corpus into shards of that size, and each pair of the two is a task. Each task or batch gives its own best,
     and a window with an early limit joins those.
     """
     check_k(k)
@@ -78,22 +97,24 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2")
         raise ValueError(f"metric is one of {METRICS}")
     spark = corpus.sparkSession
     ship(spark)
-    vectors = corpus.select(F.col("vec_id").cast("long"), "embedding")
-    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    parts = []
-    blocks = max(1, -(-(n * (dim or 1) * 8) // BLOCK_BYTES))
-    for block in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        rows = own.select(F.col("qid").cast("long"), "embedding").orderBy("qid").toPandas()
-        if not len(rows):
-            continue
-        q = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        parts.append(vectors.mapInArrow(_best(metric, k, rows["qid"].to_numpy(np.int64), q), "qid long, vec_id long, value double"))
-    if not parts:
+    vectors, asks = corpus.select(F.col("vec_id").cast("long"), "embedding"), queries.select(F.col("qid").cast("long"), "embedding")
+    n, dim = asks.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if not n:
         return spark.createDataFrame([], "qid long, rank int, vec_id long, value double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    if n * dim * 8 <= BLOCK_BYTES:
+        rows = asks.orderBy("qid").toPandas()
+        q = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        found = vectors.mapInArrow(_over_batches(metric, k, rows["qid"].to_numpy(np.int64), q), _HITS)
+    else:
+        parts = lambda rows: max(1, -(-rows * dim * 8 // BLOCK_BYTES))
+        blocks, shards = parts(n), parts(corpus.count())
+        deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m).cast("long"))
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        v = F.transform("embedding", lambda e: e.cast("double")).alias("embedding")
+        own = vectors.select(F.col("vec_id").alias("id"), v, deal("vec_id", shards).alias("shard"), F.lit(0).alias("side")).withColumn("block", every(blocks))
+        asking = asks.select(F.col("qid").alias("id"), v, deal("qid", blocks).alias("block"), F.lit(1).alias("side")).withColumn("shard", every(shards))
+        dealt = own.unionByName(asking).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block")
+        found = dealt.mapInArrow(_over_blocks(metric, k), _HITS)
     return ranked(found, k, "value", ascending=metric == "l2")
 
 
