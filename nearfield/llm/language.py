@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.llm.quality import remainder
-from nearfield.llm.runs import trimmed
+from nearfield.runs import trimmed
 from nearfield.sampling import uniform
 from nearfield.session import materialise, ship
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.runs import trimmed
+from nearfield.runs import trimmed
 from nearfield.session import ship
 
 # Wordings of public licenses, short notices and standard headers.

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from nearfield.bitmap import bitmap, candidates
 from nearfield.llm.components import components
-from nearfield.llm.runs import complete_runs, trimmed
+from nearfield.runs import complete_runs, trimmed
 from nearfield.llm.shingles import MinHash, mix64, set_digests, shingle_hashes
 from nearfield.session import discard, materialise, ship
 

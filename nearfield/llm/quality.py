@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.runs import trimmed
+from nearfield.runs import trimmed
 from nearfield.llm.shingles import mix64, word_hashes
 from nearfield.sampling import smallest_hashes
 from nearfield.session import ship
