@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.llm.runs import complete_runs, trimmed
+from nearfield.runs import complete_runs, trimmed
 from nearfield.sampling import smallest_hashes
 from nearfield.session import materialise, ship
 
 TREES, BITS = 64, 24
-SHARD, QUERIES = 32_768, 1024
+SHARD, QUERIES = 32_768, 8192
 SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 128, 0.96
 #: Shares of a shard that are tried, counted over all trees.
 SHARES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0, 1.3, 1.6, 2.0, 3.0, 4.0, 8.0, float(TREES))
@@ -200,13 +200,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     sample = smallest_hashes(own.select("vec_id", "v"), ["vec_id"], SAMPLE, n).toPandas()["v"].map(np.asarray)
     dim = sample.map(len).mode()[0]
     share = choose_share(np.stack(sample[sample.map(len) == dim]), k, largest)
-    shards, blocks = -(-n // SHARD), max(1, -(-asking // QUERIES))
+    # Blocks are as large as QUERIES allows, for a vector travels once to each; only small inputs are cut further, to use all cores.
+    shards, partitions = -(-n // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-asking // QUERIES), min(-(-partitions // shards), asking // 64))
     deal = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     corpus = own.select("vec_id", "v", "dim").withColumn("shard", deal(1, shards)).withColumn("block", every(blocks)).withColumn("side", F.lit(0))
     asks = own.where("asks").groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v").cast("long"))
     asks = asks.withColumn("block", deal(2, blocks)).withColumn("shard", every(shards)).withColumn("side", F.lit(1))
-    rows = corpus.unionByName(asks).repartition(max(shards * blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block")
+    rows = corpus.unionByName(asks).repartition(max(shards * blocks, partitions), "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block")
     found = materialise(rows.mapInArrow(trimmed(_search_runs(k, share, largest)), "query_id long, vec_id long, score double"), "near-found", 4000)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
