@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.runs import trimmed
 from nearfield.session import ship
 
 MARK = "▁"
-#: Entries that the table of results, and that of pairs, may hold; each is emptied when full.
-TABLE = 500_000
+#: Entries that the table of results, and that of pairs, may hold.
+TABLE = 400_000
 #: Longer cuts are not kept.
 SHORT = 48
 
@@ -73,6 +74,7 @@ class Pieces:
         self.cut = re.compile(self._cuts()).findall
         self.pairs: dict[tuple[int, int], bool] = {}
         self.table = _Table(self)
+        self.odd: dict[str, str] = {}
 
     def _cuts(self) -> str:
         """A pattern of the parts of a text across whose ends no piece spans."""
@@ -174,9 +176,13 @@ class Pieces:
         """Ids as little-endian unsigned 32-bit integers, and the text that they decode to."""
         if not text:
             return b"", ""
-        found = list(map(self.table.__getitem__, self.cut(MARK + text.replace(" ", MARK))))
-        ids = b"".join([x[0] for x in found])
-        decoded = "".join([x[1] for x in found])
+        marked = MARK + text.replace(" ", MARK)
+        cuts = self.cut(marked)
+        ids = b"".join(map(self.table.__getitem__, cuts))
+        if self.odd:
+            decoded = "".join([self.odd.get(c) or c.replace(MARK, " ") for c in cuts])
+        else:  # every cut's ids have been decoded and gave the cut
+            decoded = marked.replace(MARK, " ")
         return ids, decoded[1:] if decoded[:1] == " " else decoded
 
     def pieces_to_text(self, ids: list[int]) -> str:
@@ -220,19 +226,31 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Table(dict):
-    """Results of cuts: ids as bytes, and their text."""
+    """Ids of cuts, as bytes. A cut whose ids decode to anything but itself goes to ``pieces.odd`` with that text.
+
+    When half the room is taken the entries become the old ones, and those of before are dropped; what is asked for again comes back.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
         super().__init__()
         self.pieces = pieces
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, cut: str) -> tuple[bytes, str]:
+    def __missing__(self, cut: str) -> bytes:
+        out = self.old.get(cut)
+        if out is not None:
+            return self._keep(cut, out)
         ids = self.pieces.ids_of(cut)
-        out = _packed(ids), self.pieces.pieces_to_text(ids)
-        if len(cut) <= SHORT:
-            if len(self) >= TABLE:
-                self.clear()
-            self[cut] = out
+        out, back = _packed(ids), self.pieces.pieces_to_text(ids)
+        if back != cut.replace(MARK, " "):
+            self.pieces.odd[cut] = back
+        return self._keep(cut, out) if len(cut) <= SHORT else out
+
+    def _keep(self, cut: str, out: bytes) -> bytes:
+        if len(self) >= TABLE // 2:
+            self.old = dict(self)
+            self.clear()
+        self[cut] = out
         return out
 
 
@@ -264,7 +282,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     names = ["doc_id", "n_tokens", *["ids"] * with_ids, *["ids_sha256", "decoded_sha256"] * with_digests]
     schema = f"doc_id {id_type}, n_tokens long" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), schema)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
