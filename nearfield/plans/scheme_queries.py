@@ -19,13 +19,13 @@ def _quantised(x: str) -> str:
 
 #: Integers under 2^41 and their sums are exact in doubles.
 _QIP = f"d AS (SELECT qid, vec_id, list_inner_product({_quantised('embedding')}, {_quantised('q')})::BIGINT AS product FROM embeddings CROSS JOIN q)"
-_QIP_TOP = f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY product DESC, vec_id) AS rank, vec_id, product FROM d QUALIFY rank <= {K}"
+_QIP_TOP = f"SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY product DESC, vec_id))::INTEGER AS rank, vec_id, product FROM d QUALIFY rank <= {K}"
 
 
 @query(
     "sap_beta0_topk",
     f"WITH {_Q}, d AS (SELECT qid, vec_id, list_distance(list_transform(embedding::DOUBLE[], lambda x: {SCALE} * x), list_transform(q, lambda x: {SCALE} * x)) AS dist FROM embeddings CROSS JOIN q) "
-    f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, round(-dist, 6) + 0.0 AS score FROM d QUALIFY rank <= {K}",
+    f"SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id))::INTEGER AS rank, vec_id, round(-dist, 6) + 0.0 AS score FROM d QUALIFY rank <= {K}",
 )
 def sap_beta0_topk(spark, d):
     """Without noise, scaled distances rank like plain ones; each tie goes to the smaller id."""
@@ -38,7 +38,7 @@ def sap_beta0_topk(spark, d):
 
 @query(
     "sap_route_plain_score_cipher",
-    f"WITH {_ROUTE} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, round(dist, 5) AS dist FROM "
+    f"WITH {_ROUTE} SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id))::INTEGER AS rank, vec_id, round(dist, 5) AS dist FROM "
     f"(SELECT r.qid, a1.vec_id, list_distance(list_transform(a1.embedding::DOUBLE[], lambda x: {SCALE} * x), list_transform(q.q, lambda x: {SCALE} * x)) AS dist FROM r JOIN a1 USING (cid) JOIN q ON q.qid = r.qid WHERE r.pos <= 2) QUALIFY rank <= {K}",
 )
 def sap_route_plain_score_cipher(spark, d):
@@ -221,7 +221,7 @@ def _register_cost(scheme: str) -> None:
 for _scheme in costs.SCHEMES:
     _register_cost(_scheme)
 
-_LABEL_ROUTE = f"{_C0}, {_Q}, r AS (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY list_distance(q, centroid), cid) AS pos FROM q CROSS JOIN c0), {_SIZES}"
+_LABEL_ROUTE = f"{_C0}, {_Q}, r AS (SELECT qid, cid, (row_number() OVER (PARTITION BY qid ORDER BY list_distance(q, centroid), cid))::INTEGER AS pos FROM q CROSS JOIN c0), {_SIZES}"
 _REALISED_SQL = {"plaintext": (f"least({K}, n) * 8", f"n * {4 * DIM}"), "sap-ivf": (f"least({K}, n) * 8", f"n * {4 * DIM}"), "emvp-ivf": ("n * 608", "n * 10336"), "bntm-ivf": ("n * 8", "n * 8192")}
 
 

@@ -30,7 +30,7 @@ _L2 = """d AS (SELECT qid, vec_id, list_distance(embedding::DOUBLE[], q) AS dist
 
 
 def _topk(k: int) -> str:
-    return f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM d QUALIFY rank <= {k}"
+    return f"SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id))::INTEGER AS rank, vec_id, dist FROM d QUALIFY rank <= {k}"
 
 
 @query("knn_exact_l2", f"WITH {_Q}, {_L2} SELECT qid, rank, vec_id, round(dist, 6) AS dist FROM ({_topk(K)})")
@@ -41,7 +41,7 @@ def knn_exact_l2(spark, d):
 @query(
     "knn_exact_ip",
     f"WITH {_Q}, d AS (SELECT qid, vec_id, list_inner_product(embedding::DOUBLE[], q) AS s FROM embeddings CROSS JOIN q) "
-    f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS rank, vec_id, round(s, 6) AS score FROM d QUALIFY rank <= {K}",
+    f"SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id))::INTEGER AS rank, vec_id, round(s, 6) AS score FROM d QUALIFY rank <= {K}",
 )
 def knn_exact_ip(spark, d):
     return rounded(knn.exact_knn(corpus(spark, d), asks(spark, d), K, "ip").withColumnRenamed("value", "score"), "score")
@@ -154,7 +154,7 @@ def _index(spark, d):
     return x, ivf.build(x, ivf.lloyd_step(x, ivf.label_centroids(x)))
 
 
-_ROUTE = f"{_C0}, {_A0}, {_C1}, {_A1}, {_Q}, r AS (SELECT qid, cid, list_distance(q, centroid) AS dist, row_number() OVER (PARTITION BY qid ORDER BY list_distance(q, centroid), cid) AS pos FROM q CROSS JOIN c1)"
+_ROUTE = f"{_C0}, {_A0}, {_C1}, {_A1}, {_Q}, r AS (SELECT qid, cid, list_distance(q, centroid) AS dist, (row_number() OVER (PARTITION BY qid ORDER BY list_distance(q, centroid), cid))::INTEGER AS pos FROM q CROSS JOIN c1)"
 
 
 @query("ivf_route", f"WITH {_ROUTE} SELECT qid, pos, cid::BIGINT AS cid, round(dist, 6) AS dist FROM r WHERE pos <= 3")
@@ -165,7 +165,7 @@ def ivf_route(spark, d):
 
 def _probe_sql(nprobe: int, k: int = K) -> str:
     return (
-        f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM "
+        f"SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id))::INTEGER AS rank, vec_id, dist FROM "
         f"(SELECT r.qid, a1.vec_id, list_distance(a1.embedding::DOUBLE[], q.q) AS dist FROM r JOIN a1 USING (cid) JOIN q ON q.qid = r.qid WHERE r.pos <= {nprobe}) QUALIFY rank <= {k}"
     )
 
