@@ -31,7 +31,7 @@ from nearfield.session import ship
 
 MARK = "▁"
 #: Entries that the table of results, and that of pairs, may hold.
-TABLE = 400_000
+TABLE = 240_000
 #: Longer cuts are not kept.
 SHORT = 48
 
@@ -72,7 +72,7 @@ class Pieces:
         for p in reached:
             self.shorter[self.id[p]] = next((self.id[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in reached), -1)
         self.cut = re.compile(self._cuts()).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first id * 2**32 + second
         self.table = _Table(self)
         self.odd: dict[str, str] = {}
 
@@ -109,9 +109,9 @@ class Pieces:
         """Whether the two pieces, written one after the other, merge into just these two again."""
         x, y = self.name[a], self.name[b]
         ok = self.merge(list(x + y)) == [x, y]
-        if len(self.pairs) >= TABLE:
+        if len(self.pairs) >= TABLE // 2:
             self.pairs.clear()
-        self.pairs[a, b] = ok
+        self.pairs[a << 32 | b] = ok
         return ok
 
     def ids_of(self, cut: str) -> list[int]:
@@ -148,7 +148,7 @@ class Pieces:
             while piece >= 0:
                 to = at + length[piece]
                 if to <= end and open_[to - start]:
-                    ok = True if not out else pairs.get((out[-1], piece))
+                    ok = True if not out else pairs.get(out[-1] << 32 | piece)
                     if ok is None:
                         ok = self.fits(out[-1], piece)
                     if ok:
