@@ -13,8 +13,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Edges and labels stay distributed; a round is a join, a partial minimum and a jump to the label's label,
     so rounds grow with the logarithm of the longest path. Each round's labels are a table in the shared folder.
+
+    The edges are written before they are read in both directions: tasks that emit spanning forests may emit other ones when they
+    run again, and directions from different runs would not belong together.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).where("node <> near")
+    both = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).where("node <> near").distinct(), f"{name}-given")
     both = materialise(both.unionByName(both.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), f"{name}-edges")
     labels = materialise(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")), f"{name}-labels")
     while True:

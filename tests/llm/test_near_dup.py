@@ -109,3 +109,13 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
+
+
+def test_components_of_edges_that_change_from_run_to_run(spark):
+    """Tasks may emit any spanning tree, and another one when they run again; both directions must be of one run."""
+    from pyspark.sql import functions as F
+
+    trees = F.expr("element_at(array(array(struct(x AS a, x + 1 AS b), struct(x + 1 AS a, x + 2 AS b)), array(struct(x AS a, x + 2 AS b), struct(x + 2 AS a, x + 1 AS b)), array(struct(x + 1 AS a, x AS b), struct(x AS a, x + 2 AS b))), CAST(floor(rand() * 3) AS INT) + 1)")
+    edges = spark.range(300).select((F.col("id") * 3).alias("x")).select(F.explode(trees).alias("e")).select("e.a", "e.b")
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert got == {i: i // 3 * 3 for i in range(900)}
