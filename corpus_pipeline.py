@@ -35,10 +35,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text, with begin and end ids."""
     import public_tokenizers
 
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, with_digests=True)
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, with_digests=True, with_ends=True)
 
 
 STAGES = [

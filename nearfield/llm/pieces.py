@@ -9,8 +9,8 @@ from one Aho-Corasick pass over the reversed text, which is linear in its length
 A text is first cut where no piece can span: before a run of the white space mark, around white space
 that no piece holds, and between a letter and a character that follows a letter in no piece. Results of short cuts are kept in a bounded table.
 
-Defined cases. A null text counts as empty; an empty text has no ids. Characters without a piece are
-encoded as the bytes of their UTF-8. Rows are independent, so ties and repeated rows get equal results.
+Defined cases. A null text counts as empty; an empty text has no ids but the begin and end ids, where these are asked for
+and the model has them. Characters without a piece are encoded as the bytes of their UTF-8. Rows are independent, so ties and repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ class Pieces:
                 rank[piece] = -sp.get_score(i)
         self.rank = rank
         self.unknown = sp.unk_id()
+        #: Begin and end ids, packed; empty where the model has none.
+        self.ends = tuple(_packed([i] if i >= 0 else []) for i in (sp.bos_id(), sp.eos_id()))
         self.name = {i: p for p, i in self.id.items()}
         #: Pieces that merging reaches; others never appear in an encoding.
         reached = {p for p in self.id if len(p) == 1 or self.merge(list(p)) == [p]}
@@ -263,16 +265,17 @@ def pieces(model: str) -> Pieces:
     return _models[model]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, [ids array<int>], [ids_sha256, decoded_sha256]), a row for each row of docs."""
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False, with_ends: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, [ids array<int>], [ids_sha256, decoded_sha256]), a row for each row of docs; with_ends puts the begin and end ids round each text's."""
     ship(docs.sparkSession)
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces(model)
+        begin, end = m.ends if with_ends else (b"", b"")
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                done = [m.encoded(x or "") for x in part.column(1).to_pylist()]
+                done = [(begin + x + end, t) for x, t in (m.encoded(x or "") for x in part.column(1).to_pylist())]
                 columns = [part.column(0), pa.array([len(x) // 4 for x, _ in done], pa.int64())]
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x, _ in done], pa.list_(pa.int32())))
@@ -301,4 +304,4 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, with_digests=True)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, with_digests=True, with_ends=True)

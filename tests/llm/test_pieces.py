@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+import corpus_pipeline
 from nearfield.llm import pieces
 from tests.llm.helpers import EDGES, documents
 
@@ -66,3 +67,24 @@ def test_encode_then_decode(spark):
     assert pieces.encode(documents(spark, []), MODEL).collect() == []
     nulls = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert pieces.decode(nulls, MODEL).first()["text"] == ""
+
+
+def ended(library, d, t):
+    ids = library.encode(t or "", add_bos=True, add_eos=True)
+    data = b"".join(i.to_bytes(4, "little") for i in ids)
+    return d, len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_begin_and_end_ids(spark, library):
+    df = documents(spark, EDGES)
+    got = pieces.encode(df, MODEL, with_ends=True)
+    assert sorted(((r["doc_id"], r["ids"]) for r in got.collect()), key=str) == sorted(((d, library.encode(t or "", add_bos=True, add_eos=True)) for d, t, *_ in EDGES), key=str)
+    back = {(r["doc_id"], r["text"]) for r in pieces.decode(got, MODEL).collect()}
+    assert back == {(d, t or "") for d, t, *_ in EDGES}
+
+
+def test_query_and_stage_give_begin_and_end_ids(spark, library, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted(map(tuple, pieces.query(spark, sf_dir).collect())) == sorted(ended(library, d, t) for d, t in rows)
+    edges = corpus_pipeline.encode(spark, documents(spark, EDGES), sf_dir)
+    assert sorted(map(tuple, edges.collect()), key=str) == sorted((ended(library, d, t) for d, t, *_ in EDGES), key=str)
