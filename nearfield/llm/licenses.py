@@ -1,23 +1,27 @@
-"""License scans by conditional compression.
+"""License scans by exact word seeds, conditional compression and exact differences.
 
-Lines with a cue word form candidate blocks. A block is compressed by zstandard alone, and with each template's wording as raw
-dictionary; the wording that saves the largest share of the block's size is the likeliest source. Winners are
-confirmed by their exact differences in wording: the words of the template that the block lacks, and those that it has
-between them besides, may be a tenth of the template's words, and none of either may be a name or number that tells licenses apart.
+A wording of n words may differ in a tenth of n: words of it that the text lacks, and words that the text has between them besides.
+None of either may be a name or number that tells licenses apart. Cut into one part more than it may have differences, a wording leaves
+one part at least untouched, so one automaton pass for all parts finds every place where a wording can stand. Each is confirmed
+by the least differences on both sides of the part. Words alone count: line breaks, blank lines, punctuation and what stands around do not.
 
-Defined cases. A null or empty text has no block. Lines longer than :data:`LONG` code points give windows around their cues, so time and
-memory are linear in a text's length; blocks never overlap. Ties in saving go to the wording listed first. Rows
-are scanned one by one, so repeated rows get equal results.
+A confirmed span is compressed by zstandard alone, and with the wording as raw dictionary. Where spans overlap, the one that saves most bytes stays.
+
+Defined cases. A null or empty text has no license. Spans go from the first to the last word that matches, with a full stop that ends
+both, and never overlap. Ties in saving go to the wording listed first, then to the earlier place. Time and memory are linear in a
+text's length. Rows are scanned one by one, so repeated rows get equal results.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -67,18 +71,14 @@ WORDINGS = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-CUES = ("license", "licence", "copyright", "permission", "redistribut", "software", "public domain", "creative commons", "cc by", "cc0", "warrant")
 #: Words that tell licenses apart.
 NAMES = {"mit", "apache", "gnu", "lesser", "affero", "mozilla", "cc", "by", "sa", "nc", "nd", "sharealike", "noncommercial", "bsd", "isc", "cc0", "clause"}
-#: Code points of a line that is taken whole; of a window before and after a cue of a longer one.
-LONG, BEFORE, AFTER = 600, 100, 500
-#: Share of the template's words that may differ; wordings that are confirmed at most, best first; least saving.
-DIFFER, TRIED, SAVING = 0.1, 4, 0.2
-#: Blocks whose result is kept; the table is emptied when full.
+#: Share of the wording's words that may differ; share of its own size that a whole wording saves at least, which cuts nothing.
+DIFFER, SAVING = 0.1, 0.2
+#: Spans whose compressed sizes are kept; the table is emptied when full.
 TABLE = 20_000
 
-_word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*").findall
-_cue = re.compile("|".join(map(re.escape, CUES)))
+_words = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
 @dataclass(frozen=True)
@@ -96,95 +96,131 @@ def _tools():
     for _, wording in WORDINGS:
         d = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         own.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return plain, own, [_word(w.lower()) for _, w in WORDINGS]
+    return plain, own
 
 
-def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
-    """(words of the template that the block lacks, words that the block has between the matching ones besides)."""
-    same = [m for m in difflib.SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
-    if not same:
-        return list(template), []
-    missing, extra, a, b = list(template[: same[0].b]), [], same[0].a, same[0].b
-    for m in same:
-        extra += block[a : m.a]
-        missing += template[b : m.b]
-        a, b = m.a + m.size, m.b + m.size
-    return missing + template[b:], extra
+@lru_cache(1)
+def _seeds():
+    """(words of each wording, an automaton of their parts, words of which a text with any part has one)."""
+    templates = [_words.findall(w.lower()) for _, w in WORDINGS]
+    parts: dict[str, list[tuple[int, int, int]]] = {}
+    cues: set[str] = set()
+    for t, words in enumerate(templates):
+        n = int(DIFFER * len(words)) + 1
+        bounds = [k * len(words) // n for k in range(n + 1)]
+        for a, z in zip(bounds, bounds[1:]):
+            parts.setdefault(f" {' '.join(words[a:z])} ", []).append((t, a, z))
+            if cues.isdisjoint(words[a:z]):
+                cues.add(max(words[a:z], key=len))
+    automaton = ahocorasick.Automaton()
+    for part, places in parts.items():
+        automaton.add_word(part, places)
+    automaton.make_automaton()
+    return templates, automaton, tuple(sorted(cues))
+
+
+def _tells(word: str) -> bool:
+    return word in NAMES or word[0].isdigit()
+
+
+def _extend(text: list[str], template: list[str], most: int) -> tuple[int, list[str], list[str]] | None:
+    """(words of text read, missing, extra) of the least differences, at most ``most``, of the whole template from the start of text on."""
+    if text[: len(template)] == template:
+        return len(template), [], []
+    rows: list[dict[int, int]] = []
+    for i in range(len(template) + 1):
+        row: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(text), i + most) + 1):
+            costs = [0] if i == j == 0 else []
+            if i and j and template[i - 1] == text[j - 1]:
+                costs.append(rows[-1].get(j - 1, most + 1))
+            if i and not _tells(template[i - 1]):
+                costs.append(rows[-1].get(j, most + 1) + 1)
+            if j and not _tells(text[j - 1]):
+                costs.append(row.get(j - 1, most + 1) + 1)
+            if costs and min(costs) <= most:
+                row[j] = min(costs)
+        if not row:
+            return None
+        rows.append(row)
+    least = min(rows[-1].values())
+    i, j = len(template), max(j for j, c in rows[-1].items() if c == least)
+    read, missing, extra = j, [], []
+    while i or j:
+        cost = rows[i][j]
+        if i and j and template[i - 1] == text[j - 1] and rows[i - 1].get(j - 1) == cost:
+            i, j = i - 1, j - 1
+        elif i and not _tells(template[i - 1]) and rows[i - 1].get(j) == cost - 1:
+            i -= 1
+            missing.append(template[i])
+        else:
+            j -= 1
+            extra.append(text[j])
+    return read, missing[::-1], extra[::-1]
 
 
-_known: dict[str, Match | None] = {}
+_known: dict[tuple[int, str], tuple[int, int]] = {}
 
 
-def identify(block: str) -> Match | None:
-    """The license whose wording a block has, if one is confirmed."""
-    key = " ".join(block.lower().split())
+def _sizes(wording: int, span: str) -> tuple[int, int]:
+    """Compressed sizes of a span, alone and with the wording."""
+    key = wording, " ".join(span.lower().split())
     if key not in _known:
         if len(_known) >= TABLE:
             _known.clear()
-        _known[key] = _identify(key)
+        plain, own = _tools()
+        data = key[1].encode("utf-8", "surrogatepass")
+        _known[key] = len(plain.compress(data)), len(own[wording].compress(data))
     return _known[key]
 
 
-def _identify(block: str) -> Match | None:
-    plain, own, templates = _tools()
-    data, words = block.encode("utf-8", "surrogatepass"), _word(block)
-    alone = len(plain.compress(data))
-    saving = [1 - len(c.compress(data)) / alone for c in own]
-    ranked = sorted(range(len(own)), key=lambda i: -saving[i])
-    for i in ranked[:TRIED]:
-        if saving[i] < SAVING:
-            break
-        missing, extra = differences(words, templates[i])
-        telling = any(w in NAMES or w[0].isdigit() for w in missing + extra)
-        if not telling and len(missing) + len(extra) <= DIFFER * len(templates[i]):
-            return Match(WORDINGS[i][0], saving[i], tuple(missing), tuple(extra))
-    return None
-
-
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of candidate blocks, in order: neighbouring lines with cues together, and each alone if they give nothing."""
-    if len(low := text.lower()) != len(text):  # a few characters grow when lower-cased
-        low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-    at = 0
-    for m in _cue.finditer(low):
-        if m.start() < at:
-            continue
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        if end - start > LONG:
-            a, z = max(start, at, m.start() - BEFORE), min(end, m.end() + AFTER)
-            start = a if a in (start, at) else (low.find(" ", a, m.start()) + 1 or a)
-            end = z if z == end else max(low.rfind(" ", m.end(), z), m.end())
-        at = end
-        yield start, end
+def _confirmed(words: list[str]) -> Iterator[tuple[int, int, int, list[str], list[str]]]:
+    """(first word, word after the last, wording, missing, extra) of each place of each wording; those of one wording do not overlap."""
+    templates, automaton, _ = _seeds()
+    ends = list(accumulate(len(w) + 1 for w in words))
+    done = [0] * len(templates)
+    for end, places in automaton.iter(f" {' '.join(words)} "):
+        after = bisect_left(ends, end) + 1
+        for t, a, z in places:
+            at = after - (z - a)
+            if at < done[t]:
+                continue
+            template, most = templates[t], int(DIFFER * len(templates[t]))
+            left = _extend(words[max(done[t], at - a - most) : at][::-1], template[:a][::-1], most)
+            if left is None:
+                continue
+            right = _extend(words[after : after + len(template) - z + most], template[z:], most - len(left[1]) - len(left[2]))
+            if right is None:
+                continue
+            done[t] = after + right[0]
+            yield at - left[0], done[t], t, left[1][::-1] + right[1], left[2][::-1] + right[2]
 
 
 def scan_text(text: str | None) -> list[tuple[int, int, Match]]:
-    """(start, end, match) of each confirmed block."""
+    """(start, end, match) of each license, in order."""
     if not text:
         return []
     low = text.lower()
-    if not any(c in low for c in CUES):
+    if not any(c in low for c in _seeds()[2]):
         return []
+    if len(low) != len(text):  # a few characters grow when lower-cased
+        low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    places = list(_confirmed(_words.findall(low)))
+    if not places:
+        return []
+    at = [m.span() for m in _words.finditer(low)]
+    spans = []
+    for a, z, t, missing, extra in places:
+        start, end = at[a][0], at[z - 1][1]
+        if text[end : end + 1] == "." == WORDINGS[t][1][-1]:
+            end += 1
+        alone, given = _sizes(t, low[start:end])
+        spans.append((given - alone, t, start, end, Match(WORDINGS[t][0], 1 - given / alone, tuple(missing), tuple(extra))))
     out: list[tuple[int, int, Match]] = []
-    group: list[tuple[int, int]] = []
-
-    def close() -> None:
-        if not group:
-            return
-        whole = (group[0][0], group[-1][1])
-        if len(group) > 1 and (m := identify(text[whole[0] : whole[1]])):
-            out.append((*whole, m))
-        else:
-            out.extend((s, e, m) for s, e in group if (m := identify(text[s:e])))
-        group.clear()
-
-    for s, e in blocks(text):
-        if group and (s > group[-1][1] + 1 or e - group[0][0] > 4 * LONG):
-            close()
-        group.append((s, e))
-    close()
+    for _, _, start, end, m in sorted(spans, key=lambda x: x[:3]):
+        i = bisect_left(out, start, key=lambda x: x[0])
+        if (i == len(out) or end <= out[i][0]) and (i == 0 or out[i - 1][1] <= start):
+            out.insert(i, (start, end, m))
     return out
 
 

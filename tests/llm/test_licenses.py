@@ -1,3 +1,5 @@
+import random
+
 from nearfield.llm import licenses
 from tests.llm.helpers import EDGES, documents
 
@@ -54,3 +56,28 @@ def test_query_finds_planted_lines(spark, duck, sf_dir):
     got = {r["doc_id"]: r["licenses"] for r in licenses.query(spark, sf_dir).collect()}
     for d, t in duck.execute("SELECT doc_id, text FROM documents").fetchall():
         assert ("MIT" in got[d].split(",")) == ("Released under the MIT License." in t or "RELEASED UNDER THE MIT LICENSE" in t)
+
+
+def test_short_notices_within_prose():
+    prose = "the prose of a page goes on and on in one line "
+    for name, wording in licenses.WORDINGS:
+        for before in (40, 240, 5000):
+            text = (prose * 120)[:before] + " " + wording + " " + prose * 20
+            (s, e, m), = licenses.scan_text(text)
+            assert (m.license, text[s:e]) == (name, wording) and m.saving > licenses.SAVING, (before, wording)
+
+
+def test_every_wording_with_few_differences_is_found():
+    g = random.Random(3)
+    for name, wording in licenses.WORDINGS:
+        words = wording.split()
+        for _ in range(40):
+            changed = list(words)
+            for _ in range(int(licenses.DIFFER * len(licenses._words.findall(wording.lower())))):
+                at = g.randrange(1, len(changed))
+                if g.random() < 0.5:
+                    changed.insert(at, "besides")
+                elif changed[at].isalpha() and changed[at].lower() not in licenses.NAMES:
+                    del changed[at]
+            text = "some prose before " + " ".join(changed) + " and some after"
+            assert ids(text) == [name], text
