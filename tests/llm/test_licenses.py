@@ -81,3 +81,35 @@ def test_every_wording_with_few_differences_is_found():
                     del changed[at]
             text = "some prose before " + " ".join(changed) + " and some after"
             assert ids(text) == [name], text
+
+
+MIT = """MIT License
+
+Copyright (c) 2024 A. N. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+
+
+def test_published_line_breaks():
+    (s, e, m), = licenses.scan_text(MIT)
+    assert m.license == "MIT" and MIT[s:e].startswith("Permission is hereby") and MIT[s:e].endswith("portions of the Software.") and not m.missing + m.extra
+    (s, e, m), = licenses.scan_text(GPL)
+    assert m.license == "GPL-3.0" and GPL[s:e] == GPL.strip() and not m.missing + m.extra
+    assert ids("\n".join("# " + line for line in GPL.split("\n"))) == ["GPL-3.0"]
