@@ -113,3 +113,11 @@ def test_published_line_breaks():
     (s, e, m), = licenses.scan_text(GPL)
     assert m.license == "GPL-3.0" and GPL[s:e] == GPL.strip() and not m.missing + m.extra
     assert ids("\n".join("# " + line for line in GPL.split("\n"))) == ["GPL-3.0"]
+
+
+def test_every_license_of_a_dual_notice_is_found():
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    for between in ("\n", " ", " and ", "\n\n"):
+        text = mit + between + apache
+        assert [(text[s:e], m.license) for s, e, m in licenses.scan_text(text)] == [(mit, "MIT"), (apache, "Apache-2.0")], between
+    assert ids(MIT + GPL + mit + "\n" + MIT) == ["MIT", "GPL-3.0", "MIT", "MIT"]
