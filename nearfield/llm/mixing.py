@@ -12,7 +12,7 @@ residual; the residuals are dealt and folded again until each source has one.
 
 Defined cases. A null or empty text has size 0 and is taken 0 times. A null source is a source of its own,
 last in the order. An empty table gives an empty result. doc_id and size decide every draw, so reruns
-agree; rows that repeat a doc_id are rounded one by one. Other columns are neither read nor returned.
+agree; rows that repeat a doc_id, and those with a null one, are rounded one by one. Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -131,19 +131,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs.
 
-    A source whose documents are all taken equally often says so for all; only documents of the others look up their own number.
+    A source whose documents are all taken equally often says so for all; only documents of the others look up their own number,
+    by doc_id and source, null or not. Rows that repeat both are matched by their size, and by their place among equal sizes.
     """
     mixed = materialise(mix(docs, id_col, text_col, source_col, **options), "mix-taken")
     by_source = mixed.where("size > 0").groupBy("source").agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"))
     by_source = materialise(by_source.withColumnRenamed("source", "_source"), "mix-sources")
-    own = mixed.join(by_source.where("_low < _high").select("_source"), F.col("source").eqNullSafe(F.col("_source")), "left_semi")
-    own = materialise(own.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "mix-own")
+    own = mixed.where("size > 0").join(by_source.where("_low < _high").select("_source"), F.col("source").eqNullSafe(F.col("_source")), "left_semi")
+    own = own.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_of")).agg(F.max("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    own = materialise(own, "mix-own")
+    this = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_of"))
+    repeats = own.where("_rows > 1").select("_id", "_of")
+    numbered = mixed.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")), "left_semi").where("size > 0")
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies")))
+    numbered = numbered.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_words"), "copies", place.alias("_place"))
+    numbered = materialise(numbered.withColumnRenamed("copies", "_copies"), "mix-repeats")
     known = docs.join(by_source, F.col(source_col).cast("string").eqNullSafe(F.col("_source")), "left")
     empty = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     known = known.withColumn("_low", F.when(empty, F.lit(0)).otherwise(F.col("_low"))).withColumn("_high", F.when(empty, F.lit(0)).otherwise(F.col("_high")))
     alike = known.where("_low = _high").withColumn("_copies", F.col("_low"))
-    apart = known.where("_low < _high").join(own, F.col(id_col) == F.col("_id"))
-    each = alike.select(*docs.columns, "_copies").unionByName(apart.select(*docs.columns, "_copies")).where("_copies > 0")
+    apart = known.where("_low < _high")
+    once = apart.join(own.where("_rows = 1"), this)
+    again = apart.join(repeats, this, "left_semi").select(*docs.columns, word_count(F.col(text_col)).alias("_size"))
+    order = Window.partitionBy(F.col(id_col), F.col(source_col).cast("string"), F.col("_size")).orderBy(F.to_json(F.struct(*docs.columns)))
+    again = again.withColumn("_row", F.row_number().over(order)).join(numbered, this & (F.col("_size") == F.col("_words")) & (F.col("_row") == F.col("_place")))
+    each = alike.select(*docs.columns, "_copies")
+    for part in (once, again):
+        each = each.unionByName(part.select(*docs.columns, "_copies"))
+    each = each.where("_copies > 0")
     return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from nearfield.llm import mixing
@@ -73,3 +75,16 @@ def test_taken_rows_repeat(spark):
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(df).collect() if r["copies"]}
     got = {r["doc_id"]: r["count"] for r in mixing.take(df).groupBy("doc_id").count().collect()}
     assert got == want and mixing.take(df).columns == df.columns
+
+
+def test_rows_with_null_and_repeated_ids_are_taken_as_the_mix_says(spark):
+    rows = [(None if i % 4 == 0 else i % 13, "w " * (i % 7) + f"x{i}", "en", (None, "a", "b")[i % 3]) for i in range(180)]
+    rows += [(3, "same text", "en", "a")] * 9 + [(None, "", "en", "b"), (None, None, None, None)]
+    df = documents(spark, rows)
+    want, got = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    for r in mixing.take(df).collect():
+        got[r["doc_id"], r["source"], len(split_words(r["text"]))] += 1
+    assert got == +want and any(k[0] is None for k in got)
+    assert sorted(map(str, mixing.take(df).collect())) == sorted(map(str, mixing.take(df.repartition(3)).collect()))
