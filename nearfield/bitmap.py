@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.session import materialise
+from nearfield.tables import fresh
 
 BITS = 1 << 26
 
@@ -27,21 +28,24 @@ def bitmap(keys: DataFrame, key: str) -> DataFrame:
 
 
 def flagged(df: DataFrame, key: str, bits: DataFrame, flag: str) -> DataFrame:
-    """df with a boolean column that is false where the key has no match for certain."""
-    word = F.floor(_place(F.col(key)) / 64)
-    joined = df.join(F.broadcast(bits), word == F.col("_word"), "left")  # at most BITS / 64 rows
-    hit = F.coalesce(F.getbit(F.col("_bits"), (_place(F.col(key)) % 64).cast("int")) == 1, F.lit(False))
-    return joined.withColumn(flag, hit).drop("_word", "_bits")
+    """df with a boolean column that is false where the key has no match for certain. df may have columns of any names."""
+    at, held = fresh(df, "_word", "_bits")
+    own = bits.select(F.col("_word").alias(at), F.col("_bits").alias(held))
+    joined = df.join(F.broadcast(own), F.floor(_place(F.col(key)) / 64) == F.col(at), "left")  # at most BITS / 64 rows
+    hit = F.coalesce(F.getbit(F.col(held), (_place(F.col(key)) % 64).cast("int")) == 1, F.lit(False))
+    return joined.withColumn(flag, hit).drop(at, held)
 
 
 def candidates(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """The rows of df whose key may have a match."""
-    return flagged(df, key, bits, "_may").where("_may").drop("_may")
+    (may,) = fresh(df, "_may")
+    return flagged(df, key, bits, may).where(F.col(may)).drop(may)
 
 
 def anti_join(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is not in gone. Only rows that may match are shuffled; the others pass where they are."""
     gone = materialise(gone.select(key).where(F.col(key).isNotNull()), "gone")
-    marked = flagged(df, key, bitmap(gone, key), "_may")
-    certain = marked.where("NOT _may").drop("_may")
-    return certain.unionByName(marked.where("_may").drop("_may").join(gone, key, "left_anti")).select(df.columns)
+    (may,) = fresh(df, "_may")
+    marked = flagged(df, key, bitmap(gone, key), may)
+    certain = marked.where(~F.col(may)).drop(may)
+    return certain.unionByName(marked.where(F.col(may)).drop(may).join(gone, key, "left_anti").select(df.columns))
