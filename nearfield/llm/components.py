@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.session import discard, materialise
+from nearfield.tables import lookup
+
+#: Edges of one node that one task reads, about.
+EDGES = 50_000
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -14,18 +18,29 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Edges and labels stay distributed; a round is a join, a partial minimum and a jump to the label's label,
     so rounds grow with the logarithm of the longest path. Each round's labels are a table in the shared folder.
 
+    A centre of many edges is dealt over as many shares as its edges need, and its label goes to each; the nodes of a large component look its label's
+    label up in many tasks.
+
     The edges are written before they are read in both directions: tasks that emit spanning forests may emit other ones when they
     run again, and directions from different runs would not belong together.
     """
-    both = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).where("node <> near").distinct(), f"{name}-given")
-    both = materialise(both.unionByName(both.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), f"{name}-edges")
+    given = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).where("node <> near").distinct(), f"{name}-given")
+    both = given.unionByName(given.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct()
+    both = materialise(both.withColumn("share", F.lit(0)), f"{name}-edges")
+    hot = materialise(both.groupBy("near").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > EDGES).select("near", F.ceil(F.col("n") / EDGES).cast("int").alias("shares")), f"{name}-hot")
+    if hot.limit(1).count():
+        dealt = F.pmod(F.xxhash64("node"), F.coalesce("shares", F.lit(1))).cast("int")
+        both = materialise(lookup(both.drop("share"), "near", hot, "node", "left").select("node", "near", dealt.alias("share")), f"{name}-edges")
     labels = materialise(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")), f"{name}-labels")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("near"), F.col("component").alias("offer")), "near").groupBy("node").agg(F.min("offer").alias("offer"))
-        best = labels.join(seen, "node").select("node", F.col("component").alias("before"), F.least("component", "offer").alias("component"))
+        offers = labels.select(F.col("node").alias("near"), F.col("component").alias("offer")).join(hot, "near", "left")
+        offers = offers.select("near", "offer", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+        seen = both.join(offers, ["near", "share"]).groupBy("node").agg(F.min("offer").alias("offer"))
+        best = materialise(labels.join(seen, "node").select("node", F.col("component").alias("before"), F.least("component", "offer").alias("component")), f"{name}-best")
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = materialise(best.join(jump, "component").select("node", F.least("component", "further").alias("component"), (F.least("component", "further") < F.col("before")).alias("moved")), f"{name}-labels")
-        discard(labels)
+        moved = F.least("component", "further") < F.col("before")
+        after = materialise(lookup(best, "component", jump, "node").select("node", F.least("component", "further").alias("component"), moved.alias("moved")), f"{name}-labels")
+        discard(labels, best)
         labels = after
         if labels.where("moved").limit(1).count() == 0:
             return labels.drop("moved")

@@ -9,7 +9,8 @@ Defined cases. A null text counts as empty. Texts are equal when identical after
 (space, U+0009 to U+000D) is replaced by one space; the smallest non-null doc_id of a group stays. Rows
 that repeat a doc_id and its text are one document and share its decision. A null doc_id never stays while
 a non-null one is in its group, and stays if its text is unique. An empty table gives an empty result. Other
-columns, whatever their names, are neither read nor returned by :func:`exact_dedup`.
+columns, whatever their names, are neither read nor returned by :func:`exact_dedup`. :func:`keep` gives whole rows and leaves just one
+of each text, whatever the ids.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.bitmap import bitmap, candidates
+from nearfield.bitmap import bitmap, candidates, flagged
 from nearfield.session import materialise, ship
+from nearfield.tables import fresh, lookup
 
 #: Bits of a fingerprint that filters hold. False matches only cost a byte comparison.
 FINGERPRINT_BITS = 60
@@ -170,7 +172,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     )
     groups = materialise(same, "exact-groups")
-    out = slim.join(groups, "sha", "left")
+    # Unique texts pass where they are; the rows of one text, however many, look their group up in many tasks.
+    marked = materialise(flagged(slim.select("doc_id", "sha"), "sha", bitmap(groups, "sha"), "may"), "exact-marked")
+    alone = marked.where("NOT may").select("sha", "doc_id", F.lit(None).cast(groups.schema["keep_id"].dataType).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    out = alone.unionByName(lookup(marked.where("may").drop("may"), "sha", groups, "doc_id", "left").select("sha", "doc_id", "keep_id", "group_size"))
     return out.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -180,6 +185,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each normalised text, all columns as they are: that with the smallest id, nulls last, and among equals the smallest digest of the row."""
+    norm, mark, may, best = fresh(docs, "_norm", "_mark", "_may", "_best")
+    hashes = materialise(docs.select(F.xxhash64(normalised(F.col(text_col))).alias("hash")), "exact-hashes")
+    repeated = materialise(repeated_fingerprints(hashes, hashes.count()), "exact-repeated")
+    texts = docs.withColumn(norm, normalised(F.col(text_col))).withColumn(mark, _fingerprint(F.col(norm)))
+    bits = bitmap(repeated.withColumnRenamed("fingerprint", mark), mark)
+    marked = flagged(texts, mark, bits, may)
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    # The bytes decide: rows group by their whole normalised text, each partition giving its best row.
+    picked = marked.where(F.col(may)).groupBy(norm).agg(F.min_by(F.struct(*docs.columns), order).alias(best)).select(f"{best}.*")
+    return marked.where(~F.col(may)).select(docs.columns).unionByName(picked)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

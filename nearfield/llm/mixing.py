@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.session import materialise
+from nearfield.tables import fresh
 
 #: Rows that one fold takes, about; a shuffle group is no larger whatever the size of a source.
 BLOCK = 256
@@ -134,32 +135,36 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     A source whose documents are all taken equally often says so for all; only documents of the others look up their own number,
     by doc_id and source, null or not. Rows that repeat both are matched by their size, and by their place among equal sizes.
     """
-    mixed = materialise(mix(docs, id_col, text_col, source_col, **options), "mix-taken")
-    by_source = mixed.where("size > 0").groupBy("source").agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"))
-    by_source = materialise(by_source.withColumnRenamed("source", "_source"), "mix-sources")
-    own = mixed.where("size > 0").join(by_source.where("_low < _high").select("_source"), F.col("source").eqNullSafe(F.col("_source")), "left_semi")
-    own = own.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_of")).agg(F.max("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    low, high, given, copies, rows, ident, of, size, words, place, row = fresh(docs, "_low", "_high", "_given", "_copies", "_rows", "_id", "_of", "_size", "_words", "_place", "_row")
+    own_id, own_source = F.col(id_col), F.col(source_col).cast("string")
+    mixed = materialise(mix(docs, id_col, text_col, source_col, **options), "mix-taken").where("size > 0")
+    by_source = mixed.groupBy("source").agg(F.min("copies").alias(low), F.max("copies").alias(high)).withColumnRenamed("source", given)
+    by_source = materialise(by_source, "mix-sources")
+    uneven = by_source.where(F.col(low) < F.col(high)).select(given)
+    own = mixed.join(uneven, F.col("source").eqNullSafe(F.col(given)), "left_semi")
+    own = own.groupBy(F.col("doc_id").alias(ident), F.col("source").alias(of)).agg(F.max("copies").alias(copies), F.count(F.lit(1)).alias(rows))
     own = materialise(own, "mix-own")
-    this = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_of"))
-    repeats = own.where("_rows > 1").select("_id", "_of")
-    numbered = mixed.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")), "left_semi").where("size > 0")
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies")))
-    numbered = numbered.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_words"), "copies", place.alias("_place"))
-    numbered = materialise(numbered.withColumnRenamed("copies", "_copies"), "mix-repeats")
-    known = docs.join(by_source, F.col(source_col).cast("string").eqNullSafe(F.col("_source")), "left")
+    this = own_id.eqNullSafe(F.col(ident)) & own_source.eqNullSafe(F.col(of))
+    repeats = own.where(F.col(rows) > 1).select(ident, of)
+    numbered = mixed.join(repeats, F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(of)), "left_semi")
+    order = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies")))
+    numbered = numbered.select(F.col("doc_id").alias(ident), F.col("source").alias(of), F.col("size").alias(words), F.col("copies").alias(copies), order.alias(place))
+    numbered = materialise(numbered, "mix-repeats")
+    known = docs.join(by_source, own_source.eqNullSafe(F.col(given)), "left")
     empty = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    known = known.withColumn("_low", F.when(empty, F.lit(0)).otherwise(F.col("_low"))).withColumn("_high", F.when(empty, F.lit(0)).otherwise(F.col("_high")))
-    alike = known.where("_low = _high").withColumn("_copies", F.col("_low"))
-    apart = known.where("_low < _high")
-    once = apart.join(own.where("_rows = 1"), this)
-    again = apart.join(repeats, this, "left_semi").select(*docs.columns, word_count(F.col(text_col)).alias("_size"))
-    order = Window.partitionBy(F.col(id_col), F.col(source_col).cast("string"), F.col("_size")).orderBy(F.to_json(F.struct(*docs.columns)))
-    again = again.withColumn("_row", F.row_number().over(order)).join(numbered, this & (F.col("_size") == F.col("_words")) & (F.col("_row") == F.col("_place")))
-    each = alike.select(*docs.columns, "_copies")
+    known = known.withColumn(low, F.when(empty, F.lit(0)).otherwise(F.col(low))).withColumn(high, F.when(empty, F.lit(0)).otherwise(F.col(high)))
+    alike = known.where(F.col(low) == F.col(high)).withColumn(copies, F.col(low))
+    apart = known.where(F.col(low) < F.col(high)).select(docs.columns)
+    once = apart.join(own.where(F.col(rows) == 1), this)
+    again = apart.join(repeats, this, "left_semi").withColumn(size, word_count(F.col(text_col)))
+    digest = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+    again = again.withColumn(row, F.row_number().over(Window.partitionBy(own_id, own_source, F.col(size)).orderBy(digest)))
+    again = again.join(numbered, this & (F.col(size) == F.col(words)) & (F.col(row) == F.col(place)))
+    each = alike.select(*docs.columns, copies)
     for part in (once, again):
-        each = each.unionByName(part.select(*docs.columns, "_copies"))
-    each = each.where("_copies > 0")
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
+        each = each.unionByName(part.select(*docs.columns, copies))
+    each = each.where(F.col(copies) > 0)
+    return each.withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

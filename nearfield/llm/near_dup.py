@@ -6,14 +6,15 @@
 2. Equal sets collapse to one representative. Everything below works on representatives.
 3. Candidates of a band key compare signatures batch by batch. With m of h bytes equal, the posterior
    probability that similarity reaches the threshold is P(Binomial(h + 1, threshold) <= m) under a uniform prior; a pair
-   is pruned once that falls under its part of :data:`MISS`. Only a spanning forest of the survivors is kept. A
-   key with more than :data:`SMALL` members gives a star instead, without pruning, so nothing is lost there.
-4. The connected components of these edges are clusters: every linked pair of step 3 lies within one. Clusters are dealt into blocks
-   of about :data:`BLOCK` documents with their full shingle sets. A block compares all its pairs that are not
-   connected yet, prunes by the same rule, and verifies survivors exactly on full sets.
-5. Clusters of several blocks need their cross-block pairs. Some hub documents are in every block of the
-   cluster and join what the blocks found. Documents then outside the cluster's largest component meet every
-   block; pairs within that component are connected and need no test.
+   is pruned once that falls under its part of :data:`MISS`. Only a spanning forest of the survivors is kept. The members of a
+   key with more than :data:`SMALL` are tied to its first for now; their pairs are compared in the next steps.
+4. The connected components of these edges are clusters: every candidate pair that survives lies within one. Clusters are dealt into blocks
+   of about :data:`BLOCK` documents with their full shingle sets, and some hub documents are in every block of their cluster. A block compares
+   all its pairs that are not connected yet, prunes by the same rule, and verifies survivors exactly on full sets.
+5. A cluster of several blocks is split by second keys: each document's rarest shingles, so many that two linked documents must share
+   one (all but 80 of 100, and one more; the order of rarity is the same for all). Keys whose documents are connected already are done.
+   The pairs of each other key are compared and pruned by signatures alone, and only the documents of surviving pairs meet with full sets.
+   Pages that share a template and no more share none of their rarest shingles, so their number does not square.
 6. Components of the verified links are the result.
 
 No step emits the pairs of a group: blocks emit spanning forests, which lose no component. No key, bucket
@@ -22,7 +23,8 @@ or cluster is capped.
 Defined cases. A null or empty text, or one of white space only, has an empty set and is linked with nothing.
 Fewer words than a shingle count as one shingle of all words. Ties go to the smallest doc_id. Rows that repeat a
 doc_id are one document, linked with what either is linked with. A row with a null doc_id is linked with
-nothing, has a null component and is kept. An empty table gives an empty result. Other columns are not read.
+nothing, has a null component and is kept. An empty table gives an empty result. Other columns are not read. :func:`keep_one` takes
+each row as a document of its own, whatever its id.
 """
 
 from __future__ import annotations
@@ -36,20 +38,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.bitmap import bitmap, candidates
+from nearfield.bitmap import anti_join, bitmap, candidates
 from nearfield.llm.components import components
-from nearfield.runs import complete_runs, trimmed
 from nearfield.llm.shingles import MinHash, mix64, set_digests, shingle_hashes
+from nearfield.runs import complete_runs, trimmed
 from nearfield.session import discard, materialise, ship
+from nearfield.tables import fresh, lookup
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
-#: Members up to which a band key's pairs are compared at once; larger keys become stars.
+#: Members up to which a band key's pairs are compared at once.
 SMALL = 64
 #: Signature bytes compared before each look, and the chance of losing a pair at the threshold over all looks.
 LOOK, MISS = 16, 1e-5
 #: Documents in a block, and hub documents that each block of a large cluster shares, about.
-BLOCK, HUBS = 256, 16
+BLOCK, HUBS = 128, 16
+#: Buckets of the counts that say how rare a shingle is. Any order is a right one; a bounded table of counts makes it a good one.
+BUCKETS = 1 << 20
 #: Rows of an Arrow batch where rows hold texts or sets.
 ARROW_ROWS = 1000
 
@@ -185,7 +190,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _block_edges(percent: int):
-    """Verified links of each block, as a spanning forest. Blocks of step 5 compare open documents with others only."""
+    """Verified links of each block, as a spanning forest. Blocks with two sides compare one with the other only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in complete_runs(batches, ["cluster", "block", "part"]):
@@ -200,11 +205,8 @@ def _block_edges(percent: int):
                 _, label = np.unique(labels[s:e], return_inverse=True)
                 forest = Forest(len(label))  # over labels: what is connected already is one node
                 for a, b in _pairs(e - s, side[s:e]):
-                    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                    keep = (100 * low >= percent * high) & (label[a] != label[b])
-                    a, b = a[keep], b[keep]
-                    at, matches = surviving(sig[s:e], a, b, percent / 100)
-                    for i in at[np.argsort(-matches, kind="stable")].tolist():
+                    a, b, matches = _possible(sig[s:e], n, label, a, b, percent)
+                    for i in np.argsort(-matches, kind="stable").tolist():
                         x, y = label[a[i]], label[b[i]]
                         if forest.find(x) != forest.find(y) and linked(sets[a[i]], sets[b[i]], percent):
                             forest.join(x, y)
@@ -215,6 +217,70 @@ def _block_edges(percent: int):
     return run
 
 
+def _possible(sig: np.ndarray, n: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (a, b), and their matches, whose sizes and signatures allow a link between different components."""
+    keep = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (label[a] != label[b])
+    a, b = a[keep], b[keep]
+    at, matches = surviving(sig, a, b, percent / 100)
+    return a[at], b[at], matches
+
+
+_PLACE = ["cluster", "block", "part", "doc_id", "component", "side"]
+
+
+def _survivors(percent: int):
+    """The rows of each block that are in a pair which signatures do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in complete_runs(batches, ["cluster", "block", "part"]):
+            sig, n, side = _signatures(t.column("sig")), t.column("n_shingles").to_numpy(), t.column("side").to_numpy()
+            labels = t.column("component").to_numpy()
+            hit = np.zeros(t.num_rows, bool)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                for a, b in _pairs(e - s, side[s:e]):
+                    a, b, _ = _possible(sig[s:e], n[s:e], labels[s:e], a, b, percent)
+                    hit[s + a] = True
+                    hit[s + b] = True
+            if hit.any():
+                yield from t.select(_PLACE).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return run
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            counts += np.bincount(_bucket(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)), minlength=BUCKETS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["bucket", "n"])
+
+
+def _rare_keys(percent: int, counts):
+    """(key, doc_id, component): a key for each of the rarest shingles of a document within its cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for batch in batches:
+            for b in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                keys, sizes = [], []
+                for cluster, m in zip(b.column("cluster").to_numpy(), b.column("members"), strict=True):
+                    x = np.frombuffer(m.as_buffer(), np.uint64)
+                    p = len(x) - -(-percent * len(x) // 100) + 1
+                    rare = np.lexsort((x, often[_bucket(x)]))[:p]
+                    keys.append(mix64(x[rare] ^ mix64(np.array([cluster], np.int64).view(np.uint64))))
+                    sizes.append(p)
+                at = np.repeat(np.arange(b.num_rows), sizes)
+                key = pa.array(np.concatenate(keys).view(np.int64)) if keys else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([key, b.column("doc_id").take(pa.array(at)), b.column("component").take(pa.array(at))], ["key", "doc_id", "component"])
+
+    return run
+
+
 def _pairs(m: int, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a block, some rows of it at a time: all, or those of the two sides if it has two."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -233,11 +299,51 @@ def _share(salt: int):
     return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 11) / F.lit(float(1 << 53))
 
 
-def _run_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    columns = ["cluster", "block", "part", "doc_id", "component", "side", "sig", "members"]
+def _by_block(rows: DataFrame, run, schema: str, *also: str) -> DataFrame:
+    """``run`` over whole blocks; also: columns besides those of the place."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*columns).repartition(n, "cluster", "block", "part").sortWithinPartitions("cluster", "block", "part")
-    return dealt.mapInArrow(trimmed(_block_edges(percent)), "a long, b long")
+    dealt = rows.select(*_PLACE, "sig", *also).repartition(n, "cluster", "block", "part").sortWithinPartitions("cluster", "block", "part")
+    return dealt.mapInArrow(trimmed(run), schema)
+
+
+def _verified(rows: DataFrame, percent: int, name: str) -> DataFrame:
+    return materialise(_by_block(rows, _block_edges(percent), "a long, b long", "members"), name, ARROW_ROWS)
+
+
+def _second_keys(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between the components so far of clusters of several blocks, by step 5."""
+    spark = pool.sparkSession
+    large = pool.where("blocks > 1")
+    counted = materialise(large.select("members").mapInArrow(trimmed(_bucket_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "near-counts")
+    often = np.zeros(BUCKETS, np.int64)
+    for b in counted.toArrow().to_batches():  # at most BUCKETS rows
+        often[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+    so_far = components(links, "near-first").withColumnRenamed("node", "doc_id")
+    known = large.select("doc_id", "cluster", "members").join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    keyed = materialise(known.mapInArrow(trimmed(_rare_keys(percent, shared)), "key long, doc_id long, component long"), "near-keyed", ARROW_ROWS)
+    # Of each key with several components: how many rows, the component with most of them, and how many rows are in others.
+    counts = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("open"))
+    mixed = materialise(largest.where("kinds > 1").drop("kinds"), "near-mixed")
+    if not mixed.limit(1).count():
+        return links
+    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("long")
+    rows = lookup(candidates(keyed, "key", bitmap(mixed, "key")), "key", mixed, "doc_id").withColumn("blocks", blocks).withColumn("cluster", F.col("key"))
+    rows = rows.withColumn("parts", F.ceil(F.col("open") / F.lit(float(BLOCK))).cast("long")).withColumn("own", F.floor(_share(4) * F.col("blocks")).cast("long"))
+    rows = materialise(rows.select("cluster", "doc_id", "component", "largest", "blocks", "parts", "own"), "near-rare")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = rows.where("blocks = 1").select("cluster", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("part"), "doc_id", "component", F.lit(0).alias("side"))
+    # Of a key with several blocks the documents outside its largest component meet every block; those within are connected.
+    several = rows.where("blocks > 1")
+    fixed = several.withColumn("block", F.col("own")).withColumn("part", every("parts")).withColumn("side", F.lit(0)).select(*_PLACE)
+    roaming = several.where("component <> largest").withColumn("block", every("blocks")).withColumn("part", F.floor(_share(3) * F.col("parts")).cast("long")).withColumn("side", F.lit(1)).select(*_PLACE)
+    signed = one.unionByName(fixed).unionByName(roaming).join(large.select("doc_id", "sig", F.expr("length(members) div 8").alias("n_shingles")), "doc_id")
+    place = "cluster long, block long, part long, doc_id long, component long, side int"
+    near = materialise(_by_block(signed, _survivors(percent), place, "n_shingles"), "near-survivors", ARROW_ROWS)
+    more = _verified(near.join(large.select("doc_id", "sig", "members"), "doc_id"), percent, "near-more")
+    discard(keyed, rows)
+    return links.unionByName(more)
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,9 +369,9 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stars = spokes.unionByName(rims).where("a <> b")
     clusters = components(forests.unionByName(stars), "near-clusters").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialise(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
     blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("long")
-    dealt = clusters.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("own", F.floor(_share(1) * F.col("blocks")).cast("long"))
+    dealt = lookup(clusters, "cluster", sizes, "doc_id").withColumn("blocks", blocks).withColumn("own", F.floor(_share(1) * F.col("blocks")).cast("long"))
     dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id")
     # Texts whose id is in no cluster do not take part in the shuffle.
     wanted = candidates(texts, "doc_id", bitmap(clusters, "doc_id"))
@@ -273,21 +379,9 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # Each document is alone at first: its id is its component.
     everywhere = (F.col("blocks") > 1) & (_share(2) < F.lit(float(HUBS)) / F.col("size"))
     first = pool.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    first = first.select("*", F.lit(0).cast("long").alias("part"), F.col("doc_id").alias("component"), F.lit(0).alias("side"))
-    links = materialise(_run_blocks(first, percent), "near-links", ARROW_ROWS)
-
-    large = pool.where("blocks > 1")
-    if large.limit(1).count():
-        so_far = components(links, "near-first").withColumnRenamed("node", "doc_id")
-        known = large.join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        counts = known.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("open"))
-        known = known.join(largest.where("open > 0"), "cluster").withColumn("parts", F.ceil(F.col("open") / F.lit(float(BLOCK))).cast("long"))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        fixed = known.withColumn("block", F.col("own")).withColumn("part", every("parts")).withColumn("side", F.lit(0))
-        roaming = known.where("component <> largest").withColumn("block", every("blocks")).withColumn("part", F.floor(_share(3) * F.col("parts")).cast("long")).withColumn("side", F.lit(1))
-        more = materialise(_run_blocks(fixed.unionByName(roaming), percent), "near-more", ARROW_ROWS)
-        links = links.unionByName(more)
+    links = _verified(first.select("*", F.lit(0).cast("long").alias("part"), F.col("doc_id").alias("component"), F.lit(0).alias("side")), percent, "near-links")
+    if sizes.where(F.col("size") > BLOCK).limit(1).count():
+        links = _second_keys(pool, links, percent)
 
     found = components(links, "near-found").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")
     of_class = materialise(classes.join(found, "doc_id", "left").select(*sets, F.coalesce("component_id", "doc_id").alias("component_id")), "near-classes")
@@ -297,5 +391,22 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, without all but one row of each component: that with the smallest id, nulls last.
+
+    Rows are numbered once, in a table, and the numbers stand for documents: rows that repeat an id or have none are documents of their own.
+    """
+    (row,) = fresh(docs, "_row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-numbered")
+    found = materialise(near_components(numbered, words, percent, row, text_col).select(F.col("doc_id").alias("row"), "component_id"), "near-rows")
+    groups = materialise(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id"), "near-groups")
+    placed = lookup(candidates(found, "component_id", bitmap(groups, "component_id")), "component_id", groups, "row")
+    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
+    placed = materialise(placed.join(candidates(ids, "row", bitmap(placed, "row")), "row").select("component_id", "row", "id"), "near-placed")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("stays"))
+    gone = lookup(placed, "component_id", first, "row").where("row <> stays").select(F.col("row").alias(row))
+    return anti_join(numbered, gone, row).drop(row)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
