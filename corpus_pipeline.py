@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.bitmap import anti_join
 from nearfield.llm import exact_dedup, mixing, near_dup, pieces, quality
 from nearfield.session import materialise
 
@@ -20,13 +19,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each normalised text."""
-    return anti_join(docs, exact_dedup.exact_dedup(docs).where("NOT kept"), "doc_id")
+    """One row of each normalised text, that with the smallest doc_id."""
+    return exact_dedup.keep(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group linked at 0.8 over shingles of five words."""
-    return anti_join(docs, near_dup.near_components(docs).where("NOT kept"), "doc_id")
+    """One row of each group linked at 0.8 over shingles of five words, that with the smallest doc_id."""
+    return near_dup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
