@@ -5,11 +5,12 @@ and suffix: the mean of each level is the prior mean of the level below, and the
 much the groups of the level vary beyond binomial chance (empirical Bayes, by moments). A host is blocked where the
 lower bound of its posterior share of bad pages, mean less :data:`Z` standard deviations, is above :data:`CUT`.
 
-Counts per host are partial sums, so a host with most of the pages is no burden; only hosts that are blocked join the pages.
+Counts per host are partial sums, written once, so a host with most of the pages is no burden; only pages whose host may be blocked are joined with
+the blocked hosts, those of one host in many tasks.
 
 Defined cases. A null url, or one without ``://``, has an empty host and path, no rule, and is allowed. A host without labels has its domain's
 prior. Null labels are no outcomes; a page with several labels has several. Repeated pages count as often as they stand there.
-The registered domain is a host's last two labels, the suffix its last one. Among rules that fit the longest wins; ties go to the one listed first.
+The suffix is a host's last two labels if these are among :data:`SUFFIXES`, else its last one; the registered domain has one label more. Among rules that fit the longest wins; ties go to the one listed first.
 """
 
 from __future__ import annotations
@@ -17,11 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.bitmap import bitmap, flagged
+from nearfield.session import materialise
+from nearfield.tables import lookup
+
 Z, CUT = 1.6448536269514722, 0.5
 #: Intra-group correlation: the least, the most, and what is assumed where groups are too few to estimate it.
 RHO_LEAST, RHO_MOST, RHO_ASSUMED = 0.001, 0.5, 0.05
 #: (verdict, host, path). A parameter of a few hundred rules at most; they become one expression.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# Public suffixes of two labels under which sites of unrelated owners are registered. A parameter, for longer lists.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "sch.uk", "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp",
+    "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz", "ac.in", "co.in", "gov.in", "net.in", "org.in", "com.br", "gov.br", "net.br", "org.br", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.mx", "gob.mx", "org.mx", "com.ar", "gob.ar", "org.ar", "com.tr", "gov.tr", "org.tr", "ac.za", "co.za", "gov.za", "org.za", "ac.kr", "co.kr", "go.kr", "or.kr", "com.tw", "edu.tw", "org.tw",
+    "com.hk", "edu.hk", "org.hk", "com.sg", "edu.sg", "ac.il", "co.il", "org.il", "com.pl", "net.pl", "org.pl", "com.ua", "com.es", "org.es", "co.id", "or.id", "com.my", "co.th", "com.vn", "com.co",
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,32 +65,44 @@ def _strength(groups: DataFrame, parent: str | None) -> float:
     return 1 / rho - 1
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    two = F.substring_index(host, ".", -2)
+    known = two.isin(list(suffixes))
+    return F.when(known, F.substring_index(host, ".", -3)).otherwise(two), F.when(known, two).otherwise(F.substring_index(host, ".", -1))
+
+
+def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(host, n, bad, mean, lower) from (host, bad), bad null where a page has no outcome."""
     hosts = outcomes.where("host <> ''").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+    hosts = materialise(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts-counts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
-    k_host, k_domain, k_suffix = _strength(hosts, "domain"), _strength(domains, "suffix"), _strength(suffixes, None)
-    n, bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    domains = materialise(hosts.groupBy("domain", "suffix").agg(*sums), "hosts-domains")
+    suffixed = domains.groupBy("suffix").agg(*sums)
+    k_host, k_domain, k_suffix = _strength(hosts, "domain"), _strength(domains, "suffix"), _strength(suffixed, None)
+    n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     root = (bad + 1) / (n + 2)
     shrunk = lambda k, prior: (F.col("bad") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
-    suffixes = suffixes.select("suffix", shrunk(k_suffix, F.lit(root)).alias("suffix_mean"))
-    domains = domains.join(suffixes, "suffix").select("domain", shrunk(k_domain, F.col("suffix_mean")).alias("domain_mean"))
-    posterior = hosts.join(domains, "domain").withColumn("a", F.col("bad") + F.lit(k_host) * F.col("domain_mean")).withColumn("b", F.col("n") - F.col("bad") + F.lit(k_host) * (1 - F.col("domain_mean")))
+    means = suffixed.select("suffix", shrunk(k_suffix, F.lit(root)).alias("suffix_mean"))
+    priors = domains.join(means, "suffix").select("domain", shrunk(k_domain, F.col("suffix_mean")).alias("domain_mean"))
+    posterior = lookup(hosts, "domain", priors, "host").withColumn("a", F.col("bad") + F.lit(k_host) * F.col("domain_mean")).withColumn("b", F.col("n") - F.col("bad") + F.lit(k_host) * (1 - F.col("domain_mean")))
     total, mean = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
     return posterior.select("host", "n", "bad", mean.alias("mean"), (mean - F.lit(Z) * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))).alias("lower"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict), a row for each row of pages."""
     host, path = host_and_path(F.col(url_col))
     own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     outcome = labels.where(F.col(label_col).isNotNull()).select(F.col(label_id).alias("page_id"), (F.col(label_col) == 0).cast("long").alias("bad"))
-    blocked = reputations(own.select("page_id", "host").join(outcome, "page_id", "left")).where(F.col("lower") > CUT).select("host", F.lit("block").alias("reputation"))
+    # Hosts without an outcome take the prior of their domain, so all pages are counted.
+    counted = reputations(own.select("page_id", "host").join(outcome, "page_id", "left"), suffixes)
+    blocked = materialise(counted.where(F.col("lower") > CUT).select("host", F.lit("block").alias("reputation")), "hosts-blocked")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return own.join(blocked, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "reputation", F.lit("allow")).alias("verdict"))
+    marked = flagged(own, "host", bitmap(blocked, "host"), "may")
+    apart = marked.where("NOT may").drop("may").withColumn("reputation", F.lit(None).cast("string"))
+    joined = lookup(marked.where("may").drop("may"), "host", blocked, "page_id", "left").select(*own.columns, "reputation")
+    return apart.unionByName(joined).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "reputation", F.lit("allow")).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -94,8 +118,8 @@ WITH r AS (
   SELECT host, CASE WHEN l.quality IS NULL THEN NULL WHEN l.quality = 0 THEN 1 ELSE 0 END AS bad
   FROM p LEFT JOIN (SELECT * FROM labels WHERE quality IS NOT NULL) l ON l.doc_id = p.page_id
 ), h AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix,
-    count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM o WHERE host <> '' GROUP BY host
+  SELECT host, CASE WHEN two IN {SUFFIXES} THEN array_to_string(list_slice(parts, -3, -1), '.') ELSE two END AS domain, CASE WHEN two IN {SUFFIXES} THEN two ELSE list_extract(parts, -1) END AS suffix,
+    count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM (SELECT *, string_split(host, '.') AS parts, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two FROM o) WHERE host <> '' GROUP BY host, parts, two
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
 levels AS (

@@ -11,7 +11,7 @@ Training takes at most :data:`SAMPLE` texts and at most :data:`PER_LANGUAGE` of
 ids. All else covers every row and whole texts.
 
 Defined cases. A text that is null or has no letter is ``und`` with score 0 and rejected. Without any labelled row all texts
-are ``und``. With one language all other texts get it with score 1. Ties go to the language that sorts first.
+are ``und``. Of rows that repeat an id and a language the smallest text trains. With one language all other texts get it with score 1. Ties go to the language that sorts first.
 Rows are predicted one by one, so repeated rows get equal results; language, source and id are no inputs.
 """
 
@@ -203,8 +203,8 @@ def labelled_sample(docs: DataFrame, where, id_col: str = "doc_id", text_col: st
     own = own.withColumn("place", place).where(F.col("place") <= quota).select("doc_id", "lang")
     # At most SAMPLE ids and languages are broadcast, and as many texts come to the driver.
     own = own.distinct().limit(SAMPLE)
-    rows = d.join(F.broadcast(own), ["doc_id", "lang"]).select("doc_id", "lang", "text").toPandas()
-    rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "lang", "text"], kind="stable")
+    rows = d.join(F.broadcast(own), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = rows.toPandas().sort_values(["doc_id", "lang"], kind="stable")
     return rows["text"].tolist(), rows["lang"].tolist()
 
 

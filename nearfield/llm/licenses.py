@@ -1,21 +1,24 @@
-"""License scans by exact word seeds, conditional compression and exact differences.
+"""License scans by conditional compression and exact word differences.
 
 A wording of n words may differ in a tenth of n: words of it that the text lacks, and words that the text has between them besides.
 None of either may be a name or number that tells licenses apart. Cut into one part more than it may have differences, a wording leaves
-one part at least untouched, so one automaton pass for all parts finds every place where a wording can stand. Each is confirmed
-by the least differences on both sides of the part. Words alone count: line breaks, blank lines, punctuation and what stands around do not.
+one part at least untouched, so one automaton pass for all parts finds every place where a wording can stand. The stretch of text that the wording
+can cover from there is a candidate; candidates that overlap are one block.
 
-A confirmed span is compressed by zstandard alone, and with the wording as raw dictionary. Where spans overlap, the one that saves most bytes stays.
+Each block is compressed by zstandard alone and with each wording as raw dictionary. The wordings, ranked by the bytes that they save, are confirmed in
+that order by the least differences on both sides of a part; a confirmed span takes its words, and the ranks below are confirmed in what is left.
+So the compression decides between wordings that overlap and none is given up by its rank. Words alone count: line breaks, blank lines, punctuation and what
+stands around do not.
 
 Defined cases. A null or empty text has no license. Spans go from the first to the last word that matches, with a full stop that ends
-both, and never overlap. Ties in saving go to the wording listed first, then to the earlier place. Time and memory are linear in a
-text's length. Rows are scanned one by one, so repeated rows get equal results.
+both, and never overlap. Ties in saving go to the wording listed first, places of one wording from left to right. Time and memory are linear in a
+text's length, but for a block's words, which are few around each place. Rows are scanned one by one, so repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -68,21 +71,67 @@ WORDINGS = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    # The first lines of texts that are too long to list here.
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
 )
 #: Words that tell licenses apart.
-NAMES = {"mit", "apache", "gnu", "lesser", "affero", "mozilla", "cc", "by", "sa", "nc", "nd", "sharealike", "noncommercial", "bsd", "isc", "cc0", "clause"}
-#: Share of the wording's words that may differ; share of its own size that a whole wording saves at least, which cuts nothing.
-DIFFER, SAVING = 0.1, 0.2
-#: Spans whose compressed sizes are kept; the table is emptied when full.
-TABLE = 20_000
+NAMES = {"mit", "apache", "gnu", "lesser", "affero", "mozilla", "cc", "by", "sa", "nc", "nd", "sharealike", "noncommercial", "bsd", "isc", "cc0", "clause", "eclipse", "boost"}
+#: Share of a wording's words that may differ.
+DIFFER = 0.1
+#: Blocks whose ranks are kept, and words of the longest that are; the table is emptied when full.
+TABLE, SHORT = 20_000, 400
 
 _words = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
 @dataclass(frozen=True)
 class Match:
+    """saving is the share of its block's compressed size that the wording spares."""
+
     license: str
     saving: float
     missing: tuple[str, ...]
@@ -94,7 +143,7 @@ def _tools():
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
     own = []
     for _, wording in WORDINGS:
-        d = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d = zstandard.ZstdCompressionDict(" ".join(_words.findall(wording.lower())).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         own.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
     return plain, own
 
@@ -159,41 +208,78 @@ def _extend(text: list[str], template: list[str], most: int) -> tuple[int, list[
     return read, missing[::-1], extra[::-1]
 
 
-_known: dict[tuple[int, str], tuple[int, int]] = {}
+_known: dict[str, tuple[tuple[int, float], ...]] = {}
 
 
-def _sizes(wording: int, span: str) -> tuple[int, int]:
-    """Compressed sizes of a span, alone and with the wording."""
-    key = wording, " ".join(span.lower().split())
-    if key not in _known:
+def ranked(words: list[str]) -> tuple[tuple[int, float], ...]:
+    """(wording, share of the block's compressed size that it saves as raw dictionary) of all wordings, the largest saving first."""
+    block = " ".join(words)
+    if block in _known:
+        return _known[block]
+    plain, own = _tools()
+    data = block.encode("utf-8", "surrogatepass")
+    alone = len(plain.compress(data))
+    saving = [1 - len(c.compress(data)) / alone for c in own]
+    out = tuple(sorted(enumerate(saving), key=lambda x: (-x[1], x[0])))
+    if len(words) <= SHORT:
         if len(_known) >= TABLE:
             _known.clear()
-        plain, own = _tools()
-        data = key[1].encode("utf-8", "surrogatepass")
-        _known[key] = len(plain.compress(data)), len(own[wording].compress(data))
-    return _known[key]
+        _known[block] = out
+    return out
 
 
-def _confirmed(words: list[str]) -> Iterator[tuple[int, int, int, list[str], list[str]]]:
-    """(first word, word after the last, wording, missing, extra) of each place of each wording; those of one wording do not overlap."""
+@dataclass
+class Block:
+    """Words first to last, exclusive, and the places in them of parts of wordings: by wording (first word of the part, part's bounds in the wording)."""
+
+    first: int
+    last: int
+    parts: dict[int, list[tuple[int, int, int]]]
+
+
+def candidate_blocks(words: list[str]) -> Iterator[Block]:
+    """Maximal stretches of words that wordings could cover, in order."""
     templates, automaton, _ = _seeds()
     ends = list(accumulate(len(w) + 1 for w in words))
-    done = [0] * len(templates)
+    hits = []
     for end, places in automaton.iter(f" {' '.join(words)} "):
         after = bisect_left(ends, end) + 1
         for t, a, z in places:
-            at = after - (z - a)
-            if at < done[t]:
-                continue
-            template, most = templates[t], int(DIFFER * len(templates[t]))
-            left = _extend(words[max(done[t], at - a - most) : at][::-1], template[:a][::-1], most)
+            at, most = after - (z - a), int(DIFFER * len(templates[t]))
+            hits.append((max(0, at - a - most), min(len(words), after + len(templates[t]) - z + most), t, at, a, z))
+    block: Block | None = None
+    for first, last, t, at, a, z in sorted(hits):
+        if block is None or first >= block.last:
+            if block is not None:
+                yield block
+            block = Block(first, last, {})
+        block.last = max(block.last, last)
+        block.parts.setdefault(t, []).append((at, a, z))
+    if block is not None:
+        yield block
+
+
+def _confirmed(words: list[str], block: Block) -> Iterator[tuple[int, int, int, float, list[str], list[str]]]:
+    """(first word, word after the last, wording, saving, missing, extra): wordings by rank, each confirmed where no one before it stands."""
+    templates = _seeds()[0]
+    taken: list[tuple[int, int]] = []
+    for t, saving in ranked(words[block.first : block.last]):
+        template, most = templates[t], int(DIFFER * len(templates[t]))
+        for at, a, z in sorted(block.parts.get(t, ())):
+            i = bisect_left(taken, (at + 1,))
+            low, high = taken[i - 1][1] if i else 0, taken[i][0] if i < len(taken) else len(words)
+            if at < low or at + z - a > high:
+                continue  # the part lies in a span that is confirmed
+            left = _extend(words[max(low, at - a - most) : at][::-1], template[:a][::-1], most)
             if left is None:
                 continue
-            right = _extend(words[after : after + len(template) - z + most], template[z:], most - len(left[1]) - len(left[2]))
+            after = at + z - a
+            right = _extend(words[after : min(high, after + len(template) - z + most)], template[z:], most - len(left[1]) - len(left[2]))
             if right is None:
                 continue
-            done[t] = after + right[0]
-            yield at - left[0], done[t], t, left[1][::-1] + right[1], left[2][::-1] + right[2]
+            span = at - left[0], after + right[0]
+            insort(taken, span)
+            yield *span, t, saving, left[1][::-1] + right[1], left[2][::-1] + right[2]
 
 
 def scan_text(text: str | None) -> list[tuple[int, int, Match]]:
@@ -205,22 +291,17 @@ def scan_text(text: str | None) -> list[tuple[int, int, Match]]:
         return []
     if len(low) != len(text):  # a few characters grow when lower-cased
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-    places = list(_confirmed(_words.findall(low)))
+    words = _words.findall(low)
+    places = [x for b in candidate_blocks(words) for x in _confirmed(words, b)]
     if not places:
         return []
     at = [m.span() for m in _words.finditer(low)]
-    spans = []
-    for a, z, t, missing, extra in places:
+    out = []
+    for a, z, t, saving, missing, extra in sorted(places, key=lambda x: x[:2]):
         start, end = at[a][0], at[z - 1][1]
         if text[end : end + 1] == "." == WORDINGS[t][1][-1]:
             end += 1
-        alone, given = _sizes(t, low[start:end])
-        spans.append((given - alone, t, start, end, Match(WORDINGS[t][0], 1 - given / alone, tuple(missing), tuple(extra))))
-    out: list[tuple[int, int, Match]] = []
-    for _, _, start, end, m in sorted(spans, key=lambda x: x[:3]):
-        i = bisect_left(out, start, key=lambda x: x[0])
-        if (i == len(out) or end <= out[i][0]) and (i == 0 or out[i - 1][1] <= start):
-            out.insert(i, (start, end, m))
+        out.append((start, end, Match(WORDINGS[t][0], saving, tuple(missing), tuple(extra))))
     return out
 
 

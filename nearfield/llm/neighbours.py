@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product with a forest of hash-prefix trees.
 
-A tree is a sorted array of long hash strings, one bit for the side of each random hyperplane. A query descends each tree to the
+A tree is a sorted array of long hash strings, one bit for the side of each hyperplane; a tree's hyperplanes are random and orthogonal, which tells
+near from far better than independent ones. A query descends each tree to the
 longest prefix that it shares with an entry, then all trees ascend together, one bit at a time, and the entries that share the
-shortened prefix become candidates until there are enough. Candidates are ranked by exact inner products.
+shortened prefix become candidates until there are enough. Candidates, and no other vectors, are ranked by exact inner products.
 
 Vectors are scaled by the largest norm and given one more component that makes them unit vectors, so that the nearest by angle
 is the one with the largest inner product.
@@ -13,7 +14,7 @@ Every vector is indexed. The number of candidates, as a share of a shard, is the
 :data:`TARGET` recall against brute force on a sample of at most :data:`SAMPLE` vectors, of which :data:`SAMPLE_QUERIES` are queries;
 at a larger size the same share finds more. Equal vectors of a shard are indexed once with their ``k`` + 1 smallest ids.
 
-Defined cases. Rows whose id is null, or whose vector is null, empty, zero or holds null or a non-finite component, take no
+Defined cases. Ids are integers. Rows whose id is null, or whose vector is null, empty, zero or holds null or a non-finite component, take no
 part. Vectors of different dimension are never compared. Ties go to the smaller id. A query's own id is no candidate; of rows that repeat a query id the one with the
 largest vector, compared as an array, asks. Repeated candidate rows are candidates each. Fewer candidates than ``k`` give fewer rows.
 """
@@ -32,28 +33,28 @@ from nearfield.runs import complete_runs, trimmed
 from nearfield.sampling import smallest_hashes
 from nearfield.session import materialise, ship
 
-TREES, BITS = 64, 24
+TREES, BITS = 256, 24
 SHARD, QUERIES = 32_768, 8192
-SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 128, 0.96
-#: Shares of a shard that are tried, counted over all trees.
-SHARES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0, 1.3, 1.6, 2.0, 3.0, 4.0, 8.0, float(TREES))
+SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 128, 0.94
+#: Shares of a shard that are tried, counted over all trees, with what several trees name.
+SHARES = (0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.8, 1.0, 1.3, 1.6, 2.0, 3.0, 4.0, 8.0, float(TREES))
+#: Queries that ascend at once.
+TOGETHER = 512
 
 
 class Forest:
-    """Sorted hash strings of ``x``, unit vectors by row, for each tree."""
+    """Sorted hash strings of ``x``, unit vectors by row in single precision, for each tree."""
 
     def __init__(self, x: np.ndarray) -> None:
-        rng = np.random.default_rng(x.shape[1])
-        self.planes = rng.standard_normal((TREES, x.shape[1], BITS)).astype(np.float32)
+        self.planes = _hyperplanes(x.shape[1])
         self.order, self.keys = [], []
         for codes in self.codes(x):
-            order = np.argsort(codes, kind="stable")
+            order = np.argsort(codes, kind="stable").astype(np.int32)
             self.order.append(order)
             self.keys.append(codes[order])
 
     def codes(self, x: np.ndarray) -> Iterator[np.ndarray]:
         place = np.uint32(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint32)
-        x = x.astype(np.float32)
         for p in self.planes:
             yield ((x @ p) > 0).astype(np.uint32) @ place
 
@@ -97,35 +98,46 @@ class Forest:
         return np.flatnonzero(seen)
 
 
+def _hyperplanes(dim: int) -> np.ndarray:
+    """(trees, dim, bits): orthogonal within a tree, as far as there are dimensions."""
+    g = np.random.default_rng(dim).standard_normal((TREES, dim, BITS))
+    parts = [np.linalg.qr(g[:, :, s : s + dim])[0] for s in range(0, BITS, dim)]
+    return np.ascontiguousarray(np.concatenate(parts, 2), np.float32)
+
+
 def _unit(x: np.ndarray, largest: float) -> np.ndarray:
     x = x / largest
-    return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]])
+    return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]]).astype(np.float32)
 
 
 def _directions(q: np.ndarray) -> np.ndarray:
     q = q / np.abs(q).max(1, keepdims=True)
-    return np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))])
+    return np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))]).astype(np.float32)
 
 
 def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, share: float, largest: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of each query's ``k`` best among its candidates."""
+    """(query id, ids, scores) of each query's ``k`` best among its candidates.
+
+    Candidates are measured in single precision first; those that rounding could bring among the best are measured exactly.
+    """
     order = np.argsort(ids, kind="stable")
     _, at, group = np.unique(x[order], axis=0, return_index=True, return_inverse=True)
     members = np.argsort(group.ravel(), kind="stable")  # by distinct vector, ascending ids
     ends = np.cumsum(np.bincount(group.ravel()))
     distinct = np.ascontiguousarray(x[order][at])
-    forest = Forest(_unit(distinct, largest))
+    unit = _unit(distinct, largest)
+    forest = Forest(unit)
     enough = max(TREES, int(share * len(distinct)))
-    for start in range(0, len(q), 64):
-        own = q[start : start + 64]
-        low, high = forest.ascend(_directions(own), enough)
-        dense = own @ distinct.T if (high - low).sum() > len(own) * len(distinct) // 8 else None
+    slack = 4e-7 * unit.shape[1]
+    for start in range(0, len(q), TOGETHER):
+        own = q[start : start + TOGETHER]
+        directions = _directions(own)
+        low, high = forest.ascend(directions, enough)
         for i, query in enumerate(own):
             c = forest.candidates(low[:, i], high[:, i])
-            rough = dense[i, c] if dense is not None else distinct[c] @ query
             if len(c) > k + 1:
-                least = np.partition(rough, len(c) - k - 1)[len(c) - k - 1]
-                c = c[rough >= least - 1e-9 * abs(least)]
+                rough = unit[c] @ directions[i]
+                c = c[rough >= np.partition(rough, len(c) - k - 1)[len(c) - k - 1] - slack]
             score = (distinct[c] * query).sum(1)
             own_ids = [order[members[ends[g - 1] if g else 0 : ends[g]][: k + 1]] for g in c.tolist()]
             found = ids[np.concatenate(own_ids)] if own_ids else np.zeros(0, np.int64)
@@ -136,24 +148,31 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
             yield int(query_ids[start + i]), found[best], score[best]
 
 
-def choose_share(x: np.ndarray, k: int, largest: float) -> float:
-    """The smallest of :data:`SHARES` that reaches the target on a sample of vectors."""
+def share_curve(x: np.ndarray, k: int, largest: float) -> Iterator[tuple[float, float, float]]:
+    """(share over all trees, share of the vectors that are candidates, recall) on distinct vectors, for each of :data:`SHARES`."""
     x = np.unique(x, axis=0)
     x = x[np.random.default_rng(7).permutation(len(x))]
     n = min(SAMPLE_QUERIES, len(x))
-    if len(x) <= k + 1:
-        return SHARES[-1]
     exact = x[:n] @ x.T
     exact[np.arange(n), np.arange(n)] = -np.inf
     best = np.argpartition(-exact, k, axis=1)[:, :k]
-    forest = Forest(_unit(x, largest))
+    forest, directions = Forest(_unit(x, largest)), _directions(x[:n])
     for share in SHARES:
-        low, high = forest.ascend(_directions(x[:n]), max(TREES, int(share * len(x))))
-        hits = 0
+        low, high = forest.ascend(directions, max(TREES, int(share * len(x))))
+        hits = named = 0
         for i in range(n):
-            hits += np.isin(best[i], forest.candidates(low[:, i], high[:, i]), assume_unique=True).sum()
-        if hits >= TARGET * n * k:
-            return share
+            c = forest.candidates(low[:, i], high[:, i])
+            named += len(c)
+            hits += np.isin(best[i], c, assume_unique=True).sum()
+        yield share, named / n / len(x), hits / n / k
+
+
+def choose_share(x: np.ndarray, k: int, largest: float) -> float:
+    """The smallest of :data:`SHARES` that reaches the target on a sample of vectors."""
+    if len(np.unique(x, axis=0)) > k + 1:
+        for share, _, recall in share_curve(x, k, largest):
+            if recall >= TARGET:
+                return share
     return SHARES[-1]
 
 
@@ -196,12 +215,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     n, asking, largest = own.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(norm)).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # A bounded sample, of one dimension, to choose how many candidates are enough.
-    sample = smallest_hashes(own.select("vec_id", "v"), ["vec_id"], SAMPLE, n).toPandas()["v"].map(np.asarray)
+    shards, partitions = -(-n // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bounded sample, of one dimension and no larger than a shard, to choose how many candidates are enough.
+    sample = smallest_hashes(own.select("vec_id", "v"), ["vec_id"], min(SAMPLE, -(-n // shards)), n).toPandas()["v"].map(np.asarray)
     dim = sample.map(len).mode()[0]
     share = choose_share(np.stack(sample[sample.map(len) == dim]), k, largest)
     # Blocks are as large as QUERIES allows, for a vector travels once to each; only small inputs are cut further, to use all cores.
-    shards, partitions = -(-n // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-asking // QUERIES), min(-(-partitions // shards), asking // 64))
     deal = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))

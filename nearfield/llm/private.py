@@ -199,7 +199,7 @@ def digest(found: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     number = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *map(number, range(4)), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", *map(number, range(4)), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.array_sort(F.concat("base", "added"))).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ doc_id, so it takes the same memory on the driver at every size. Everything else
 
 Defined cases. A null text counts as empty. An empty text, or one of white space only, has no weight on any line and scores the
 share of label 1 in the sample. Without any labelled row, or with one label only, each document scores that share (0.5 without
-rows). A document with several labels takes the rounded mean. Rows are scored one by one, so repeated rows get equal scores.
+rows). A document with several labels takes the rounded mean; of rows that repeat a doc_id the smallest text trains. Rows are scored one by one, so repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -252,8 +252,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, where, sample: int = SAM
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & where(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     own = smallest_hashes(own, ["doc_id"], sample)  # the bound of what is broadcast and collected
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "doc_id").toPandas()
-    rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
+    # Rows that repeat an id give one text, so at most ``sample`` texts are collected.
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id", kind="stable")
     return rows["text"].tolist(), rows["label"].to_numpy(np.int64)
 
 

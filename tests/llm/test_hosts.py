@@ -47,3 +47,18 @@ def test_bad_hosts_are_blocked_and_few_labels_are_not_enough(spark):
 
 def test_empty_tables(spark):
     assert hosts.judge(pages(spark, []), labels(spark, [])).collect() == []
+
+
+def test_suffixes_of_two_labels_part_unrelated_sites(spark):
+    names = ["a.example.co.uk", "co.uk", "uk", "example.com", "www.b.example.com", "x.com.au", ""]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, host string")
+    domain, suffix = hosts.domain_and_suffix(df["host"])
+    got = df.select("i", domain.alias("d"), suffix.alias("s")).orderBy("i").collect()
+    assert [(r["d"], r["s"]) for r in got] == [("example.co.uk", "co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("example.com", "com"), ("example.com", "com"), ("x.com.au", "com.au"), ("", "")]
+
+
+def test_a_hot_blocked_host_and_repeated_pages(spark):
+    urls = ["http://bad.co.uk/x"] * 300 + ["http://fine.co.uk/x"] * 100
+    rows = [(i, 0, 0) for i in range(200)] + [(300 + i, 1, 0) for i in range(100)]
+    got = hosts.judge(pages(spark, urls).unionByName(pages(spark, urls)), labels(spark, rows)).groupBy("host", "verdict").count().collect()
+    assert {(r["host"], r["verdict"], r["count"]) for r in got} == {("bad.co.uk", "block", 600), ("fine.co.uk", "allow", 200)}

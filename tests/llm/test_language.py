@@ -69,3 +69,41 @@ def test_sample_is_bounded(spark, monkeypatch):
 def test_query_columns(spark, sf_dir):
     rows = language.query(spark, sf_dir).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+
+
+def brute_buckets(text):
+    """Windows of two, three and four characters by a plain loop."""
+    s = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    out = []
+    for n in language.SIZES:
+        for i in range(len(s) - n + 1):
+            w = s[i : i + n]
+            if (n == 2 and w.strip()) or (n > 2 and w[1:-1].isalpha()):
+                h = ord(w[0]) * 0x9E3779B1 & 0xFFFFFFFF
+                for j, f in zip(range(1, n), (0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)):
+                    h = (h ^ (h >> 15) ^ ord(w[j])) * f & 0xFFFFFFFF
+                h ^= h >> 13
+                out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 16)
+    return out
+
+
+def test_predictions_equal_a_plain_loop(texts):
+    own = texts[:80]
+    model = language.fit([r[2] for r in own], [r[1] for r in own])
+    sample = [r[2] for r in texts[80:140]] + [None, "", "12 34", "a", "É ß 漢字", "x1y2z"]
+    got, score, rejected = model.predict(sample)
+    for t, g, s, r in zip(sample, got, score, rejected):
+        b = brute_buckets(t)
+        if not b:
+            assert (g, s, r) == ("und", 0.0, True)
+            continue
+        z = [(sum(float(model.table[k][i]) for i in b) / len(b) + model.bias[k]) / model.temperature for k in range(len(model.names))]
+        p = np.exp(np.array(z) - max(z))
+        p /= p.sum()
+        assert g == model.names[int(p.argmax())] and abs(s - p.max()) < 1e-4 and r == (s < model.least)
+
+
+def test_a_repeated_id_trains_once(spark):
+    rows = [(1, f"text {i}", "en", "s") for i in range(50)] + [(2, "ein satz", "de", "s"), (2, None, "de", "s")]
+    texts, langs = language.labelled_sample(documents(spark, rows), lambda c: c.isNotNull())
+    assert sorted(zip(langs, texts)) == [("de", ""), ("en", "text 0")]

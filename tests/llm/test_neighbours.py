@@ -75,3 +75,31 @@ def test_descent_and_ascent():
     for i in range(5):
         assert i in f.candidates(low[:, i], high[:, i])
     assert ((high - low).sum(0) >= 1).all() and math.isfinite(neighbours.choose_share(np.eye(40), 3, 1.0))
+
+
+def test_hyperplanes_of_a_tree_are_orthogonal():
+    for dim in (3, 24, 65):
+        p = neighbours._hyperplanes(dim)
+        assert p.shape == (neighbours.TREES, dim, neighbours.BITS)
+        own = p[5][:, : min(dim, neighbours.BITS)]
+        assert np.allclose(own.T @ own, np.eye(own.shape[1]), atol=1e-5)
+
+
+def test_only_candidates_are_found(monkeypatch):
+    """Near vectors in groups: few candidates suffice, and all that is found is among them."""
+    g = np.random.default_rng(3)
+    centres = g.standard_normal((100, 32))
+    x = np.repeat(centres, 40, 0) + 0.05 * g.standard_normal((4000, 32))
+    largest = float(np.linalg.norm(x, axis=1).max())
+    share, named, recall = next(c for c in neighbours.share_curve(x, 20, largest) if c[2] >= neighbours.TARGET)
+    assert named < 0.1
+    seen = []
+    own = neighbours.Forest.candidates
+    monkeypatch.setattr(neighbours.Forest, "candidates", lambda self, a, b: seen.append(own(self, a, b)) or seen[-1])
+    ids = np.arange(len(x))
+    hits = 0
+    for q, found, score in neighbours.search(ids, x, ids[:50], x[:50], 20, share, largest):
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len(set(found) & set(np.argsort(-exact)[:20]))
+    assert len(seen) == 50 and np.mean([len(c) for c in seen]) < 0.1 * len(x) and hits >= 0.9 * 50 * 20
