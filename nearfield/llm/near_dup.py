@@ -12,9 +12,10 @@
    of about :data:`BLOCK` documents with their full shingle sets, and some hub documents are in every block of their cluster. A block compares
    all its pairs that are not connected yet, prunes by the same rule, and verifies survivors exactly on full sets.
 5. A cluster of several blocks is split by second keys: each document's rarest shingles, so many that two linked documents must share
-   one (all but 80 of 100, and one more; the order of rarity is the same for all). Keys whose documents are connected already are done.
-   The pairs of each other key are compared and pruned by signatures alone, and only the documents of surviving pairs meet with full sets.
-   Pages that share a template and no more share none of their rarest shingles, so their number does not square.
+   one (all but 80 of 100, and one more; the order of rarity is the same for all). Documents outside the largest component of their cluster give all
+   their keys; those within, whose pairs are connected, only keys that a bitmap of the others' allows. Keys whose documents are connected
+   already are done. The pairs of each other key are compared and pruned by signatures alone, and only the documents of surviving pairs meet with
+   full sets. Pages that share a template and no more share none of their rarest shingles, so their number does not square.
 6. Components of the verified links are the result.
 
 No step emits the pairs of a group: blocks emit spanning forests, which lose no component. No key, bucket
@@ -52,9 +53,11 @@ SMALL = 64
 #: Signature bytes compared before each look, and the chance of losing a pair at the threshold over all looks.
 LOOK, MISS = 16, 1e-5
 #: Documents in a block, and hub documents that each block of a large cluster shares, about.
-BLOCK, HUBS = 128, 16
+BLOCK, HUBS = 64, 12
 #: Buckets of the counts that say how rare a shingle is. Any order is a right one; a bounded table of counts makes it a good one.
 BUCKETS = 1 << 20
+#: Bits of the bitmap of keys that documents outside their cluster's largest component have.
+OPEN_BITS = 1 << 26
 #: Rows of an Arrow batch where rows hold texts or sets.
 ARROW_ROWS = 1000
 
@@ -260,8 +263,8 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["bucket", "n"])
 
 
-def _rare_keys(percent: int, counts):
-    """(key, doc_id, component): a key for each of the rarest shingles of a document within its cluster."""
+def _rare_keys(percent: int, counts, asked=None):
+    """(key, doc_id, component): a key for each of the rarest shingles of a document within its cluster; only those that ``asked`` may have, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
@@ -272,8 +275,12 @@ def _rare_keys(percent: int, counts):
                     x = np.frombuffer(m.as_buffer(), np.uint64)
                     p = len(x) - -(-percent * len(x) // 100) + 1
                     rare = np.lexsort((x, often[_bucket(x)]))[:p]
-                    keys.append(mix64(x[rare] ^ mix64(np.array([cluster], np.int64).view(np.uint64))))
-                    sizes.append(p)
+                    key = mix64(x[rare] ^ mix64(np.array([cluster], np.int64).view(np.uint64)))
+                    if asked is not None:
+                        at = key % np.uint64(OPEN_BITS)
+                        key = key[(asked.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                    keys.append(key)
+                    sizes.append(len(key))
                 at = np.repeat(np.arange(b.num_rows), sizes)
                 key = pa.array(np.concatenate(keys).view(np.int64)) if keys else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays([key, b.column("doc_id").take(pa.array(at)), b.column("component").take(pa.array(at))], ["key", "doc_id", "component"])
@@ -281,6 +288,16 @@ def _rare_keys(percent: int, counts):
     return run
 
 
+def _key_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, bits) of a bitmap of a partition's keys."""
+    words = np.zeros(OPEN_BITS >> 6, np.uint64)
+    for b in batches:
+        at = b.column(0).to_numpy().view(np.uint64) % np.uint64(OPEN_BITS)
+        np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    used = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(words[used].view(np.int64))], ["word", "bits"])
+
+
 def _pairs(m: int, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a block, some rows of it at a time: all, or those of the two sides if it has two."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -320,8 +337,21 @@ def _second_keys(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
         often[b.column(0).to_numpy()] = b.column(1).to_numpy()
     shared = spark.sparkContext.broadcast(often)
     so_far = components(links, "near-first").withColumnRenamed("node", "doc_id")
-    known = large.select("doc_id", "cluster", "members").join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    keyed = materialise(known.mapInArrow(trimmed(_rare_keys(percent, shared)), "key long, doc_id long, component long"), "near-keyed", ARROW_ROWS)
+    places = large.select("doc_id", "cluster").join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    places = materialise(places, "near-places")
+    sizes = places.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = materialise(sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("cluster", "main"), "near-mains")
+    # Clusters of one component are done.
+    known = materialise(lookup(places, "cluster", mains, "doc_id").join(large.select("doc_id", "members"), "doc_id"), "near-known", ARROW_ROWS)
+    schema = "key long, doc_id long, component long"
+    apart = materialise(known.where("component <> main").mapInArrow(trimmed(_rare_keys(percent, shared)), schema), "near-apart", ARROW_ROWS)
+    bits = materialise(apart.select("key").mapInArrow(trimmed(_key_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")), "near-bits")
+    words = np.zeros(OPEN_BITS >> 6, np.uint64)
+    for b in bits.toArrow().to_batches():  # at most OPEN_BITS / 64 rows
+        words[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
+    asked = spark.sparkContext.broadcast(words)
+    main = materialise(known.where("component = main").mapInArrow(trimmed(_rare_keys(percent, shared, asked)), schema), "near-main", ARROW_ROWS)
+    keyed = apart.unionByName(main)
     # Of each key with several components: how many rows, the component with most of them, and how many rows are in others.
     counts = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("open"))
@@ -342,7 +372,7 @@ def _second_keys(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     place = "cluster long, block long, part long, doc_id long, component long, side int"
     near = materialise(_by_block(signed, _survivors(percent), place, "n_shingles"), "near-survivors", ARROW_ROWS)
     more = _verified(near.join(large.select("doc_id", "sig", "members"), "doc_id"), percent, "near-more")
-    discard(keyed, rows)
+    discard(known, apart, main, rows)
     return links.unionByName(more)
 
 
