@@ -56,10 +56,11 @@ def snapshot_key(name: Column, run: Column) -> Column:
 
 
 def tex_escape(s: Column) -> Column:
-    out = F.regexp_replace(s, r"\\", "\\\\textbackslash")
-    for sign in "&%$#_{}":
-        out = F.regexp_replace(out, rf"\{sign}", rf"\\\\\{sign}")
-    return out
+    """Signs with a meaning in TeX, each by itself, so that what one becomes is not escaped again."""
+    # What the signs become.
+    becomes = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"} | {c: "\\" + c for c in "&%$#_{}"}
+    table = F.create_map(*[F.lit(x) for pair in becomes.items() for x in pair])
+    return F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
 
 
 def fnv1a64(parts: list[bytes]) -> int:

@@ -123,12 +123,17 @@ def substep_means(long: DataFrame, by: str = "scheme") -> DataFrame:
     return wide.withColumn("total", sum((F.col(f"`{s}`") for s in SUBSTEPS), F.lit(0.0)))
 
 
-def parallel_scaling(df: DataFrame, by: list[str], value: str = "latency_ms") -> DataFrame:
-    """Mean by threads, with speed-up and efficiency against one thread; only groups of at least two thread counts."""
-    s = df.groupBy(*by, "threads").agg(F.avg(value).alias("mean"))
-    w = Window.partitionBy(*by)
-    base = F.max(F.when(F.col("threads") == 1, F.col("mean"))).over(w)
-    s = s.withColumn("points", F.count(F.lit(1)).over(w)).withColumn("speedup", base / F.col("mean")).withColumn("efficiency", base / F.col("mean") / F.col("threads"))
+def parallel_scaling(df: DataFrame, by: list[str], value: str = "latency_ms", pinned: str | None = None) -> DataFrame:
+    """Mean by threads, with speed-up and efficiency against one thread; only groups of at least two thread counts.
+
+    pinned: a boolean column that says whether threads were bound; means are then by it too, and the baseline is that of one bound thread for all.
+    """
+    own = [pinned] if pinned else []
+    s = df.groupBy(*by, *own, "threads").agg(F.avg(value).alias("mean"))
+    one = (F.col("threads") == 1) & (F.col(pinned) if pinned else F.lit(True))
+    base = F.max(F.when(one, F.col("mean"))).over(Window.partitionBy(*by))
+    points = F.count(F.lit(1)).over(Window.partitionBy(*by, *own))
+    s = s.withColumn("points", points).withColumn("speedup", base / F.col("mean")).withColumn("efficiency", base / F.col("mean") / F.col("threads"))
     return s.where("points >= 2").drop("points")
 
 
@@ -223,3 +228,21 @@ def manifest_state(manifest: DataFrame, local: DataFrame) -> DataFrame:
     j = m.join(local.select("name", F.col("sha256").alias("sha_l"), F.col("bytes").alias("bytes_l")), "name", "full_outer")
     state = F.when(F.col("bytes_l").isNull(), "absent").when(F.col("bytes_m").isNull(), "unlisted").when((F.col("sha_m") == F.col("sha_l")) & (F.col("bytes_m") == F.col("bytes_l")), "same")
     return j.select("name", state.otherwise("changed").alias("state"))
+
+
+def transfer_plan(local: DataFrame, store: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, name, action) for each file of local(run_id, name, sha256) or store(run_id, name, sha256).
+
+    Only files of complete runs(run_id, status) are admitted to the store: ``upload`` what it lacks, ``conflict`` where digests differ, ``refuse`` files of
+    other runs. What the store has alone is to ``hydrate``, what both have alike may be pruned locally: ``prune``.
+    """
+    l, s = local.select("run_id", "name", F.col("sha256").alias("here")), store.select("run_id", "name", F.col("sha256").alias("there"))
+    both = l.join(s, ["run_id", "name"], "full").join(runs.select("run_id", "status"), "run_id", "left")
+    action = (
+        F.when(F.col("here").isNull(), "hydrate")
+        .when(F.col("there") == F.col("here"), "prune")
+        .when(F.col("there").isNotNull(), "conflict")
+        .when(F.col("status").eqNullSafe(F.lit("complete")), "upload")
+        .otherwise("refuse")
+    )
+    return both.select("run_id", "name", action.alias("action"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 FIELDS = ("query_bytes", "response_bytes", "cluster_response_bytes", "setup_bytes", "offline_up_bytes", "offline_down_bytes", "effective_bytes")
 SCHEMES = ("plaintext", "sap", "sap-ivf", "emvp", "emvp-ivf", "bntm", "bntm-ivf", "tiptoe")
+#: Schemes whose answers depend on the clusters that are probed.
+REALISED = ("plaintext", "sap-ivf", "emvp-ivf", "bntm-ivf")
 #: Encoded widths, blocks, secret entries and bytes of a compressed hint ciphertext.
 EMVP_WIDTH, EMVP_BLOCKS, BN_WIDTH, LWE_ENTRIES, RING = 1292, 76, 1024, 2048, 2048
 CIPHERTEXT = 2 * RING * 5

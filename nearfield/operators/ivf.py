@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from nearfield.functions.vectors import l2
 from nearfield.operators.kernels import nearest, rng, squared
-from nearfield.operators.knn import exact_knn, matrix, ranked
+from nearfield.operators.knn import _search, check_k, exact_knn, matrix, nothing, query_blocks, ranked
 from nearfield.sampling import smallest_hashes
 from nearfield.session import discard, materialise, ship
 
-#: Bytes of centroids that a driver and a broadcast may hold.
-CENTROID_BYTES = 1 << 30
+#: Bytes of centroids that the driver holds and tasks take along; more are searched in blocks.
+CENTROID_BYTES = 64 << 20
 #: Vectors from which initial centroids are drawn at most.
 INIT_SAMPLE = 20_000
 
@@ -27,18 +29,33 @@ def default_centroids(n: int) -> int:
     return ceil(sqrt(n))
 
 
+def few(centroids: DataFrame) -> bool:
+    """Whether centroids may travel whole."""
+    n, dim = centroids.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    return n * (dim or 0) * 8 <= CENTROID_BYTES
+
+
 def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Cluster ids, ascending, and their centroids; refused beyond :data:`CENTROID_BYTES`."""
-    n, dim = centroids.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
-    if n * (dim or 0) * 8 > CENTROID_BYTES:
-        raise ValueError(f"{n} centroids of {dim} components are more than {CENTROID_BYTES} bytes")
+    if not few(centroids):
+        raise ValueError(f"the centroids are more than {CENTROID_BYTES} bytes")
     rows = centroids.select("cid", "centroid").orderBy("cid").toPandas()
     return rows["cid"].to_numpy(np.int64), np.stack(rows["centroid"].to_numpy()).astype(np.float64)
 
 
+def _as_vectors(centroids: DataFrame) -> DataFrame:
+    return centroids.select(F.col("cid").alias("vec_id"), F.col("centroid").alias("embedding"))
+
+
 def assign(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(vec_id, embedding, cid): the nearest centroid, the smallest cid among equals. No shuffle."""
+    """(vec_id, embedding, cid): the nearest centroid, the smallest cid among equals.
+
+    Without a shuffle where the centroids may travel; otherwise vectors and centroids are dealt into blocks as in any exact search.
+    """
     ship(corpus.sparkSession)
+    if not few(centroids):
+        near = exact_knn(_as_vectors(centroids), corpus.select(F.col("vec_id").alias("qid"), "embedding"), 1).select(F.col("qid").alias("vec_id"), F.col("vec_id").alias("cid"))
+        return corpus.select(F.col("vec_id").cast("long"), "embedding").join(near, "vec_id")
     cids, c = centroid_matrix(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +120,7 @@ def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 def train(corpus: DataFrame, k: int | None = None, seed: int = 42, max_iter: int = 25) -> DataFrame:
     """(cid, centroid) after Lloyd's steps until nothing moves or ``max_iter``.
 
-    The start is drawn from at most :data:`INIT_SAMPLE` vectors; every step reads all vectors. Each step's few centroids are collected,
-    and nothing else.
+    The start is drawn from at most :data:`INIT_SAMPLE` vectors, or k if that is more; every step reads all vectors. Each step's centroids are a table.
     """
     spark = corpus.sparkSession
     n = corpus.count()
@@ -112,15 +128,15 @@ def train(corpus: DataFrame, k: int | None = None, seed: int = 42, max_iter: int
     if not n or k <= 0 or k > n:
         raise ValueError(f"{k} centroids need as many vectors; there are {n}")
     sample = smallest_hashes(corpus.select("vec_id", "embedding"), ["vec_id"], max(INIT_SAMPLE, k), n, salt=seed).orderBy("vec_id").toPandas()
-    c = plus_plus(np.stack(sample["embedding"].to_numpy()).astype(np.float64), k, seed)
-    dim = c.shape[1]
+    start = plus_plus(np.stack(sample["embedding"].to_numpy()).astype(np.float64), k, seed)
+    dim, c = start.shape[1], _frame(spark, start)
     for _ in range(max_iter):
-        new = centroid_matrix(with_empty(lloyd_step_means(corpus, _frame(spark, c)), k, dim))[1]
-        same = np.array_equal(new, c)
+        new = materialise(with_empty(lloyd_step_means(corpus, c), k, dim).select("cid", "centroid"), "centroids")
+        moved = new.join(c.withColumnRenamed("centroid", "before"), "cid").where(F.col("centroid") != F.col("before")).limit(1).count()
         c = new
-        if same:
+        if not moved:
             break
-    return _frame(spark, c)
+    return c
 
 
 def lloyd_step_means(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -142,42 +158,162 @@ def size_spread(sizes: DataFrame) -> DataFrame:
 
 def route(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """(qid, pos, cid, dist): each query's nearest clusters, pos from 1; nprobe beyond their number gives all."""
-    as_vectors = centroids.select(F.col("cid").alias("vec_id"), F.col("centroid").alias("embedding"))
-    return exact_knn(as_vectors, queries, nprobe).select("qid", F.col("rank").alias("pos"), F.col("vec_id").alias("cid"), F.col("value").alias("dist"))
+    return exact_knn(_as_vectors(centroids), queries, nprobe).select("qid", F.col("rank").alias("pos"), F.col("vec_id").alias("cid"), F.col("value").alias("dist"))
+
 
+class Plain:
+    """Distances to vectors as they are; see :class:`nearfield.operators.schemes.Scheme` for what it offers."""
 
-def probe(postings: DataFrame, routes: DataFrame, queries: DataFrame, k: int, score: Column | None = None, ascending: bool = True) -> DataFrame:
-    """(qid, rank, vec_id, value): the k best of the clusters that each query is routed to.
+    name, value, ascending, query_bytes = "plaintext", "double", True, 0
 
-    One join on the cluster id serves all queries: the small side of routes and query vectors goes to the postings if it fits
-    Spark's broadcast limit, and a hot cluster is split by adaptive execution otherwise. ``score`` is over columns
-    ``embedding`` and ``query``, the distance by default.
+    def encoded(self, postings: DataFrame) -> DataFrame:
+        return postings
+
+    def asking(self, q: np.ndarray) -> "PlainQueries":
+        return PlainQueries(q)
+
+
+@dataclass
+class PlainQueries:
+    q: np.ndarray
+
+    def best(self, part: pa.RecordBatch, at: np.ndarray, k: int, spent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, distance) of the k nearest rows of part to each of the queries at."""
+        began = time.perf_counter()
+        found = _search("l2", k, part.column("vec_id").to_numpy(), matrix(part.column("embedding")), at, self.q[at])
+        spent("server-compute", time.perf_counter() - began)
+        return tuple(c.to_numpy() for c in found.columns)
+
+
+def _over_postings(qids: np.ndarray, wanted: dict[int, np.ndarray], asked, k: int, kind: pa.DataType, spent, rows: int = 500):
+    """The k best rows of each batch and cluster for the queries that want the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cid = b.column("cid").to_numpy()
+            order = np.argsort(cid, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(cid[order]) != 0)) if len(cid) else []
+            for s, e in zip(starts, [*starts[1:], len(cid)], strict=True):
+                at = wanted.get(int(cid[order[s]]))
+                if at is None:
+                    continue
+                for i in range(s, e, rows):
+                    place, ids, values = asked.best(b.take(pa.array(order[i : min(e, i + rows)])), at, k, spent)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[place]), pa.array(np.full(len(ids), cid[order[s]])), pa.array(ids), pa.array(values, kind)], ["qid", "cid", "vec_id", "value"])
+
+    return run
+
+
+def _ignore(step: str, seconds: float) -> None:
+    pass
+
+
+#: Clusters that a filter names one by one, so that only their files are read.
+NAMED = 2000
+
+
+def answers(postings: DataFrame, qids: np.ndarray, wanted: dict[int, np.ndarray], asked, k: int, value: str, spent=_ignore) -> DataFrame:
+    """(qid, cid, vec_id, value): what each batch of wanted clusters holds of each query's k best. Nothing is shuffled.
+
+    ``wanted`` has the places of the queries by cluster, ``asked`` their encoded forms; both travel with the tasks.
     """
-    asks = routes.select("qid", "cid").join(queries.select("qid", F.col("embedding").alias("query")), "qid")
-    value = l2(F.col("embedding"), F.col("query")) if score is None else score
-    return ranked(postings.join(asks, "cid").select("qid", "vec_id", value.alias("value")), k, "value", ascending)
+    ship(postings.sparkSession)
+    if len(wanted) <= NAMED:
+        postings = postings.where(F.col("cid").isin([int(c) for c in wanted]))
+    kind = pa.int64() if value == "long" else pa.float64()
+    return postings.mapInArrow(_over_postings(qids, wanted, asked, k, kind, spent), f"qid long, cid long, vec_id long, value {value}")
+
+
+def wanted_of(places: np.ndarray, cids: np.ndarray) -> dict[int, np.ndarray]:
+    """Places of the queries by cluster, from one entry for each query and cluster."""
+    order = np.argsort(cids, kind="stable")
+    own, starts = np.unique(cids[order], return_index=True)
+    return {int(c): np.sort(p) for c, p in zip(own, np.split(places[order], starts[1:]), strict=True)}
+
+
+def probe(postings: DataFrame, routes: DataFrame, queries: DataFrame, k: int, scheme=None, each_cluster: bool = False) -> DataFrame:
+    """(qid, rank, vec_id, value): the k best of the clusters that each query is routed to by routes(qid, cid).
+
+    Queries and routes travel to the postings in blocks, and only batches' best rows are shuffled. ``postings`` is what ``scheme`` has encoded.
+    each_cluster: the k best of each cluster instead, as (qid, cid, rank, vec_id, value).
+    """
+    scheme = scheme or Plain()
+    check_k(k)
+    routes = materialise(routes.select("qid", "cid"), "routes")
+    per, out = routes.groupBy("qid").count().agg(F.max("count")).first()[0] or 0, None
+    dim = queries.select(F.max(F.size("embedding"))).first()[0] or 0
+    for qids, q in query_blocks(queries, max(scheme.query_bytes, dim * 8) + 16 * per):
+        own = routes.where(F.col("qid").isin(qids.tolist())) if len(qids) <= NAMED else routes
+        rows = own.toArrow()
+        place = np.searchsorted(qids, rows.column("qid").to_numpy())
+        here = (place < len(qids)) & (qids[np.minimum(place, len(qids) - 1)] == rows.column("qid").to_numpy())
+        found = answers(postings, qids, wanted_of(place[here], rows.column("cid").to_numpy()[here]), scheme.asking(q), k, scheme.value)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return nothing(postings.sparkSession, scheme.value)
+    return best_of(out, k, scheme.ascending, each_cluster)
+
+
+def best_of(found: DataFrame, k: int, ascending: bool, each_cluster: bool = False) -> DataFrame:
+    if not each_cluster:
+        return ranked(found.drop("cid"), k, "value", ascending)
+    order = F.col("value").asc() if ascending else F.col("value").desc()
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "cid").orderBy(order, "vec_id"))).where(F.col("rank") <= k)
 
 
 @dataclass
 class Index:
-    """Centroids and postings (cid, vec_id, embedding)."""
+    """Centroids and postings (cid, vec_id, embedding), or postings as a scheme has encoded them."""
 
     centroids: DataFrame
     postings: DataFrame
 
-    def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-        return probe(self.postings, route(queries, self.centroids, nprobe), queries, k)
+    @cached_property
+    def few(self) -> bool:
+        return few(self.centroids)
+
+    @cached_property
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        return centroid_matrix(self.centroids)
+
+    def routes(self, q: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
+        """Places of the queries by cluster, found where the centroids are known already."""
+        cids, c = self.known
+        found = _search("l2", min(nprobe, len(cids)), cids, c, np.arange(len(q)), q)
+        return wanted_of(found.column(0).to_numpy(), found.column(1).to_numpy())
+
+    def search(self, queries: DataFrame, k: int, nprobe: int, scheme=None) -> DataFrame:
+        """(qid, rank, vec_id, value) by one probe of all queries' clusters; a block of queries at a time where there are many."""
+        scheme, out = scheme or Plain(), None
+        check_k(k)
+        check_k(nprobe)
+        if not self.few:
+            return probe(self.postings, route(queries, self.centroids, nprobe), queries, k, scheme)
+        for qids, q in query_blocks(queries, scheme.query_bytes):
+            found = answers(self.postings, qids, self.routes(q, nprobe), scheme.asking(q), k, scheme.value)
+            out = found if out is None else out.unionByName(found)
+        return nothing(self.postings.sparkSession, scheme.value) if out is None else best_of(out, k, scheme.ascending)
+
+    def encoded(self, scheme) -> "Index":
+        """The same clusters with postings that ``scheme`` has encoded, written once."""
+        return Index(self.centroids, materialise(scheme.encoded(self.postings), "encoded"))
 
 
 def build(corpus: DataFrame, centroids: DataFrame | None = None, **training) -> Index:
-    centroids = train(corpus, **training) if centroids is None else centroids
-    return Index(centroids, assign(corpus, centroids))
+    """Centroids and postings are written once, postings in the order of clusters, so that a probe reads the parts of its clusters."""
+    centroids = materialise(train(corpus, **training) if centroids is None else centroids, "centroids")
+    return Index(centroids, materialise(_in_order(assign(corpus, centroids)), "postings"))
+
+
+def _in_order(postings: DataFrame) -> DataFrame:
+    """By ranges of cluster and vector, which part a large cluster too."""
+    return postings.repartitionByRange("cid", "vec_id").sortWithinPartitions("cid", "vec_id")
 
 
 def write(index: Index, path: str) -> None:
     """Postings are a folder for each cluster, so that a probe reads only its clusters."""
     index.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-    index.postings.repartition("cid").sortWithinPartitions("cid", "vec_id").write.mode("overwrite").partitionBy("cid").parquet(f"{path}/postings")
+    _in_order(index.postings).write.mode("overwrite").partitionBy("cid").parquet(f"{path}/postings")
 
 
 def read(spark: SparkSession, path: str) -> Index:
@@ -185,4 +321,4 @@ def read(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/centroids"), postings.withColumn("cid", F.col("cid").cast("long")))
 
 
-__all__ = ["Index", "assign", "build", "cluster_means", "cluster_sizes", "discard", "label_centroids", "lloyd_step", "materialise", "probe", "read", "route", "size_spread", "train", "write"]
+__all__ = ["Index", "Plain", "answers", "assign", "build", "cluster_means", "cluster_sizes", "discard", "label_centroids", "lloyd_step", "materialise", "probe", "read", "route", "size_spread", "train", "write"]

@@ -84,6 +84,35 @@ def _over_blocks(metric: str, k: int):
 _HITS = "qid long, vec_id long, value double"
 
 
+def query_blocks(queries: DataFrame, bytes_each: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of queries(qid, embedding), about :data:`BLOCK_BYTES` at a time, each block in the order of its ids.
+
+    bytes_each: what travels for a query; its components as doubles if not said.
+    """
+    asks = queries.select(F.col("qid").cast("long"), "embedding")
+    n, dim = asks.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = -(-n * max(bytes_each or 0, (dim or 0) * 8) // BLOCK_BYTES)
+    for b in range(blocks):
+        part = asks if blocks == 1 else asks.where(F.pmod(F.xxhash64("qid"), F.lit(blocks).cast("long")) == b)
+        rows = part.orderBy("qid").toPandas()
+        if len(rows):
+            yield rows["qid"].to_numpy(np.int64), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+
+
+def kept(values: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, value) of the k largest of each column of values (rows x queries); ties to the smaller id."""
+    at, ids, best = [], [], []
+    for j, col in enumerate(values.T):
+        c = np.arange(len(own))
+        if len(own) > k:
+            c = np.flatnonzero(col >= np.partition(col, len(own) - k)[len(own) - k])
+        c = c[np.lexsort((own[c], -col[c]))[:k]]
+        at.append(np.full(len(c), j))
+        ids.append(own[c])
+        best.append(col[c])
+    return np.concatenate(at), np.concatenate(ids), np.concatenate(best)
+
+
 def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(qid, rank, vec_id, value), rank from 1: each query's k nearest of corpus(vec_id, embedding).
 
@@ -100,7 +129,7 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2")
     vectors, asks = corpus.select(F.col("vec_id").cast("long"), "embedding"), queries.select(F.col("qid").cast("long"), "embedding")
     n, dim = asks.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if not n:
-        return spark.createDataFrame([], "qid long, rank int, vec_id long, value double")
+        return nothing(spark)
     if n * dim * 8 <= BLOCK_BYTES:
         rows = asks.orderBy("qid").toPandas()
         q = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
@@ -126,6 +155,11 @@ def ranked(hits: DataFrame, k: int, value: str, ascending: bool, id_col: str = "
     return out.select("qid", "rank", *[c for c in hits.columns if c != "qid"])
 
 
+def nothing(spark, value: str = "double") -> DataFrame:
+    """The hits of no queries."""
+    return spark.createDataFrame([], f"qid long, rank int, vec_id long, value {value}")
+
+
 def recall(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(qid, recall): the share of the k first of truth(qid, rank, vec_id) among the k first of hits, of the fewer if truth is short."""
     want = truth.where(F.col("rank") <= k)

@@ -1,12 +1,14 @@
 """Scoring variants that model privacy schemes: scale-and-perturb, trapdoored and blinded products over 2^61 - 1, and linear retrieval.
 
-Each is a distributed plan: rows of the corpus are encoded and scored in Arrow batches where they lie, query-side material is
-small and travels with the task. They model computation and traffic and must not be relied on for protection.
+Each is a distributed plan: rows of the corpus are encoded and scored in Arrow batches where they lie, query-side material
+travels with the task in blocks of a bounded size, and a batch gives only its best rows. :func:`top` searches a whole corpus, and
+:class:`nearfield.operators.ivf.Index` the clusters that queries are routed to. They model computation and traffic and must not be relied on for protection.
 Randomness comes from SHA-256 of a seed and the row's id, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -17,36 +19,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import limb
+from nearfield.operators.ivf import answers, best_of, wanted_of
 from nearfield.operators.kernels import P61, add61, lift, matmul61, mul61, reduce61, rng, sub61, sum61, to_field, uniform61
-from nearfield.operators.knn import BLOCK_BYTES, check_k, matrix, ranked
+from nearfield.operators.knn import BLOCK_BYTES, check_k, kept, matrix, nothing, query_blocks
 from nearfield.session import ship
 
 
 class Scheme(Protocol):
-    """What a scoring variant offers. The corpus is (vec_id, embedding), queries are (qid, embedding)."""
+    """What a scoring variant offers. Postings are (cid, vec_id, embedding, ...), queries are (qid, embedding).
 
-    def scores(self, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-        """(qid, vec_id, value) of every pair; the larger the nearer."""
+    ``value`` is the type of its scores, ``ascending`` whether the smaller is the nearer, ``held`` the column that encoding adds, ``query_bytes`` what
+    travels for a query at most.
+    """
+
+    name: str
+    value: str
+    ascending: bool
+    held: str
+    query_bytes: int
+
+    def encoded(self, postings: DataFrame) -> DataFrame:
+        """The postings with what the server holds of each vector."""
+
+    def asking(self, q: np.ndarray) -> "Asking":
+        """Encoded queries, a row for each, with the steps from a batch of encoded postings to scores."""
+
+
+class Asking:
+    """Some encoded queries. ``steps`` are (name, function of (rows, places of queries, what the step before gave)); the last gives
+    scores, rows x queries, the larger the nearer."""
+
+    steps: tuple = ()
+
+    def best(self, part: pa.RecordBatch, at: np.ndarray, k: int, spent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = None
+        for name, step in self.steps:
+            began = time.perf_counter()
+            out = step(part, at, out)
+            spent(name, time.perf_counter() - began)
+        place, ids, values = kept(out, part.column("vec_id").to_numpy(), k)
+        return at[place], ids, values
 
 
 def top(scheme: Scheme, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, vec_id, value): each query's k best of the whole corpus. A batch gives its own k best, and a block of queries travels at a time."""
     check_k(k)
-    return ranked(scheme.scores(corpus, queries), k, "value", ascending=False)
+    postings, out = scheme.encoded(corpus.select(F.lit(0).cast("long").alias("cid"), F.col("vec_id").cast("long"), "embedding")), None
+    for qids, q in query_blocks(queries, scheme.query_bytes):
+        found = answers(postings, qids, {0: np.arange(len(qids))}, scheme.asking(q), k, scheme.value)
+        out = found if out is None else out.unionByName(found)
+    return nothing(corpus.sparkSession, scheme.value) if out is None else best_of(out, k, scheme.ascending)
+
+
+def _added(postings: DataFrame, encode, *names: str) -> DataFrame:
+    """Postings with binary columns, which ``encode(ids, vectors)`` gives as arrays by row."""
+    ship(postings.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                arrays = encode(b.column("vec_id").to_numpy(), matrix(b.column("embedding")))
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([row.tobytes() for row in x], pa.binary()) for x in arrays)], [*b.schema.names, *names])
 
-def query_rows(queries: DataFrame, bytes_each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a query set that may travel with each task; refused if it is too large for that."""
-    n = queries.count()
-    if n * bytes_each > BLOCK_BYTES:
-        raise ValueError(f"{n} queries of {bytes_each} bytes are more than a task may carry; search in blocks")
-    rows = queries.select("qid", "embedding").orderBy("qid").toPandas()
-    x = np.stack(rows["embedding"].to_numpy()).astype(np.float64) if n else np.zeros((0, 0))
-    return rows["qid"].to_numpy(np.int64), x
+    own = postings.select("cid", "vec_id", "embedding")
+    kind = own.schema["embedding"].dataType.simpleString()
+    return own.mapInArrow(run, f"cid long, vec_id long, embedding {kind}, " + ", ".join(f"{n} binary" for n in names))
 
 
-def _pairs(qids: np.ndarray, vec_ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """Rows of a (vectors x queries) table."""
-    return pa.RecordBatch.from_arrays([pa.array(np.tile(qids, len(vec_ids))), pa.array(np.repeat(vec_ids, len(qids))), pa.array(values.ravel())], ["qid", "vec_id", "value"])
+def _held(part: pa.RecordBatch, name: str) -> np.ndarray:
+    """A binary column of :func:`_added` as rows of unsigned integers."""
+    return np.frombuffer(b"".join(part.column(name).to_pylist()), np.uint64).reshape(part.num_rows, -1)
 
 
 # Scale and perturb
@@ -103,6 +145,8 @@ class Trapdoor:
     b: int = 17
     seed: int = 42
 
+    name, value, ascending, held = "emvp", "long", False, "m"
+
     def __post_init__(self) -> None:
         if not self.ell0 < self.n or self.n % self.b:
             raise ValueError("need ell0 < n and n a multiple of b")
@@ -142,20 +186,65 @@ class Trapdoor:
         """Signed fixed-point inner products, (rows, queries)."""
         return lift(sub61(sum61(partial, 0), matmul61(self.mask(ids), np.ascontiguousarray(q.T))))
 
-    def scores(self, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-        ship(corpus.sparkSession)
-        qids, q = query_rows(queries, self.n * 8)
+    @property
+    def query_bytes(self) -> int:
+        return self.n * 8
+
+    def encoded(self, postings: DataFrame) -> DataFrame:
+        """Adds ``m``, the masked rows."""
         d = self.expansion()
-        encoded = self.encode(q, d)
+        return _added(postings, lambda ids, x: (self.encrypt(ids, x, d),), "m")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asking(self, q: np.ndarray) -> Asking:
+        return TrapdoorQueries(self, self.encode(q, self.expansion()))
+
+
+class TrapdoorQueries(Asking):
+    def __init__(self, scheme: Trapdoor, encoded: np.ndarray) -> None:
+        self.scheme, self.encoded = scheme, encoded
+
+    @property
+    def steps(self) -> tuple:
+        return ("server-compute", lambda part, at, _: self.scheme.products(_held(part, "m"), self.encoded[at])), ("decode", lambda part, at, partial: self.scheme.decode(part.column("vec_id").to_numpy(), partial, self.encoded[at]))
+
+
+def block_partials(scheme: Trapdoor, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(vec_id, qid, block, part): the server's partial products of rows(vec_id, row) with queries(qid, row), field elements both, by blocks of columns.
+
+    What decoding adds up, for every pair; for inspection, as it is the size of rows times queries. Queries travel in blocks.
+    """
+    ship(rows.sparkSession)
+    out = None
+    for qids, q in query_blocks_exact(queries):
+        q = _filled(q, scheme.n)
+
+        def run(batches: Iterator[pa.RecordBatch], qids=qids, q=q) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                    ids = b.column(0).to_numpy()
-                    partial = self.products(self.encrypt(ids, matrix(b.column(1)), d), encoded)
-                    yield _pairs(qids, ids, self.decode(ids, partial, encoded))
+                    m = b.column(1).flatten().to_numpy().astype(np.uint64).reshape(b.num_rows, -1)
+                    used = -(-m.shape[1] // scheme.b)
+                    part = scheme.products(_filled(m, scheme.n), q)[:used]
+                    block, row, at = np.meshgrid(np.arange(used), np.arange(b.num_rows), np.arange(len(qids)), indexing="ij")
+                    columns = [b.column(0).to_numpy()[row.ravel()], qids[at.ravel()], block.ravel(), part.ravel().astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["vec_id", "qid", "block", "part"])
+
+        found = rows.select(F.col("vec_id").cast("long"), "row").mapInArrow(run, "vec_id long, qid long, block long, part long")
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], "vec_id long, qid long, block long, part long") if out is None else out
+
+
+def query_blocks_exact(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of queries(qid, row) with rows of integers, which doubles would round."""
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("row"))).first()
+    blocks = -(-n * (dim or 0) * 8 // BLOCK_BYTES)
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks).cast("long")) == i).orderBy("qid").toPandas()
+        if len(rows):
+            yield rows["qid"].to_numpy(np.int64), np.stack(rows["row"].to_numpy()).astype(np.uint64)
+
 
-        return corpus.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "qid long, vec_id long, value long")
+def _filled(x: np.ndarray, n: int) -> np.ndarray:
+    return np.hstack([x, np.zeros((len(x), n - x.shape[1]), np.uint64)])
 
 
 # Blinded products
@@ -183,6 +272,8 @@ class Blinded:
     trials: int = 3
     seed: int = 42
 
+    name, value, ascending, held = "bntm", "long", False, "m"
+
     @property
     def n1(self) -> int:
         return self.n >> self.shrink
@@ -229,47 +320,73 @@ class Blinded:
         mask = add61(matmul61(h, matmul61(np.ascontiguousarray(base.T), np.ascontiguousarray(v.T))), matmul61(s, np.ascontiguousarray(v.T)))
         return lift(sub61(sub61(answer, own), mask))
 
-    def scores(self, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-        ship(corpus.sparkSession)
-        qids, q = query_rows(queries, self.n * 24)
-        base = self.subspace()
-        asked = self.encode(q, base)
+    @property
+    def query_bytes(self) -> int:
+        return self.n * 24
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                    ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-                    m, al = self.encrypt(ids, x, base)
-                    yield _pairs(qids, ids, self.decode(ids, x, matmul61(m, np.ascontiguousarray(asked[0].T)), al, asked, base))
+    def encoded(self, postings: DataFrame) -> DataFrame:
+        """Adds ``m``, the blinded rows, and ``al``, the rows' images in the subspace, which the client keeps."""
+        base = self.subspace()
+        return _added(postings, lambda ids, x: self.encrypt(ids, x, base), "m", "al")
 
-        return corpus.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "qid long, vec_id long, value long")
+    def asking(self, q: np.ndarray) -> Asking:
+        base = self.subspace()
+        return BlindedQueries(self, self.encode(q, base), base)
 
-    def verify(self, corpus: DataFrame, queries: DataFrame, tamper: int = 0) -> DataFrame:
-        """(qid, trial, ok): random combinations of rows, of the matrix times the query and of the answer, must agree.
+    def verify(self, corpus: DataFrame, queries: DataFrame, tamper: int = 0, routes: DataFrame | None = None) -> DataFrame:
+        """(qid, cid, trial, ok): random combinations of rows, of the matrix times the query and of the answer, must agree.
 
-        Each batch sums its rows' part of both sides; only those sums are shuffled. ``tamper`` is added to one answer.
+        Each batch sums its rows' part of both sides; only those sums are shuffled. ``tamper`` is added to the answers of vector 0. With routes(qid, cid)
+        the clusters of postings are checked one by one, for the queries routed to them; else the corpus is one cluster, 0.
         """
         ship(corpus.sparkSession)
-        qids, q = query_rows(queries, self.n * 24)
-        base = self.subspace()
-        v = np.ascontiguousarray(self.encode(q, base)[0].T)
+        base, out = self.subspace(), None
+        cid = F.lit(0).cast("long") if routes is None else F.col("cid")
+        postings = self.encoded(corpus.select(cid.alias("cid"), F.col("vec_id").cast("long"), "embedding"))
+        for qids, q in query_blocks(queries, self.query_bytes):
+            if routes is None:
+                wanted = {0: np.arange(len(qids))}
+            else:
+                rows = routes.select("qid", "cid").join(queries.sparkSession.createDataFrame([(int(i),) for i in qids], "qid long"), "qid").toArrow()
+                wanted = wanted_of(np.searchsorted(qids, rows.column("qid").to_numpy()), rows.column("cid").to_numpy())
+            found = postings.mapInArrow(self._checks(qids, wanted, self.encode(q, base)[0], tamper), "qid long, cid long, trial long, l long, r long")
+            out = found if out is None else out.unionByName(found)
+        if out is None:
+            return corpus.sparkSession.createDataFrame([], "qid long, cid long, trial long, ok boolean")
+        total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")) % F.lit(P61).cast("decimal(38,0)")
+        return out.groupBy("qid", "cid", "trial").agg((total("l") == total("r")).alias("ok"))
 
+    def _checks(self, qids: np.ndarray, wanted: dict[int, np.ndarray], asked: np.ndarray, tamper: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-                if not len(ids):
-                    continue
-                m, _ = self.encrypt(ids, x, base)
-                answer = matmul61(m, v)
-                answer[ids == 0] = reduce61(answer[ids == 0] + np.uint64(tamper))
-                w = np.stack([uniform61(rng(self.seed, "trial", int(i)), self.trials) for i in ids], 1)
-                left, right = matmul61(w, answer), matmul61(matmul61(w, m), v)
-                trial, at = np.meshgrid(np.arange(self.trials), np.arange(len(qids)), indexing="ij")
-                yield pa.RecordBatch.from_arrays([pa.array(qids[at.ravel()]), pa.array(trial.ravel()), pa.array(left.ravel().astype(np.int64)), pa.array(right.ravel().astype(np.int64))], ["qid", "trial", "l", "r"])
-
-        parts = corpus.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "qid long, trial long, l long, r long")
-        total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")) % F.lit(P61).cast("decimal(38,0)")
-        return parts.groupBy("qid", "trial").agg((total("l") == total("r")).alias("ok"))
+            for batch in batches:
+                for c in np.unique(batch.column("cid").to_numpy()).tolist():
+                    at = wanted.get(c)
+                    if at is None:
+                        continue
+                    part = batch.take(pa.array(np.flatnonzero(batch.column("cid").to_numpy() == c)))
+                    ids, m, v = part.column("vec_id").to_numpy(), _held(part, "m"), np.ascontiguousarray(asked[at].T)
+                    answer = matmul61(m, v)
+                    answer[ids == 0] = reduce61(answer[ids == 0] + np.uint64(tamper))
+                    w = np.stack([uniform61(rng(self.seed, "trial", int(i)), self.trials) for i in ids], 1)
+                    left, right = matmul61(w, answer), matmul61(matmul61(w, m), v)
+                    trial, place = np.meshgrid(np.arange(self.trials), np.arange(len(at)), indexing="ij")
+                    columns = [qids[at[place.ravel()]], np.full(place.size, c), trial.ravel(), left.ravel().astype(np.int64), right.ravel().astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["qid", "cid", "trial", "l", "r"])
+
+        return run
+
+
+class BlindedQueries(Asking):
+    def __init__(self, scheme: Blinded, query: tuple[np.ndarray, np.ndarray, np.ndarray], base: np.ndarray) -> None:
+        self.scheme, self.query, self.base = scheme, query, base
+
+    @property
+    def steps(self) -> tuple:
+        return ("server-compute", lambda part, at, _: matmul61(_held(part, "m"), np.ascontiguousarray(self.query[0][at].T))), ("decode", self._decode)
+
+    def _decode(self, part: pa.RecordBatch, at: np.ndarray, answer: np.ndarray) -> np.ndarray:
+        own = tuple(x[at] for x in self.query)
+        return self.scheme.decode(part.column("vec_id").to_numpy(), matrix(part.column("embedding")), answer, _held(part, "al"), own, self.base)
 
 
 def require_verified(checks: DataFrame) -> None:
@@ -291,6 +408,8 @@ class Retrieval:
     sigma: float = 81920.0
     seed: int = 42
 
+    name, value, ascending, held = "tiptoe", "long", False, "hint"
+
     @property
     def delta(self) -> int:
         return (1 << 64) // self.p
@@ -316,26 +435,70 @@ class Retrieval:
         z = z.astype(np.int64)
         return np.where(z > self.p // 2, z - self.p, z)
 
-    def cluster_scores(self, postings: DataFrame, routes: DataFrame, queries: DataFrame) -> DataFrame:
-        """(qid, vec_id, value): products of codes within the one cluster of each query; routes are (qid, cid)."""
-        ship(postings.sparkSession)
-        qids, q = query_rows(queries, self.n * 8)
-        a = self.public(q.shape[1])
-        ct, s = self.encrypt(self.codes(q), a)
-        asked = postings.join(routes.select("qid", "cid"), "cid").select("qid", F.col("vec_id").cast("long"), "embedding")
+    @property
+    def query_bytes(self) -> int:
+        return self.n * 8
+
+    def encoded(self, postings: DataFrame) -> DataFrame:
+        """Adds ``codes``, the quantised rows, and ``hint``, their products with the public matrix."""
+        dim = postings.select(F.max(F.size("embedding"))).first()[0] or 0
+        a = self.public(dim)
+
+        def encode(_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            codes = self.codes(x)
+            return codes, codes @ a
+
+        return _added(postings, encode, "codes", "hint")
+
+    def asking(self, q: np.ndarray) -> Asking:
+        return RetrievalQueries(self, *self.encrypt(self.codes(q), self.public(q.shape[1])))
+
+
+class RetrievalQueries(Asking):
+    """Ciphertexts and secrets. The server's part of the hint times the secret goes through limbs, as its compression does."""
+
+    def __init__(self, scheme: Retrieval, ciphertexts: np.ndarray, secrets: np.ndarray) -> None:
+        self.scheme, self.ciphertexts, self.secrets = scheme, ciphertexts, secrets
+
+    @property
+    def steps(self) -> tuple:
+        return (
+            ("server-compute", lambda part, at, _: _held(part, "codes") @ self.ciphertexts[at].T),
+            ("decompress", lambda part, at, answer: (answer, hint_times_secrets(_held(part, "hint"), self.secrets[at]))),
+            ("decode", lambda part, at, both: self.scheme.recover(*both)),
+        )
+
+
+#: Ring size, plaintext modulus and ciphertext modulus bits under which hints are compressed, and bits of a limb.
+RING, PLAIN, CIPHER_BITS, LIMB = 2048, 65537, 38, 4
+
+
+def check_ring(entries: int, largest_secret: int = 2) -> None:
+    """Refuses parameters under which a limb's product with a secret would wrap in the plaintext ring."""
+    if entries > RING or ((1 << LIMB) - 1) * largest_secret * entries >= PLAIN:
+        raise ValueError(f"{entries} entries do not fit a ring of {RING} with plaintexts modulo {PLAIN}")
+
+
+def hint_limbs(hint: np.ndarray) -> np.ndarray:
+    """(limbs, rows, entries) of unsigned 64-bit integers, least first."""
+    return np.stack([(hint >> np.uint64(i)) & np.uint64((1 << LIMB) - 1) for i in range(0, 64, LIMB)])
+
+
+def hint_times_secrets(hint: np.ndarray, secrets: np.ndarray) -> np.ndarray:
+    """(rows x queries) modulo 2^64 from products of limbs, each within the plaintext ring: the clear arithmetic of hint compression, without encryption."""
+    check_ring(hint.shape[1])
+    out = np.zeros((len(hint), len(secrets)), np.uint64)
+    s = secrets.astype(np.float32).T  # products of limbs stay under 2^16, so single precision is exact
+    for i, part in enumerate(hint_limbs(hint)):
+        out += (part.astype(np.float32) @ s).astype(np.uint64) << np.uint64(LIMB * i)
+    return out
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for b in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                    if not b.num_rows:
-                        continue
-                    at = np.searchsorted(qids, b.column(0).to_numpy())
-                    m = self.codes(matrix(b.column(2)))
-                    answer = (m * ct[at]).sum(1, dtype=np.uint64)
-                    hint = m @ a
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(self.recover(answer, (hint * s[at]).sum(1, dtype=np.uint64)))], ["qid", "vec_id", "value"])
 
-        return asked.mapInArrow(run, "qid long, vec_id long, value long")
+def augmented_query(codes: np.ndarray, place: int, clusters: int) -> np.ndarray:
+    """A query for the layout in which each cluster has columns of its own: zero but for those of the one cluster that is asked."""
+    out = np.zeros(len(codes) * clusters, codes.dtype)
+    out[place * len(codes) : (place + 1) * len(codes)] = codes
+    return out
 
 
 def limbs(v: Column, n: int = 16, width: int = 4) -> Column:
@@ -347,4 +510,4 @@ def from_limbs(parts: Column, width: int = 4) -> Column:
     return F.aggregate(F.reverse(parts), F.lit(0).cast("long"), lambda a, x: a * F.lit(1 << width) + x)
 
 
-__all__ = ["Blinded", "Retrieval", "ScaleKey", "Scheme", "Trapdoor", "mul61", "require_verified", "scale_encrypt", "scale_keygen", "top"]
+__all__ = ["Asking", "Blinded", "Retrieval", "ScaleKey", "Scheme", "Trapdoor", "mul61", "require_verified", "scale_encrypt", "scale_keygen", "top"]

@@ -128,14 +128,19 @@ def gpu_only_schemes(spark, d):
 
 
 _CDF = "(SELECT scheme, latency_ms, row_number() OVER (PARTITION BY scheme ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY scheme) AS n FROM {src})"
+_GRID = "n <= 500 OR EXISTS (SELECT 1 FROM (SELECT unnest(range(500)) AS j) g WHERE (g.j * (c.n - 1)) // 499 = c.rn - 1)"
 
 
-@query("latency_cdf_small", f"WITH {_RAW}, x AS (SELECT * FROM raw WHERE query_id < 3) SELECT scheme, latency_ms, round(rn / n, 6) AS cdf FROM {_CDF.format(src='x')} WHERE n <= 500")
+@query(
+    "latency_cdf_small",
+    f"WITH {_RAW} SELECT scheme, query_id, latency_ms, round(rn / n, 6) AS cdf FROM (SELECT scheme, query_id, latency_ms, row_number() OVER (PARTITION BY scheme, query_id ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY scheme, query_id) AS n FROM raw) c WHERE {_GRID}",
+)
 def latency_cdf_small(spark, d):
-    return rounded(a.distribution(raw(spark, d).where("query_id < 3"), ["scheme"], "latency_ms"), "cdf")
+    """Distributions of few values each: all their points."""
+    return rounded(a.distribution(raw(spark, d), ["scheme", "query_id"], "latency_ms"), "cdf")
 
 
-@query("latency_cdf_500", f"WITH {_RAW} SELECT scheme, latency_ms, round(rn / n, 6) AS cdf FROM {_CDF.format(src='raw')} c WHERE n <= 500 OR EXISTS (SELECT 1 FROM (SELECT unnest(range(500)) AS j) g WHERE (g.j * (c.n - 1)) // 499 = c.rn - 1)")
+@query("latency_cdf_500", f"WITH {_RAW} SELECT scheme, latency_ms, round(rn / n, 6) AS cdf FROM {_CDF.format(src='raw')} c WHERE {_GRID}")
 def latency_cdf_500(spark, d):
     return rounded(a.distribution(raw(spark, d), ["scheme"], "latency_ms"), "cdf")
 
@@ -281,10 +286,10 @@ def substep_normalised(spark, d):
     return rounded(a.fractions(wide.drop("total"), list(a.SUBSTEPS)), *a.SUBSTEPS)
 
 
-@query("substep_long", f"WITH {_RAW} SELECT event_id, step, round(latency_ms * share, 6) AS ms FROM raw CROSS JOIN (VALUES ('route', 0.25), ('decode', 0.25), ('merge', 0.5)) v(step, share) WHERE query_id < 3")
+@query("substep_long", f"WITH {_RAW} SELECT event_id, step, round(latency_ms * share, 6) AS ms FROM raw CROSS JOIN (VALUES ('route', 0.25), ('decode', 0.25), ('merge', 0.5)) v(step, share)")
 def substep_long(spark, d):
     """One measured row as a row for each of its steps."""
-    x = raw(spark, d).where("query_id < 3")
+    x = raw(spark, d)
     step = F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.lit(s).alias("share")) for n, s in (("route", 0.25), ("decode", 0.25), ("merge", 0.5))])).alias("s")
     return x.select("event_id", "latency_ms", step).select("event_id", "s.step", F.round(F.col("latency_ms") * F.col("s.share"), 6).alias("ms"))
 
@@ -297,6 +302,17 @@ def parallel_efficiency(spark, d):
     return rounded(a.parallel_scaling(raw(spark, d), ["scheme"]), "mean", "speedup", "efficiency")
 
 
+@query(
+    "parallel_efficiency_pinned",
+    f"WITH {_RAW}, s AS (SELECT scheme, device = 'cpu' AS pinned, threads, avg(latency_ms) AS mean FROM raw WHERE NOT (device = 'gpu' AND threads = 1) GROUP BY ALL), b AS (SELECT *, count(*) OVER (PARTITION BY scheme, pinned) AS points, max(CASE WHEN threads = 1 AND pinned THEN mean END) OVER (PARTITION BY scheme) AS base FROM s) "
+    "SELECT scheme, pinned, threads, round(mean, 6) AS mean, round(base / mean, 6) AS speedup, round(base / mean / threads, 6) AS efficiency FROM b WHERE points >= 2",
+)
+def parallel_efficiency_pinned(spark, d):
+    """Bound and unbound threads against one bound thread."""
+    x = raw(spark, d).where("NOT (device = 'gpu' AND threads = 1)").withColumn("pinned", F.col("device") == "cpu")
+    return rounded(a.parallel_scaling(x, ["scheme"], pinned="pinned"), "mean", "speedup", "efficiency")
+
+
 _ONE_T = "WHERE scheme <> 'click' OR threads = 2"
 
 
@@ -338,10 +354,10 @@ def machine_summary(spark, d):
     )
 
 
-@query("machine_names", f"WITH {_RUNS}, n AS (SELECT concat('m', n_nationkey::STRING) AS machine_id, n_name AS name FROM nation WHERE n_nationkey < 5) SELECT run_id, coalesce(name, 'unknown') AS name FROM runs LEFT JOIN n USING (machine_id)")
+@query("machine_names", f"WITH {_RUNS}, n AS (SELECT concat('m', (n_nationkey * 2)::STRING) AS machine_id, n_name AS name FROM nation) SELECT run_id, coalesce(name, 'unknown') AS name FROM runs LEFT JOIN n USING (machine_id)")
 def machine_names(spark, d):
     """A dimension joined on the left, with a placeholder where it lacks the key."""
-    n = table(spark, d, "nation").where("n_nationkey < 5").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("machine_id"), F.col("n_name").alias("name"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("m"), (F.col("n_nationkey") * 2).cast("string")).alias("machine_id"), F.col("n_name").alias("name"))
     return runs(spark, d).join(n, "machine_id", "left").select("run_id", F.coalesce("name", F.lit("unknown")).alias("name"))
 
 
@@ -384,10 +400,10 @@ def upsert_missing_rows(spark, d):
     return a.upsert_missing(old, new, ["id"])
 
 
-@query("schema_union_backfill", "SELECT event_id, 'cpu' AS device, 0::BIGINT AS eff, 1 AS batch_size, event_id * 3 AS wallclock_us, round(event_id * 3 / 1000.0, 6) AS latency_ms FROM events WHERE event_id < 100")
+@query("schema_union_backfill", "SELECT event_id, 'cpu' AS device, 0::BIGINT AS eff, 1 AS batch_size, event_id * 3 AS wallclock_us, round(event_id * 3 / 1000.0, 6) AS latency_ms FROM events")
 def schema_union_backfill(spark, d):
     """Rows of the oldest form, with hyphens and without later columns."""
-    old = table(spark, d, "events").where("event_id < 100").select("event_id", (F.col("event_id") * 3).alias("latency-us"))
+    old = table(spark, d, "events").select("event_id", (F.col("event_id") * 3).alias("latency-us"))
     b = a.backfilled(old)
     return b.select("event_id", "device", F.col("effective_bytes_per_query").alias("eff"), "batch_size", "wallclock_us", F.round("latency_ms", 6).alias("latency_ms"))
 
@@ -398,12 +414,13 @@ def cleanup_reason(spark, d):
     return runs(spark, d).select("run_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-@query("manifest_state", "SELECT p_name AS name, CASE WHEN p_partkey >= 40 THEN 'unlisted' WHEN p_partkey < 10 THEN 'absent' WHEN p_partkey % 4 = 0 THEN 'changed' ELSE 'same' END AS state FROM (SELECT concat('f', p_partkey::STRING) AS p_name, p_partkey FROM part WHERE p_partkey < 50)")
+@query("manifest_state", "SELECT concat('f', p_partkey::STRING) AS name, CASE p_partkey % 5 WHEN 0 THEN 'unlisted' WHEN 1 THEN 'absent' WHEN 2 THEN 'changed' ELSE 'same' END AS state FROM part")
 def manifest_state(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 50").select("p_partkey", F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"))
-    digest = F.sha2("name", 256)
-    stated = p.where("p_partkey < 40").select("name", digest.alias("sha256"), F.col("p_partkey").alias("bytes"))
-    local = p.where("p_partkey >= 10").select("name", digest.alias("sha256"), (F.col("p_partkey") + F.when(F.col("p_partkey") % 4 == 0, 1).otherwise(0)).alias("bytes"))
+    """A manifest that lacks a fifth of the files, and files of which another fifth is missing and one has grown."""
+    p, kind = table(spark, d, "part").select("p_partkey", F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name")), F.col("p_partkey") % 5
+    digest = F.sha2("name", 256).alias("sha256")
+    stated = p.where(kind != 0).select("name", digest, F.col("p_partkey").alias("bytes"))
+    local = p.where(kind != 1).select("name", digest, (F.col("p_partkey") + F.when(kind == 2, 1).otherwise(0)).alias("bytes"))
     return a.manifest_state(stated, local)
 
 
@@ -446,14 +463,14 @@ def valid_campaigns(spark, d):
     return table(spark, d, "orders").select("o_orderkey", t.valid_campaign(F.col("o_orderpriority")).alias("valid"))
 
 
-@query("humane_latency", "SELECT event_id, CASE WHEN us < 1000 THEN printf('%.0f us', us::DOUBLE) WHEN us < 1000000 THEN printf('%.2f ms', us / 1000.0) ELSE printf('%.2f s', us / 1000000.0) END AS shown FROM (SELECT event_id, (event_id * event_id * event_id * 20)::BIGINT AS us FROM events WHERE event_id < 1000)")
+@query("humane_latency", "SELECT event_id, CASE WHEN us < 1000 THEN printf('%.0f us', us::DOUBLE) WHEN us < 1000000 THEN printf('%.2f ms', us / 1000.0) ELSE printf('%.2f s', us / 1000000.0) END AS shown FROM (SELECT event_id, (event_id * event_id * 20)::BIGINT AS us FROM events)")
 def humane_latency(spark, d):
-    return table(spark, d, "events").where("event_id < 1000").select("event_id", t.humane_micros(F.col("event_id") * F.col("event_id") * F.col("event_id") * 20).alias("shown"))
+    return table(spark, d, "events").select("event_id", t.humane_micros(F.col("event_id") * F.col("event_id") * 20).alias("shown"))
 
 
-@query("passage_prefix", "SELECT doc_id, concat('passage: ', text) AS passage FROM documents WHERE doc_id < 200")
+@query("passage_prefix", "SELECT doc_id, concat('passage: ', text) AS passage FROM documents")
 def passage_prefix(spark, d):
-    return table(spark, d, "documents").where("doc_id < 200").select("doc_id", F.concat(F.lit("passage: "), "text").alias("passage"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("passage: "), "text").alias("passage"))
 
 
 @query("malformed_rows_dropped", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) >= 50")
@@ -526,9 +543,9 @@ def reservoir_sample(spark, d):
     return docs.orderBy(((F.col("doc_id") + 42) * F.lit(2654435761)) % F.lit(4294967296), "doc_id").limit(25)
 
 
-@query("local_times", "SELECT event_id, strftime(make_timestamp((1700000000 + event_id * 3607) * 1000000) AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo', '%Y-%m-%d %H:%M') AS shown FROM events WHERE event_id < 500")
+@query("local_times", "SELECT event_id, strftime(make_timestamp((1700000000 + event_id * 3607) * 1000000) AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo', '%Y-%m-%d %H:%M') AS shown FROM events")
 def local_times(spark, d):
-    e = table(spark, d, "events").where("event_id < 500")
+    e = table(spark, d, "events")
     return e.select("event_id", t.local_display(t.iso_utc(F.col("event_id") * 3607 + 1700000000), "Asia/Tokyo").alias("shown"))
 
 
@@ -536,3 +553,19 @@ def local_times(spark, d):
 def effective_bytes_dropped(spark, d):
     """Rows without effective bytes are no measurement."""
     return raw(spark, d).where("eff_bytes <> 0").groupBy("scheme").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FILES = "f AS (SELECT run_id, status, concat('f', run_id % 4) AS name, CASE WHEN run_id % 7 <> 3 THEN sha256(concat('x', run_id)) END AS here, CASE WHEN run_id % 5 = 1 THEN sha256(concat('y', run_id)) WHEN run_id % 5 IN (2, 3) THEN sha256(concat('x', run_id)) END AS there FROM runs)"
+
+
+@query(
+    "transfer_plan",
+    f"WITH {_RUNS}, {_FILES} SELECT run_id, name, CASE WHEN here IS NULL THEN 'hydrate' WHEN there = here THEN 'prune' WHEN there IS NOT NULL THEN 'conflict' WHEN status = 'complete' THEN 'upload' ELSE 'refuse' END AS action FROM f WHERE here IS NOT NULL OR there IS NOT NULL",
+)
+def transfer_plan(spark, d):
+    """What becomes of each file of a run between the local tree and the store."""
+    r = runs(spark, d)
+    digest = lambda p: F.sha2(F.concat(F.lit(p), F.col("run_id").cast("string")), 256).alias("sha256")
+    name = F.concat(F.lit("f"), (F.col("run_id") % 4).cast("string")).alias("name")
+    same, other = r.where("run_id % 5 IN (2, 3)").select("run_id", name, digest("x")), r.where("run_id % 5 = 1").select("run_id", name, digest("y"))
+    return a.transfer_plan(r.where("run_id % 7 <> 3").select("run_id", name, digest("x")), same.unionByName(other), r)

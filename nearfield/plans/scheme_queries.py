@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as v
 from nearfield.operators import costs, ivf, knn, schemes
 from nearfield.plans.registry import query, table
 from nearfield.plans.vector_queries import _C0, _Q, _ROUTE, K, _index, asks, corpus, rounded
+from nearfield.sources import index_cache
 
 Q, P = v.Q20, v.P61
 SCALE = 1.5
@@ -53,13 +55,20 @@ def sap_route_plain_score_cipher(spark, d):
     return rounded(hits.withColumnRenamed("value", "dist"), "dist", digits=5)
 
 
-@query("sap_noise_in_ball", "SELECT count(*) AS n, true AS within FROM embeddings")
+_BETA = 0.5
+
+
+@query(
+    "sap_noise_in_ball",
+    f"SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * {schemes.scale_keygen().scale}, 6) AS scaled, true AS within, true AS moved FROM embeddings",
+)
 def sap_noise_in_ball(spark, d):
-    """Noise stays within scale * beta / 4 of the scaled vector."""
-    key, beta = schemes.scale_keygen(), 0.5
-    x = corpus(spark, d)
-    far = v.l2(F.col("cipher"), F.transform("embedding", lambda e: e.cast("double") * F.lit(key.scale)))
-    return schemes.scale_encrypt(x, key, beta).join(x, "vec_id").agg(F.count(F.lit(1)).alias("n"), F.every(far <= key.scale * beta / 4 + 1e-9).alias("within"))
+    """Noise stays within scale * beta / 4 of the scaled vector, and is there; the norm that it is measured against is that of SQL."""
+    key, x = schemes.scale_keygen(), corpus(spark, d)
+    scaled = F.transform("embedding", lambda e: e.cast("double") * F.lit(key.scale))
+    far, zero = v.l2(F.col("cipher"), scaled), F.transform("cipher", lambda e: F.lit(0.0))
+    both = schemes.scale_encrypt(x, key, _BETA).join(x, "vec_id")
+    return both.select("vec_id", F.round(v.l2(scaled, zero), 6).alias("scaled"), (far <= key.scale * _BETA / 4 + 1e-9).alias("within"), (far > 0).alias("moved"))
 
 
 _SMALL = schemes.Trapdoor(ell0=64, n=81, b=9)
@@ -72,13 +81,18 @@ def emvp_ip_topk(spark, d):
     return hits.withColumn("score", F.round(F.col("product") / float(Q) ** 2, 6))
 
 
-@query("emvp_ivf_topk", f"WITH {_ROUTE}, d AS (SELECT r.qid, a1.vec_id, list_inner_product({_quantised('a1.embedding')}, {_quantised('q.q')})::BIGINT AS product FROM r JOIN a1 USING (cid) JOIN q ON q.qid = r.qid WHERE r.pos <= 2) {_QIP_TOP}")
+_ROUTED = f"WITH {_ROUTE}, d AS (SELECT r.qid, a1.vec_id, list_inner_product({_quantised('a1.embedding')}, {_quantised('q.q')})::BIGINT AS product FROM r JOIN a1 USING (cid) JOIN q ON q.qid = r.qid WHERE r.pos <= 2) {_QIP_TOP}"
+
+
+def _encoded(spark, d, scheme):
+    """The index of the embeddings as a scheme has encoded it, written once for an application."""
+    return index_cache.build_or_read_encoded(scheme, _index(spark, d)[1], index_cache.own_root(spark))[0]
+
+
+@query("emvp_ivf_topk", _ROUTED)
 def emvp_ivf_topk(spark, d):
-    """Products of the whole corpus are never formed: only those of routed clusters are ranked."""
-    _, index = _index(spark, d)
-    q = asks(spark, d)
-    hits = ivf.probe(index.postings, ivf.route(q, index.centroids, 2), q, K, v.quantised_product(F.col("embedding"), F.col("query")), ascending=False)
-    return hits.withColumnRenamed("value", "product")
+    """Encoded queries against the encoded rows of routed clusters, and decoded answers: products of the whole corpus are never formed."""
+    return _encoded(spark, d, _SMALL).search(asks(spark, d), K, 2, _SMALL).withColumnRenamed("value", "product")
 
 
 _LONG = f"""a AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
@@ -87,20 +101,19 @@ f AS (SELECT vec_id, pos, ((round(x * {Q})::HUGEINT % {P}) + {P}) % {P} AS e FRO
 
 @query(
     "emvp_block_partials",
-    f"WITH {_LONG} SELECT f.vec_id, g.vec_id AS qid, (f.pos // 8)::BIGINT AS block, (sum((f.e * g.e) % {P}) % {P})::BIGINT AS part FROM f JOIN f g ON f.pos = g.pos WHERE f.vec_id < 20 AND g.vec_id < 3 GROUP BY ALL",
+    f"WITH {_LONG}, g AS (SELECT vec_id AS qid, pos, e FROM f WHERE vec_id % 100 = 0) "
+    f"SELECT vec_id, qid, block, part FROM (SELECT f.vec_id, g.qid, (f.pos // {_SMALL.b})::BIGINT AS block, (sum((f.e * g.e) % {P}) % {P})::BIGINT AS part FROM f JOIN g ON f.pos = g.pos GROUP BY ALL)",
 )
 def emvp_block_partials(spark, d):
-    """Partial products of column blocks over the field."""
-    x = corpus(spark, d).where("vec_id < 20")
-    q = asks(spark, d, 3).withColumnRenamed("embedding", "query")
-    zipped = F.zip_with("embedding", "query", lambda a, b: v.field_multiply(v.to_field(a), v.to_field(b)))
-    cells = x.join(F.broadcast(q)).select("vec_id", "qid", F.posexplode(zipped).alias("pos", "e"))
-    return cells.groupBy("vec_id", "qid", F.floor(F.col("pos") / 8).alias("block")).agg((F.sum(F.col("e").cast("decimal(38,0)")) % F.lit(P).cast("decimal(38,0)")).cast("long").alias("part"))
+    """Partial products of column blocks over the field by the server's kernel, for rows and queries that are not masked."""
+    x, q = corpus(spark, d), asks(spark, d)
+    plain = lambda e: F.transform(e, lambda c: v.to_field(c))
+    return schemes.block_partials(_SMALL, x.select("vec_id", plain(F.col("embedding")).alias("row")), q.select("qid", plain(F.col("embedding")).alias("row")))
 
 
-@query("emvp_field_roundtrip", f"WITH {_LONG} SELECT vec_id, pos::INTEGER AS pos, e::BIGINT AS e, CASE WHEN e > {P // 2} THEN (e - {P})::BIGINT ELSE e::BIGINT END AS back FROM f WHERE vec_id < 50")
+@query("emvp_field_roundtrip", f"WITH {_LONG} SELECT vec_id, pos::INTEGER AS pos, e::BIGINT AS e, CASE WHEN e > {P // 2} THEN (e - {P})::BIGINT ELSE e::BIGINT END AS back FROM f")
 def emvp_field_roundtrip(spark, d):
-    cells = corpus(spark, d).where("vec_id < 50").select("vec_id", F.posexplode(F.transform("embedding", lambda x: v.to_field(x))).alias("pos", "e"))
+    cells = corpus(spark, d).select("vec_id", F.posexplode(F.transform("embedding", lambda x: v.to_field(x))).alias("pos", "e"))
     return cells.withColumn("back", v.signed_lift(F.col("e")))
 
 
@@ -120,44 +133,63 @@ def bn_ip_topk(spark, d):
     return schemes.top(_BLIND, corpus(spark, d), asks(spark, d), K).withColumnRenamed("value", "product")
 
 
-@query("bn_matvec_modp", f"WITH {_LONG} SELECT f.vec_id, (sum((f.e * g.e) % {P}) % {P})::BIGINT AS y FROM f JOIN f g ON f.pos = g.pos AND g.vec_id = 1 GROUP BY f.vec_id")
+@query("bn_ivf_topk", _ROUTED)
+def bn_ivf_topk(spark, d):
+    """Blinded queries against the blinded rows of routed clusters, and unblinded answers."""
+    return _encoded(spark, d, _BLIND).search(asks(spark, d), K, 2, _BLIND).withColumnRenamed("value", "product")
+
+
+@query("bn_matvec_modp", f"WITH {_LONG}, g AS (SELECT vec_id AS qid, pos, e FROM f WHERE vec_id % 100 = 0) SELECT f.vec_id, g.qid, (sum((f.e * g.e) % {P}) % {P})::BIGINT AS y FROM f JOIN g ON f.pos = g.pos GROUP BY f.vec_id, g.qid")
 def bn_matvec_modp(spark, d):
-    """A matrix-vector product over the field in long form, reduced term by term."""
-    cells = corpus(spark, d).select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("e", v.to_field(F.col("x")))
-    one = cells.where("vec_id = 1").select("pos", F.col("e").alias("b"))
-    term = v.field_multiply(F.col("e"), F.col("b")).cast("decimal(38,0)")
-    return cells.join(F.broadcast(one), "pos").groupBy("vec_id").agg((F.sum(term) % F.lit(P).cast("decimal(38,0)")).cast("long").alias("y"))
+    """The server's matrix product over the field: all rows with each query, none of them blinded."""
+    plain = lambda e: F.transform(e, lambda c: v.to_field(c))
+    whole = schemes.Trapdoor(ell0=64, n=65, b=65)  # one block of columns
+    rows = schemes.block_partials(whole, corpus(spark, d).select("vec_id", plain(F.col("embedding")).alias("row")), asks(spark, d).select("qid", plain(F.col("embedding")).alias("row")))
+    return rows.select("vec_id", "qid", F.col("part").alias("y"))
+
+
+_CHECKED = f"WITH {{with_}} SELECT {{of}}, t.trial, true AS honest, bool_or(vec_id = 0) AS meddled FROM {{rows}} CROSS JOIN (SELECT unnest(range({_BLIND.trials})) AS trial) t GROUP BY ALL"
 
 
-@query("bn_freivalds", "SELECT qid, trial, true AS honest, qid IS NULL AS tampered FROM (SELECT unnest([0, 1, 2])::BIGINT AS qid) CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS trial)")
+@query("bn_freivalds", _CHECKED.format(with_=_Q, of="qid", rows="q CROSS JOIN embeddings"))
 def bn_freivalds(spark, d):
-    """Every trial passes for an honest answer and fails for one that is off by one."""
-    x, q = corpus(spark, d), asks(spark, d, 3)
-    honest = _BLIND.verify(x, q).withColumnRenamed("ok", "honest")
-    return honest.join(_BLIND.verify(x, q, tamper=1).withColumnRenamed("ok", "tampered"), ["qid", "trial"])
+    """Every trial passes for an honest answer and fails for the one cluster whose answer is off by one for vector 0."""
+    x, q = corpus(spark, d), asks(spark, d)
+    both = _BLIND.verify(x, q).withColumnRenamed("ok", "honest").join(_BLIND.verify(x, q, tamper=1).withColumnRenamed("ok", "tampered"), ["qid", "cid", "trial"])
+    return both.select("qid", "trial", "honest", (~F.col("tampered")).alias("meddled"))
+
+
+@query("bn_ivf_freivalds", _CHECKED.format(with_=_ROUTE, of="qid, cid::BIGINT AS cid", rows="(SELECT r.qid, r.cid, a1.vec_id FROM r JOIN a1 USING (cid) WHERE r.pos <= 2)"))
+def bn_ivf_freivalds(spark, d):
+    """The same for each cluster that a query is routed to: only the cluster of vector 0 fails."""
+    _, index = _index(spark, d)
+    q = asks(spark, d)
+    routes = ivf.route(q, index.centroids, 2)
+    check = lambda tamper, c: _BLIND.verify(index.postings, q, tamper, routes).withColumnRenamed("ok", c)
+    return check(0, "honest").join(check(1, "tampered"), ["qid", "cid", "trial"]).select("qid", "cid", "trial", "honest", (~F.col("tampered")).alias("meddled"))
 
 
 @query(
     "bn_sparse_dense",
-    f"WITH {_LONG}, s AS (SELECT unnest([3, 17, 40, 63]) AS pos, unnest([1, -1, -1, 1]) AS sign) SELECT vec_id, ((sum(sign * e) % {P} + {P}) % {P})::BIGINT AS y, (max(CASE WHEN f.pos = 40 THEN sign * e END))::HUGEINT::VARCHAR AS at_40 FROM f JOIN s ON f.pos = s.pos GROUP BY vec_id",
+    f"WITH {_LONG}, s AS (SELECT unnest([3, 17, 40, 63]) AS pos, unnest([1, -1, -1, 1]) AS sign) SELECT vec_id, ((sum(sign * e) % {P} + {P}) % {P})::BIGINT AS y FROM f JOIN s ON f.pos = s.pos GROUP BY vec_id",
 )
 def bn_sparse_dense(spark, d):
-    """A dense matrix times a sparse vector of signs, by a join on the column."""
-    s = spark.createDataFrame([(3, 1), (17, -1), (40, -1), (63, 1)], "pos int, sign int")
-    cells = corpus(spark, d).select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("e", v.to_field(F.col("x")))
-    signed = F.col("sign") * F.col("e")
-    total = F.pmod(F.sum(signed.cast("decimal(38,0)")), F.lit(P).cast("decimal(38,0)"))
-    return cells.join(F.broadcast(s), "pos").groupBy("vec_id").agg(total.cast("long").alias("y"), F.max(F.when(F.col("pos") == 40, signed)).cast("string").alias("at_40"))
+    """A dense matrix times a sparse vector of signs, by the kernel that blinding uses."""
+    signs = schemes.sparse_field(np.array([3, 17, 40, 63]), np.array([1, -1, -1, 1]), 64)
+    whole = schemes.Trapdoor(ell0=64, n=65, b=65)
+    query_row = spark.createDataFrame([(0, [int(x) for x in signs])], "qid long, row array<long>")
+    rows = schemes.block_partials(whole, corpus(spark, d).select("vec_id", F.transform("embedding", lambda c: v.to_field(c)).alias("row")), query_row)
+    return rows.select("vec_id", F.col("part").alias("y"))
 
 
 _RET = schemes.Retrieval(bits=4, p=1 << 15, n=256)
 _CODE = "list_transform({x}, lambda e: greatest(-15, least(15, round((e::FLOAT * 15::FLOAT)::DOUBLE))))"
 
 
-@query("tiptoe_quantise", f"SELECT vec_id, pos::INTEGER AS pos, (((c::BIGINT) % {_RET.p}) + {_RET.p}) % {_RET.p} AS code FROM (SELECT vec_id, unnest({_CODE.format(x='embedding')}) AS c, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings WHERE vec_id < 100)")
+@query("tiptoe_quantise", f"SELECT vec_id, pos::INTEGER AS pos, (((c::BIGINT) % {_RET.p}) + {_RET.p}) % {_RET.p} AS code FROM (SELECT vec_id, unnest({_CODE.format(x='embedding')}) AS c, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)")
 def tiptoe_quantise(spark, d):
     codes = F.transform("embedding", lambda x: v.clamp_quantise(x, _RET.bits, _RET.p))
-    return corpus(spark, d).where("vec_id < 100").select("vec_id", F.posexplode(codes).alias("pos", "code"))
+    return corpus(spark, d).select("vec_id", F.posexplode(codes).alias("pos", "code"))
 
 
 _ONE = f"WITH {_ROUTE}, d AS (SELECT r.qid, a1.vec_id, list_inner_product({_CODE.format(x='a1.embedding')}, {_CODE.format(x='q.q::FLOAT[]')})::BIGINT AS product FROM r JOIN a1 USING (cid) JOIN q ON q.qid = r.qid WHERE r.pos = 1) SELECT qid, rank, vec_id, round(product / 225.0, 6) AS score FROM ({_QIP_TOP})"
@@ -165,22 +197,18 @@ _ONE = f"WITH {_ROUTE}, d AS (SELECT r.qid, a1.vec_id, list_inner_product({_CODE
 
 @query("tiptoe_single_cluster_topk", _ONE)
 def tiptoe_single_cluster_topk(spark, d):
-    """Products of clamped codes within the one nearest cluster."""
-    _, index = _index(spark, d)
-    q = asks(spark, d)
-    code = lambda x: v.signed_lift(v.clamp_quantise(x, _RET.bits, _RET.p), _RET.p)
-    product = F.aggregate(F.zip_with("embedding", "query", lambda a, b: code(a) * code(b)), F.lit(0).cast("long"), lambda s, t: s + t)
-    hits = ivf.probe(index.postings, ivf.route(q, index.centroids, 1), q, K, product, ascending=False)
+    """Encrypted queries, linear answers, hints by limbs and recovered products within the one nearest cluster, from a written encoded index."""
+    hits = _encoded(spark, d, _RET).search(asks(spark, d), K, 1, _RET)
     return hits.select("qid", "rank", "vec_id", F.round(F.col("value") / 225.0, 6).alias("score"))
 
 
 @query("pir_single_cluster_topk", _ONE)
 def pir_single_cluster_topk(spark, d):
-    """The same ranking from encrypted queries, linear answers and hints."""
+    """The same ranking from postings that are encoded as the probe reads them, along a table of routes."""
     _, index = _index(spark, d)
     q = asks(spark, d)
-    products = _RET.cluster_scores(index.postings, ivf.route(q, index.centroids, 1), q)
-    return knn.ranked(products, K, "value", ascending=False).select("qid", "rank", "vec_id", F.round(F.col("value") / 225.0, 6).alias("score"))
+    hits = ivf.probe(_RET.encoded(index.postings), ivf.route(q, index.centroids, 1), q, K, _RET)
+    return hits.select("qid", "rank", "vec_id", F.round(F.col("value") / 225.0, 6).alias("score"))
 
 
 @query("pir_limb_decompose", "SELECT o_orderkey, limb, value, o_orderkey AS back FROM (SELECT o_orderkey, unnest([0, 1, 2, 3, 4]) AS limb, unnest([o_orderkey & 15, (o_orderkey >> 4) & 15, (o_orderkey >> 8) & 15, (o_orderkey >> 12) & 15, (o_orderkey >> 16) & 15]) AS value FROM orders)")

@@ -6,17 +6,20 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import ivf, knn
 from nearfield.plans.registry import query, table
+from nearfield.session import materialise
+from nearfield.sources import index_cache
 
-N_QUERIES, K = 20, 10
+#: Every row whose id is divisible by this asks.
+EVERY, K = 100, 10
 
 
 def corpus(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding", "label")
 
 
-def asks(spark, d, n: int = N_QUERIES):
-    """The first n vectors ask; each finds itself at distance 0."""
-    return corpus(spark, d).where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), "embedding")
+def asks(spark, d):
+    """Each vector whose id is divisible by :data:`EVERY` asks, against all; each finds itself at distance 0."""
+    return corpus(spark, d).where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def rounded(df, *cols, digits: int = 6):
@@ -25,7 +28,7 @@ def rounded(df, *cols, digits: int = 6):
     return df
 
 
-_Q = f"q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {N_QUERIES})"
+_Q = f"q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % {EVERY} = 0)"
 _L2 = """d AS (SELECT qid, vec_id, list_distance(embedding::DOUBLE[], q) AS dist FROM embeddings CROSS JOIN q)"""
 
 
@@ -47,16 +50,14 @@ def knn_exact_ip(spark, d):
     return rounded(knn.exact_knn(corpus(spark, d), asks(spark, d), K, "ip").withColumnRenamed("value", "score"), "score")
 
 
-@query("knn_batch_equals_single", f"SELECT vec_id AS qid, true AS equal FROM embeddings WHERE vec_id IN (0, 7, 19)")
+@query("knn_batch_equals_single", f"WITH {_Q}, {_L2} SELECT qid, list(vec_id ORDER BY rank) AS batch, list(vec_id ORDER BY rank) AS alone FROM ({_topk(K)}) GROUP BY qid")
 def knn_batch_equals_single(spark, d):
-    """A batch of queries gives each what it gets alone."""
-    batch = knn.exact_knn(corpus(spark, d), asks(spark, d), K).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("batch"))
-    alone = None
-    for q in (0, 7, 19):
-        one = knn.exact_knn(corpus(spark, d), asks(spark, d).where(F.col("qid") == q), K)
-        alone = one if alone is None else alone.unionByName(one)
-    alone = alone.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("alone"))
-    return batch.join(alone, "qid").select("qid", (F.col("batch") == F.col("alone")).alias("equal"))
+    """What queries find in one batch, and in batches of a few by a hash of their ids, as lists by rank."""
+    x, q = corpus(spark, d), asks(spark, d)
+    listed = lambda df, c: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda r: r["vec_id"]).alias(c))
+    parts = [knn.exact_knn(x, q.where(F.pmod(F.xxhash64("qid"), F.lit(3)) == i), K) for i in range(3)]
+    alone = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return listed(knn.exact_knn(x, q, K), "batch").join(listed(alone, "alone"), "qid")
 
 
 @query("ground_truth_topk", f"WITH {_Q}, {_L2} SELECT qid, (rank - 1)::INTEGER AS rank, vec_id FROM ({_topk(100)})")
@@ -65,10 +66,10 @@ def ground_truth_topk(spark, d):
     return knn.exact_knn(corpus(spark, d), asks(spark, d), 100).select("qid", (F.col("rank") - 1).alias("rank"), "vec_id")
 
 
-@query("knn_k_beyond_corpus", "SELECT 0::BIGINT AS qid, count(*) AS hits FROM embeddings")
+@query("knn_k_beyond_corpus", f"WITH {_Q} SELECT qid, least(count(*), 1000000) AS hits FROM embeddings CROSS JOIN q GROUP BY qid")
 def knn_k_beyond_corpus(spark, d):
     """k beyond the corpus is capped, never padded."""
-    return knn.exact_knn(corpus(spark, d), asks(spark, d, 1), 1_000_000).groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
+    return knn.exact_knn(corpus(spark, d), asks(spark, d), 1_000_000).groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def _mean_sql(src: str, key: str) -> str:
@@ -133,25 +134,33 @@ def cluster_size_cv(spark, d):
     return rounded(ivf.size_spread(cluster_sizes(spark, d)), "mean_n", "std_n", "cv")
 
 
-@query("cluster_argmin_tiebreak", "SELECT vec_id, 0::BIGINT AS cid FROM embeddings WHERE vec_id < 50")
+@query("cluster_argmin_tiebreak", f"WITH {_C0}, twice AS (SELECT cid + 100 AS cid, centroid FROM c0 UNION ALL SELECT cid, centroid FROM c0), a AS ({_assign_sql('embeddings', 'twice')}) SELECT vec_id, cid::BIGINT AS cid FROM a")
 def cluster_argmin_tiebreak(spark, d):
-    """Two equal centroids: the smaller cid wins."""
-    x = corpus(spark, d).where("vec_id < 50")
-    one = ivf.label_centroids(x.withColumn("label", F.lit(0)))
-    twice = one.withColumn("cid", F.explode(F.array(F.lit(1).cast("long"), F.lit(0).cast("long"))))
-    return ivf.assign(x, twice).select("vec_id", "cid")
+    """Each centroid stands there twice: the smaller cid wins."""
+    x = corpus(spark, d)
+    twice = ivf.label_centroids(x).withColumn("cid", F.explode(F.array(F.col("cid") + 100, F.col("cid").cast("long"))))
+    return ivf.assign(x, twice.select("cid", "centroid")).select("vec_id", "cid")
+
+
+_SPREAD = "(SELECT CASE WHEN label < 5 THEN label ELSE label + 3 END AS cid, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
-@query("empty_cluster_zero_vector", "SELECT 10::BIGINT AS cid, 0::BIGINT AS n, 0.0::DOUBLE AS largest UNION ALL SELECT 11, 0, 0.0")
+@query(
+    "empty_cluster_zero_vector",
+    f"WITH s AS (SELECT cid, count(*) AS n, sqrt(sum(m * m)) AS norm FROM (SELECT cid, pos, avg(x) AS m FROM (SELECT cid, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM {_SPREAD}) GROUP BY cid, pos) GROUP BY cid), "
+    f"z AS (SELECT cid, count(*) AS n FROM {_SPREAD} GROUP BY cid) SELECT r.cid::BIGINT AS cid, coalesce(z.n, 0) AS n, round(coalesce(s.norm, 0), 6) AS norm FROM (SELECT unnest(range(15)) AS cid) r LEFT JOIN z ON z.cid = r.cid LEFT JOIN s ON s.cid = r.cid",
+)
 def empty_cluster_zero_vector(spark, d):
-    means = ivf.with_empty(ivf.cluster_means(corpus(spark, d).select(F.col("label").alias("cid"), "embedding")), 12, 64)
-    return means.where("cid >= 10").select("cid", "n", F.array_max(F.transform("centroid", lambda x: F.abs(x))).alias("largest"))
+    """Clusters without members among others: no rows and the zero vector."""
+    cid = F.when(F.col("label") < 5, F.col("label")).otherwise(F.col("label") + 3).alias("cid")
+    means = ivf.with_empty(ivf.cluster_means(corpus(spark, d).select(cid, "embedding")), 15, 64)
+    return rounded(means.select("cid", "n", F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")), "norm")
 
 
 def _index(spark, d):
-    """Centroids after one step from the label means."""
+    """The corpus, and its index of centroids after one step from the label means, which is written once for an application."""
     x = corpus(spark, d)
-    return x, ivf.build(x, ivf.lloyd_step(x, ivf.label_centroids(x)))
+    return x, index_cache.build_or_read(x, index_cache.own_root(spark), train=lambda: ivf.lloyd_step(x, ivf.label_centroids(x)), start="labels").index
 
 
 _ROUTE = f"{_C0}, {_A0}, {_C1}, {_A1}, {_Q}, r AS (SELECT qid, cid, list_distance(q, centroid) AS dist, (row_number() OVER (PARTITION BY qid ORDER BY list_distance(q, centroid), cid))::INTEGER AS pos FROM q CROSS JOIN c1)"
@@ -186,12 +195,9 @@ def ivf_full_probe_is_exact(spark, d):
 @query("ivf_batch_per_cluster_best", f"WITH {_ROUTE} SELECT qid, cid::BIGINT AS cid, vec_id FROM (SELECT r.qid, r.cid, a1.vec_id, row_number() OVER (PARTITION BY r.qid, r.cid ORDER BY list_distance(a1.embedding::DOUBLE[], q.q), a1.vec_id) AS n FROM r JOIN a1 USING (cid) JOIN q ON q.qid = r.qid WHERE r.pos <= 2) WHERE n = 1")
 def ivf_batch_per_cluster_best(spark, d):
     """The first level of a two-level top-k: the best of each probed cluster."""
-    from nearfield.functions.vectors import l2
-
     _, index = _index(spark, d)
     q = asks(spark, d)
-    joined = index.postings.join(ivf.route(q, index.centroids, 2).select("qid", "cid").join(q.select("qid", F.col("embedding").alias("query")), "qid"), "cid")
-    return joined.groupBy("qid", "cid").agg(F.min_by("vec_id", F.struct(l2(F.col("embedding"), F.col("query")), "vec_id")).alias("vec_id"))
+    return ivf.probe(index.postings, ivf.route(q, index.centroids, 2), q, 1, each_cluster=True).select("qid", "cid", "vec_id")
 
 
 _SWEEP = (1, 2, 4, 10)
@@ -206,15 +212,13 @@ _SWEEP = (1, 2, 4, 10)
     "SELECT nprobe, count(*) AS queries, round(avg(recall), 6) AS recall FROM per GROUP BY nprobe",
 )
 def ivf_recall_by_nprobe(spark, d):
-    """One routed table at the largest nprobe serves the whole sweep."""
+    """One written index serves the whole sweep."""
     x, index = _index(spark, d)
     q = asks(spark, d)
-    truth = knn.exact_knn(x, q, K)
-    routes = ivf.route(q, index.centroids, max(_SWEEP))
+    truth = materialise(knn.exact_knn(x, q, K), "truth")
     out = None
     for n in _SWEEP:
-        r = knn.recall(ivf.probe(index.postings, routes.where(F.col("pos") <= n), q, K), truth, K)
-        r = r.agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall")).withColumn("nprobe", F.lit(n))
+        r = knn.recall(index.search(q, K, n), truth, K).agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall")).withColumn("nprobe", F.lit(n))
         out = r if out is None else out.unionByName(r)
     return rounded(out.select("nprobe", "queries", "recall"), "recall")
 
@@ -244,7 +248,7 @@ def deterministic_sample(spark, d):
     return x.orderBy((F.col("vec_id") * F.lit(2654435761)) % F.lit(4294967296), "vec_id").limit(50)
 
 
-@query("vector_checks", "SELECT count(*) AS n, count(DISTINCT len(embedding)) AS dims, count(*) FILTER (WHERE abs(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 1) < 1e-5) AS unit, true AS finite FROM embeddings")
+@query("vector_checks", "SELECT count(*) AS n, count(DISTINCT len(embedding)) AS dims, count(*) FILTER (WHERE abs(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 1) < 1e-5) AS unit, bool_and(isfinite(list_sum(embedding::DOUBLE[]))) AS finite FROM embeddings")
 def vector_checks(spark, d):
     from nearfield.functions.vectors import all_finite, inner_product
 
@@ -252,9 +256,9 @@ def vector_checks(spark, d):
     return corpus(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.size("embedding")).alias("dims"), F.count_if(F.abs(inner_product(e, e) - 1) < 1e-5).alias("unit"), F.every(all_finite(e)).alias("finite"))
 
 
-@query("pad_to_width", "SELECT vec_id, 128 AS width, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings WHERE vec_id < 100")
+@query("pad_to_width", "SELECT vec_id, 128 AS width, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
 def pad_to_width(spark, d):
     from nearfield.functions.vectors import pad
 
     padded = pad(F.col("embedding"), 128)
-    return corpus(spark, d).where("vec_id < 100").select("vec_id", F.size(padded).alias("width"), F.round(F.aggregate(padded, F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
+    return corpus(spark, d).select("vec_id", F.size(padded).alias("width"), F.round(F.aggregate(padded, F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))

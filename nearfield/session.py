@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import uuid
 import zipfile
@@ -72,8 +73,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The folder that driver and executors share, as the session names it. Without a name, a folder of this machine serves if all runs on it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_SCRATCH).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
@@ -113,6 +117,43 @@ def discard(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    if (spark, path) not in _scratch:
+        _scratch.append((spark, path))
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def read_document(spark: SparkSession, path: str) -> str:
+    """A small text file of any store; one that is not there is a ValueError."""
+    if not exists(spark, path):
+        raise ValueError(f"{path} is not there")
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_document(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file beside its place and then renames it, so that readers see the old one or the new one whole."""
+    fs, p = _file(spark, path)
+    _, own = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(own)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(own, p):
+        raise OSError(f"{path} cannot be written")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)

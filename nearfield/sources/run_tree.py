@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.operators.analytics import backfilled
-from nearfield.session import ship
+from nearfield.session import ship, write_document
 
 RAW_SCHEMA = """run_id string, scheme string, quality_param_name string, quality_param double, config_label string, k int, query_id long, recall_at_k double,
 latency_us long, query_bytes long, response_bytes long, cluster_response_bytes long, setup_bytes long, pre_query_offline_up_bytes long, pre_query_offline_down_bytes long,
@@ -144,6 +144,38 @@ def write_raw(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("append").option("header", True).option("nullValue", "").csv(path)
 
 
+def write_top_k(df: DataFrame, path: str) -> None:
+    """Hits in the columns of a top_k file, scores as floats."""
+    write_raw(df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in TOP_K_SCHEMA.split(", ")]), path)
+
+
+def write_substeps(df: DataFrame, path: str) -> None:
+    """Steps in the columns of a substep-breakdown file."""
+    write_raw(df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SUBSTEP_SCHEMA.split(", ")]), path)
+
+
+def to_toml(doc: dict, under: str = "") -> str:
+    """A document of nested tables, whose values are texts, numbers, booleans, times and lists of them; nulls are left out."""
+    own = [f"{k} = {_toml(v)}" for k, v in doc.items() if v is not None and not isinstance(v, dict)]
+    tables = [(f"{under}{k}", v) for k, v in doc.items() if isinstance(v, dict)]
+    return "\n".join([*own, *(f"\n[{name}]\n{to_toml(v, name + '.')}" for name, v in tables)])
+
+
+def _toml(v) -> str:
+    if isinstance(v, list | tuple):
+        return "[" + ", ".join(map(_toml, v)) + "]"
+    if isinstance(v, float):
+        return repr(v) if v == v and abs(v) != float("inf") else "nan" if v != v else "inf" if v > 0 else "-inf"
+    if hasattr(v, "isoformat"):
+        return v.isoformat()
+    return json.dumps(v)
+
+
+def write_metadata(spark: SparkSession, path: str, doc: dict) -> None:
+    """Writes a run's metadata document; a reader sees the one before or this one, and never part of it."""
+    write_document(spark, path, to_toml(doc) + "\n")
+
+
 def write_tsv(df: DataFrame, path: str, digits: dict[str, int] | None = None, missing: str = "nan") -> None:
     """One tab-separated file for a figure; such relations are small."""
     cols = [F.when(F.col(c).isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{digits[c]}f", c)).alias(c) if digits and c in digits else F.col(c) for c in df.columns]

@@ -8,9 +8,27 @@ from nearfield.sampling import smallest_hashes
 
 
 def test_scratch_folder_is_the_sessions_own():
-    conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
-    assert session.scratch_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k, d)))) == "hdfs://x/y"
-    assert session.scratch_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d))) == session.LOCAL_SCRATCH
+    own = lambda master, named=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named or d), sparkContext=SimpleNamespace(master=master))
+    assert session.scratch_dir(own("spark://x", "hdfs://x/y/")) == "hdfs://x/y"
+    assert session.scratch_dir(own("local[4]")) == session.scratch_dir(own("local")) == session.LOCAL_SCRATCH
+    for master in ("yarn", "spark://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.scratch_dir(own(master))
+
+
+def test_columns_of_any_names(spark):
+    from nearfield.tables import fresh, lookup
+
+    df = spark.createDataFrame([(i % 3, i, i, i) for i in range(30)], "k long, _may long, _word long, _bits long")
+    gone = spark.createDataFrame([(1,)], "k long")
+    assert sorted(bitmap.anti_join(df, gone, "k").collect()) == sorted(r for r in df.collect() if r["k"] != 1)
+    assert fresh(df, "_MAY", "x", "x") == ["_MAY_", "x", "x_"]
+    salted = df.withColumnRenamed("_bits", "_salt").unionByName(spark.createDataFrame([(None, 1, 1, 1)], "k long, _may long, _word long, _salt long"))
+    names = spark.createDataFrame([(0, "a"), (2, "c")], "k long, name string")
+    want = [(*r, {0: "a", 2: "c"}.get(r["k"])) for r in salted.collect()]
+    plain = lambda rows: sorted((tuple(r[c] for c in (*salted.columns, "name")) for r in rows), key=str)
+    assert plain(lookup(salted, "k", names, "_may", "left").collect()) == sorted(want, key=str)
+    assert plain(lookup(salted, "k", names, "_may").collect()) == sorted((w for w in want if w[-1]), key=str)
 
 
 def test_tables_are_written_and_discarded(spark):

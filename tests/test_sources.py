@@ -1,13 +1,15 @@
 import json
 import struct
+import tomllib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from nearfield.functions import text
 from nearfield.functions.text import machine_id
-from nearfield.operators import sweep
+from nearfield.operators import analytics, costs, ivf, schemes, sweep
 from nearfield.operators.knn import exact_knn
-from nearfield.operators import ivf
 from nearfield.sources import index_cache, run_tree, text_files, vec_files
 from tests.test_vectors import frame
 
@@ -112,17 +114,84 @@ def test_sweep_measures_recall_and_batches(spark):
     index = ivf.build(frame(spark, x), k=4, max_iter=2)
     q = frame(spark, x[:5], "qid")
     truth = exact_knn(frame(spark, x), q, 5)
-    raw, top_k = sweep.sweep(sweep.nprobe_settings(index, 5, (1, 4)), q, truth, 5, batch_sizes=(2,), most=5)
+    raw, top_k = sweep.sweep(sweep.nprobe_settings(index, (1, 4)), q, truth, 5, batch_sizes=(2,), most=5)
     rows = raw.collect()
     assert len(rows) == 8 and all(r["latency_us"] is None and r["amortised_latency_us"] == r["wallclock_us"] // 2 for r in rows)
     assert {r["recall_at_k"] for r in rows if r["quality_param"] == 4} == {1.0}
-    assert top_k.where("rank = 0").count() == 8
-    steps = {r["substep"]: r["us"] for r in sweep.breakdown(index, q, 5, 2).collect()}
-    assert list(steps) and set(steps) == set(sweep.SUBSTEPS) and steps["verify"] == 0
+    assert raw.columns == [x.split()[0] for x in run_tree.RAW_SCHEMA.replace("\n", " ").split(",")]
+    assert top_k.where("rank = 0").count() == 8 and top_k.columns == [x.split()[0] for x in run_tree.TOP_K_SCHEMA.split(", ")]
     bits = sweep.bits_sweep(frame(spark, x), q, 5, (20,)).agg({"recall": "min"}).first()[0]
     assert bits == 1.0
 
 
+def test_sweep_states_costs_verification_and_steps(spark):
+    x = np.random.default_rng(0).standard_normal((60, 4)).astype(np.float32)
+    index = ivf.build(frame(spark, x), k=4, max_iter=2)
+    q = frame(spark, x[:2], "qid")
+    truth = exact_knn(frame(spark, x), q, 5, "ip")
+    blind = schemes.Blinded(n=8, shrink=1)
+    (setting,) = sweep.nprobe_settings(index, (2,), blind, verify=True)
+    raw, _ = sweep.sweep([setting], q, truth, 5)
+    size = {r["cid"]: r["count"] for r in index.postings.groupBy("cid").count().collect()}
+    routes = {}
+    for r in ivf.route(q, index.centroids, 2).collect():
+        routes.setdefault(r["qid"], []).append(size[r["cid"]])
+    for r in raw.collect():
+        own = routes[r["query_id"]]
+        assert r["scheme"] == "bntm-ivf" and r["response_bytes"] == 8 * sum(own) and r["effective_bytes_per_query"] == 8 * costs.BN_WIDTH * sum(own)
+        assert r["verification_overhead_us"] > 0 and r["latency_us"] == r["wallclock_us"] > 0 and r["setup_bytes"] == 60 * 8 * costs.BN_WIDTH
+    steps = {(r["query_id"], r["substep"]): r["us"] for r in sweep.breakdown(setting, q, 5).collect()}
+    assert set(steps) == {(i, s) for i in (0, 1) for s in sweep.SUBSTEPS}
+    assert all((us == 0) == (s == "decompress") for (_, s), us in steps.items())
+    plain = {r["substep"]: r["us"] for r in sweep.breakdown(sweep.nprobe_settings(index, (1,))[0], q.where("qid = 0"), 5).collect()}
+    assert plain["server-compute"] > 0 and plain["verify"] == plain["decompress"] == plain["decode"] == 0
+
+
+def test_written_runs_are_read_again(spark, tmp_path):
+    root = tmp_path / "runs" / "m1" / "sha1" / "17"
+    hits = spark.createDataFrame([("nprobe=1", 0, 0, 7, 0.5)], "config_label string, query_id long, rank int, doc_id long, score double")
+    run_tree.write_top_k(hits.coalesce(1), str(root / "a"))
+    for part in (root / "a").glob("*.csv"):
+        part.rename(root / "top_k.csv")
+    steps = spark.createDataFrame([("17", "emvp", "nprobe", 1.0, "nprobe=1", 0, "route", 12, "m1")], run_tree.SUBSTEP_SCHEMA)
+    run_tree.write_substeps(steps.coalesce(1), str(root / "b"))
+    for part in (root / "b").glob("*.csv"):
+        part.rename(root / "substep-breakdown.csv")
+    got = run_tree.read_top_k(spark, str(tmp_path / "runs")).first()
+    assert (got["doc_id"], got["path_machine"], got["path_run"]) == (7, "m1", "17")
+    got = run_tree.read_substeps(spark, str(tmp_path / "runs")).first()
+    assert (got["substep"], got["us"], got["path_sha"]) == ("route", 12, "sha1")
+    (root / "index.csv").write_text("run_id,machine_id,git_sha,git_dirty,scheme,dataset,started_at,duration_secs,status,path\n17,m1,sha1,false,emvp,x,2024-01-02T03:04:05Z,9,complete,p\n")
+    row = run_tree.read_index(spark, str(root / "index.csv")).first()
+    assert (row["run_id"], row["git_dirty"], row["duration_secs"], row["status"]) == ("17", False, 9, "complete")
+
+
+def test_metadata_documents_are_replaced_whole(spark, tmp_path):
+    root = tmp_path / "m1" / "sha1" / "18"
+    root.mkdir(parents=True)
+    path = str(root / "run-metadata.toml")
+    doc = {"status": "running", "git-sha": 'a"b', "target-features": ["avx2"], "none": None, "ivf": {"n-centroids": 3}, "index": {"cache-hit": True, "build-duration-secs": 0.5, "deep": {"x": [1, 2]}}}
+    run_tree.write_metadata(spark, path, doc)
+    assert tomllib.loads((root / "run-metadata.toml").read_text()) == {k: v for k, v in doc.items() if k != "none"}
+    run_tree.write_metadata(spark, path, doc | {"status": "complete"})
+    row = run_tree.read_metadata(spark, str(tmp_path)).first()
+    assert (row["status"], row["n_centroids"], row["cache_hit"], row["git_sha"]) == ("complete", 3, True, 'a"b')
+    assert [p.name for p in root.iterdir() if "tmp" in p.name and not p.name.startswith(".")] == []
+
+
+def test_small_expressions(spark):
+    df = spark.createDataFrame([("a&b ~ x^2 \\ {c} #1 $5 10% _",), ("plain",), (None,)], "s string")
+    got = [r[0] for r in df.select(text.tex_escape(F.col("s"))).collect()]
+    assert got == [r"a\&b \textasciitilde{} x\textasciicircum{}2 \textbackslash{} \{c\} \#1 \$5 10\% \_", "plain", None]
+    h = 0xCBF29CE484222325
+    for b in (2).to_bytes(8, "little") + b"ab" + (0).to_bytes(8, "little"):
+        h = ((h ^ b) * 0x100000001B3) % (1 << 64)
+    assert text.fnv1a64([b"ab", b""]) == h
+    analytics.require_one(spark.createDataFrame([(1, 2), (1, 2)], "a int, b int"), "a", "b")
+    with pytest.raises(ValueError):
+        analytics.require_one(spark.createDataFrame([(1, 2), (1, 3)], "a int, b int"), "a", "b")
+
+
 def test_machine_ids_are_stable():
     assert machine_id("x", 8, 1) == machine_id("x", 8, 1) != machine_id("x", 9, 1) and len(machine_id("x", 8, 1)) == 8
     assert json.dumps(machine_id("x", 8, 1))
