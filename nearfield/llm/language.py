@@ -63,6 +63,17 @@ def subwords(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield _hashed(part)
 
 
+def pieces_of(text: str | None) -> list[str]:
+    """A text in pieces of about :data:`PART_CHARS`. They part at a character that is no letter, so their subwords together are the text's."""
+    text = (text or "").lower()
+    out, at = [], 0
+    while len(text) - at > PART_CHARS:
+        cut = next((i for i in range(at + PART_CHARS, len(text)) if not text[i].isalpha()), len(text))
+        out.append(text[at:cut])
+        at = cut + 1
+    return [*out, text[at:]] if at <= len(text) else out
+
+
 def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[c]
@@ -111,17 +122,25 @@ class Languages:
     least: float
 
     def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        out, known = [np.zeros((0, len(self.names)))], [np.zeros(0, bool)]
-        for buckets, first, has in subwords(texts):
-            n = np.diff(first)
-            rows = np.zeros((len(n), len(self.names)))
-            full = np.flatnonzero(n)
-            if len(full):
-                for k in range(len(self.names)):
-                    rows[full, k] = np.add.reduceat(self.table[k].take(buckets), first[:-1][full], dtype=np.float64) / n[full]
-            out.append(rows + self.bias)
-            known.append(has)
-        return np.concatenate(out), np.concatenate(known)
+        """Class scores of each text, and whether it has a letter. A very long text is added up from pieces."""
+        pieces, owner = [], []
+        for i, t in enumerate(texts):
+            own = pieces_of(t)
+            pieces += own
+            owner += [i] * len(own)
+        at, total, n = 0, np.zeros((len(texts), len(self.names))), np.zeros(len(texts), np.int64)
+        known = np.zeros(len(texts), bool)
+        for buckets, first, has in subwords(pieces):
+            count = np.diff(first)
+            of = np.array(owner[at : at + len(count)], np.int64)
+            at += len(count)
+            full = np.flatnonzero(count)
+            for k in range(len(self.names)):
+                if len(full):
+                    np.add.at(total[:, k], of[full], np.add.reduceat(self.table[k].take(buckets), first[:-1][full], dtype=np.float64))
+            np.add.at(n, of, count)
+            np.logical_or.at(known, of, has)
+        return total / np.maximum(n, 1)[:, None] + self.bias, known
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, of each text."""

@@ -9,13 +9,16 @@
    is pruned once that falls under its part of :data:`MISS`. Only a spanning forest of the survivors is kept. The members of a
    key with more than :data:`SMALL` are tied to its first for now; their pairs are compared in the next steps.
 4. The connected components of these edges are clusters: every candidate pair that survives lies within one. Clusters are dealt into blocks
-   of about :data:`BLOCK` documents with their full shingle sets, and some hub documents are in every block of their cluster. A block compares
+   of about :data:`BLOCK` documents with their full shingle sets, and some hub documents are in every block of their cluster: those whose signatures
+   agree most with the cluster's most frequent bytes, as the original of many copies does, and some by a draw. A block compares
    all its pairs that are not connected yet, prunes by the same rule, and verifies survivors exactly on full sets.
 5. A cluster of several blocks is split by second keys: each document's rarest shingles, so many that two linked documents must share
    one (all but 80 of 100, and one more; the order of rarity is the same for all). Documents outside the largest component of their cluster give all
    their keys; those within, whose pairs are connected, only keys that a bitmap of the others' allows. Keys whose documents are connected
-   already are done. The pairs of each other key are compared and pruned by signatures alone, and only the documents of surviving pairs meet with
-   full sets. Pages that share a template and no more share none of their rarest shingles, so their number does not square.
+   already are done. The pairs of each other key are pruned without full sets: by how much they can share at most after the places of their first
+   common key, and by signatures. So pages that share a template and no more never meet. The components of the pairs that are left are finer
+   clusters, and step 4 goes over these once more; what a finer cluster of several blocks then still has outside its largest component
+   meets all of its blocks.
 6. Components of the verified links are the result.
 
 No step emits the pairs of a group: blocks emit spanning forests, which lose no component. No key, bucket
@@ -38,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearfield.bitmap import anti_join, bitmap, candidates
 from nearfield.llm.components import components
@@ -52,8 +56,10 @@ HASHES = BANDS * ROWS
 SMALL = 64
 #: Signature bytes compared before each look, and the chance of losing a pair at the threshold over all looks.
 LOOK, MISS = 16, 1e-5
-#: Documents in a block, and hub documents that each block of a large cluster shares, about.
-BLOCK, HUBS = 64, 12
+#: Documents in a block, and hub documents of each kind that the blocks of a large cluster share, about.
+BLOCK, HUBS = 128, 8
+#: Documents of a second key whose pairs one task compares by signatures.
+WIDE = 4096
 #: Buckets of the counts that say how rare a shingle is. Any order is a right one; a bounded table of counts makes it a good one.
 BUCKETS = 1 << 20
 #: Bits of the bitmap of keys that documents outside their cluster's largest component have.
@@ -231,25 +237,56 @@ def _possible(sig: np.ndarray, n: np.ndarray, label: np.ndarray, a: np.ndarray,
 _PLACE = ["cluster", "block", "part", "doc_id", "component", "side"]
 
 
-def _survivors(percent: int):
-    """The rows of each block that are in a pair which signatures do not rule out."""
+def _plausible(percent: int):
+    """Spanning forests of the pairs of each second key that neither places, sizes nor signatures rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in complete_runs(batches, ["cluster", "block", "part"]):
-            sig, n, side = _signatures(t.column("sig")), t.column("n_shingles").to_numpy(), t.column("side").to_numpy()
-            labels = t.column("component").to_numpy()
-            hit = np.zeros(t.num_rows, bool)
+            ids, sig, side = t.column("doc_id").to_numpy(), _signatures(t.column("sig")), t.column("side").to_numpy()
+            n, left, labels = (t.column(c).to_numpy() for c in ("n_shingles", "left", "component"))
+            found = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                forest = Forest(e - s)
                 for a, b in _pairs(e - s, side[s:e]):
-                    a, b, _ = _possible(sig[s:e], n[s:e], labels[s:e], a, b, percent)
-                    hit[s + a] = True
-                    hit[s + b] = True
-            if hit.any():
-                yield from t.select(_PLACE).filter(pa.array(hit)).combine_chunks().to_batches()
+                    # From the first key that both have, they share no more than what either has left; 100 * shared >= percent * union.
+                    shared = np.minimum(left[s + a], left[s + b])
+                    keep = (100 + percent) * shared >= percent * (n[s + a] + n[s + b])
+                    a, b, _ = _possible(sig[s:e], n[s:e], labels[s:e], a[keep], b[keep], percent)
+                    found += [(ids[s + x], ids[s + y]) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, y)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster, cell, n): how often each byte stands at each place of the signatures of a batch's clusters; cell is place * 256 + byte."""
+    for b in batches:
+        cluster, cells = b.column("cluster").to_numpy(), _signatures(b.column("sig")).astype(np.int64) + np.arange(HASHES) * 256
+        for c in np.unique(cluster):
+            cell, n = np.unique(cells[cluster == c], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), c)), pa.array(cell), pa.array(n)], ["cluster", "cell", "n"])
+
+
+def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        usual = np.array(b.column("usual").to_pylist(), np.int64).reshape(b.num_rows, HASHES)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("cluster"), pa.array((_signatures(b.column("sig")) == usual).sum(1))], ["doc_id", "cluster", "agree"])
+
+
+def _hubs(pool: DataFrame) -> DataFrame:
+    """(doc_id): of each cluster of several blocks the documents nearest its usual signature, and some by a draw. pool is (doc_id, cluster, size, sig)."""
+    counts = pool.select("cluster", "sig").mapInArrow(trimmed(_byte_counts), "cluster long, cell long, n long").groupBy("cluster", "cell").agg(F.sum("n").alias("n"))
+    place = F.floor(F.col("cell") / 256)
+    usual = counts.groupBy("cluster", place.alias("place")).agg(F.max_by(F.col("cell") % 256, F.struct("n", "cell")).alias("byte"))
+    usual = materialise(usual.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "byte"))), lambda x: x["byte"]).alias("usual")), "near-usual")
+    agree = lookup(pool.select("doc_id", "cluster", "sig"), "cluster", usual, "doc_id").mapInArrow(trimmed(_agreements), "doc_id long, cluster long, agree long")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("agree"), "doc_id"))
+    central = agree.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("doc_id")
+    drawn = pool.where(_share(2) < F.lit(float(HUBS)) / F.col("size")).select("doc_id")
+    return materialise(central.unionByName(drawn).distinct(), "near-hubs")
+
+
 def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles % np.uint64(BUCKETS)).astype(np.int64)
 
@@ -264,26 +301,29 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _rare_keys(percent: int, counts, asked=None):
-    """(key, doc_id, component): a key for each of the rarest shingles of a document within its cluster; only those that ``asked`` may have, if given."""
+    """(key, doc_id, component, left): a key for each of the rarest shingles of a document within its cluster; only those that ``asked`` may have, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         for batch in batches:
             for b in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                keys, sizes = [], []
+                keys, left = [], []
                 for cluster, m in zip(b.column("cluster").to_numpy(), b.column("members"), strict=True):
                     x = np.frombuffer(m.as_buffer(), np.uint64)
                     p = len(x) - -(-percent * len(x) // 100) + 1
                     rare = np.lexsort((x, often[_bucket(x)]))[:p]
+                    rest = len(x) - np.arange(p)  # shingles from the key on, itself included
                     key = mix64(x[rare] ^ mix64(np.array([cluster], np.int64).view(np.uint64)))
                     if asked is not None:
                         at = key % np.uint64(OPEN_BITS)
-                        key = key[(asked.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                        here = (asked.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                        key, rest = key[here], rest[here]
                     keys.append(key)
-                    sizes.append(len(key))
-                at = np.repeat(np.arange(b.num_rows), sizes)
+                    left.append(rest)
+                at = np.repeat(np.arange(b.num_rows), [len(k) for k in keys])
                 key = pa.array(np.concatenate(keys).view(np.int64)) if keys else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([key, b.column("doc_id").take(pa.array(at)), b.column("component").take(pa.array(at))], ["key", "doc_id", "component"])
+                rest = pa.array(np.concatenate(left), pa.int64()) if left else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([key, b.column("doc_id").take(pa.array(at)), b.column("component").take(pa.array(at)), rest], ["key", "doc_id", "component", "left"])
 
     return run
 
@@ -327,53 +367,89 @@ def _verified(rows: DataFrame, percent: int, name: str) -> DataFrame:
     return materialise(_by_block(rows, _block_edges(percent), "a long, b long", "members"), name, ARROW_ROWS)
 
 
+_every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def _in_blocks(pool: DataFrame, percent: int, name: str) -> DataFrame:
+    """Links of step 4. pool is (doc_id, cluster, size, component, sig, members)."""
+    blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("long")
+    rows = pool.withColumn("blocks", blocks).withColumn("block", F.floor(_share(1) * F.col("blocks")).cast("long")).withColumn("part", F.lit(0).cast("long")).withColumn("side", F.lit(0))
+    large = rows.where("blocks > 1")
+    if large.limit(1).count():
+        hubs = _hubs(large.select("doc_id", "cluster", "size", "sig"))
+        own = rows.join(hubs, "doc_id", "left_anti")
+        # Hubs are few of each cluster; each is in all blocks.
+        everywhere = large.join(hubs, "doc_id").withColumn("block", _every("blocks"))
+        rows = own.unionByName(everywhere)
+    return _verified(rows, percent, name)
+
+
+def _sized(placed: DataFrame) -> DataFrame:
+    sizes = materialise(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
+    return lookup(placed, "cluster", sizes, "doc_id")
+
+
+def _open_parts(placed: DataFrame) -> DataFrame:
+    """placed(cluster, doc_id, component, ...) of clusters with several components, with ``size``, the ``largest`` component, and the rows in others, ``open``."""
+    counts = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("open"))
+    whole = materialise(whole.where("kinds > 1").drop("kinds"), "near-mixed")
+    return lookup(candidates(placed, "cluster", bitmap(whole, "cluster")), "cluster", whole, "doc_id")
+
+
+def _crossing(rows: DataFrame, width: int, salt: int) -> DataFrame:
+    """Rows of :func:`_open_parts` dealt so that each pair of different components meets once: whole where ``width`` documents suffice; else rows outside
+    the largest component go to every block."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / F.lit(float(width))).cast("long")).withColumn("parts", F.ceil(F.col("open") / F.lit(float(width))).cast("long"))
+    zero = F.lit(0).cast("long")
+    one = rows.where("blocks = 1").withColumn("block", zero).withColumn("part", zero).withColumn("side", F.lit(0))
+    several = rows.where("blocks > 1")
+    fixed = several.withColumn("block", F.floor(_share(salt) * F.col("blocks")).cast("long")).withColumn("part", _every("parts")).withColumn("side", F.lit(0))
+    roaming = several.where("component <> largest").withColumn("block", _every("blocks")).withColumn("part", F.floor(_share(salt + 1) * F.col("parts")).cast("long")).withColumn("side", F.lit(1))
+    return one.unionByName(fixed).unionByName(roaming)
+
+
+def _components_so_far(large: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """large with each document's component by the links found."""
+    so_far = components(links, name).withColumnRenamed("node", "doc_id")
+    return large.join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def _second_keys(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between the components so far of clusters of several blocks, by step 5."""
+    """Links, with those between the components so far of clusters of several blocks, by step 5."""
     spark = pool.sparkSession
-    large = pool.where("blocks > 1")
+    large = pool.where(F.col("size") > BLOCK)
     counted = materialise(large.select("members").mapInArrow(trimmed(_bucket_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "near-counts")
     often = np.zeros(BUCKETS, np.int64)
     for b in counted.toArrow().to_batches():  # at most BUCKETS rows
         often[b.column(0).to_numpy()] = b.column(1).to_numpy()
     shared = spark.sparkContext.broadcast(often)
-    so_far = components(links, "near-first").withColumnRenamed("node", "doc_id")
-    places = large.select("doc_id", "cluster").join(so_far, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    places = materialise(places, "near-places")
-    sizes = places.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    mains = materialise(sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("cluster", "main"), "near-mains")
+    places = materialise(_components_so_far(large.select("doc_id", "cluster"), links, "near-first"), "near-places")
     # Clusters of one component are done.
-    known = materialise(lookup(places, "cluster", mains, "doc_id").join(large.select("doc_id", "members"), "doc_id"), "near-known", ARROW_ROWS)
-    schema = "key long, doc_id long, component long"
-    apart = materialise(known.where("component <> main").mapInArrow(trimmed(_rare_keys(percent, shared)), schema), "near-apart", ARROW_ROWS)
+    parts = _open_parts(places).select("doc_id", "cluster", "component", "largest")
+    known = materialise(parts.join(large.select("doc_id", "members"), "doc_id"), "near-known", ARROW_ROWS)
+    schema = "key long, doc_id long, component long, left long"
+    apart = materialise(known.where("component <> largest").mapInArrow(trimmed(_rare_keys(percent, shared)), schema), "near-apart", ARROW_ROWS)
     bits = materialise(apart.select("key").mapInArrow(trimmed(_key_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")), "near-bits")
     words = np.zeros(OPEN_BITS >> 6, np.uint64)
     for b in bits.toArrow().to_batches():  # at most OPEN_BITS / 64 rows
         words[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
     asked = spark.sparkContext.broadcast(words)
-    main = materialise(known.where("component = main").mapInArrow(trimmed(_rare_keys(percent, shared, asked)), schema), "near-main", ARROW_ROWS)
-    keyed = apart.unionByName(main)
-    # Of each key with several components: how many rows, the component with most of them, and how many rows are in others.
-    counts = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("open"))
-    mixed = materialise(largest.where("kinds > 1").drop("kinds"), "near-mixed")
-    if not mixed.limit(1).count():
+    main = materialise(known.where("component = largest").mapInArrow(trimmed(_rare_keys(percent, shared, asked)), schema), "near-main", ARROW_ROWS)
+    met = materialise(_open_parts(apart.unionByName(main).withColumnRenamed("key", "cluster")), "near-keyed")
+    signed = _crossing(met, WIDE, 3).join(large.select("doc_id", "sig", F.expr("length(members) div 8").alias("n_shingles")), "doc_id")
+    finer = materialise(_by_block(signed, _plausible(percent), "a long, b long", "n_shingles", "left"), "near-plausible", ARROW_ROWS)
+    discard(known, apart, main, met)
+    if not finer.limit(1).count():
         return links
-    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("long")
-    rows = lookup(candidates(keyed, "key", bitmap(mixed, "key")), "key", mixed, "doc_id").withColumn("blocks", blocks).withColumn("cluster", F.col("key"))
-    rows = rows.withColumn("parts", F.ceil(F.col("open") / F.lit(float(BLOCK))).cast("long")).withColumn("own", F.floor(_share(4) * F.col("blocks")).cast("long"))
-    rows = materialise(rows.select("cluster", "doc_id", "component", "largest", "blocks", "parts", "own"), "near-rare")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = rows.where("blocks = 1").select("cluster", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("part"), "doc_id", "component", F.lit(0).alias("side"))
-    # Of a key with several blocks the documents outside its largest component meet every block; those within are connected.
-    several = rows.where("blocks > 1")
-    fixed = several.withColumn("block", F.col("own")).withColumn("part", every("parts")).withColumn("side", F.lit(0)).select(*_PLACE)
-    roaming = several.where("component <> largest").withColumn("block", every("blocks")).withColumn("part", F.floor(_share(3) * F.col("parts")).cast("long")).withColumn("side", F.lit(1)).select(*_PLACE)
-    signed = one.unionByName(fixed).unionByName(roaming).join(large.select("doc_id", "sig", F.expr("length(members) div 8").alias("n_shingles")), "doc_id")
-    place = "cluster long, block long, part long, doc_id long, component long, side int"
-    near = materialise(_by_block(signed, _survivors(percent), place, "n_shingles"), "near-survivors", ARROW_ROWS)
-    more = _verified(near.join(large.select("doc_id", "sig", "members"), "doc_id"), percent, "near-more")
-    discard(known, apart, main, rows)
-    return links.unionByName(more)
+    finer = _sized(components(finer, "near-finer").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+    finer = materialise(finer.join(places.select("doc_id", "component"), "doc_id").join(large.select("doc_id", "sig", "members"), "doc_id"), "near-finer", ARROW_ROWS)
+    links = links.unionByName(_in_blocks(finer, percent, "near-again"))
+    several = finer.where(F.col("size") > BLOCK)
+    if several.limit(1).count():
+        left = _crossing(_open_parts(materialise(_components_so_far(several.select("doc_id", "cluster"), links, "near-second"), "near-left")), BLOCK, 5)
+        links = links.unionByName(_verified(left.join(several.select("doc_id", "sig", "members"), "doc_id"), percent, "near-more"))
+    return links
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,18 +475,13 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stars = spokes.unionByName(rims).where("a <> b")
     clusters = components(forests.unionByName(stars), "near-clusters").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
-    sizes = materialise(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
-    blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("long")
-    dealt = lookup(clusters, "cluster", sizes, "doc_id").withColumn("blocks", blocks).withColumn("own", F.floor(_share(1) * F.col("blocks")).cast("long"))
-    dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id")
+    dealt = _sized(clusters).join(reps.select("doc_id", "sig"), "doc_id")
     # Texts whose id is in no cluster do not take part in the shuffle.
     wanted = candidates(texts, "doc_id", bitmap(clusters, "doc_id"))
-    pool = materialise(dealt.join(wanted, "doc_id").mapInArrow(trimmed(_sets(words)), "doc_id long, cluster long, size long, blocks long, own long, sig binary, members binary"), "near-pool", ARROW_ROWS)
+    pool = materialise(dealt.join(wanted, "doc_id").mapInArrow(trimmed(_sets(words)), "doc_id long, cluster long, size long, sig binary, members binary"), "near-pool", ARROW_ROWS)
     # Each document is alone at first: its id is its component.
-    everywhere = (F.col("blocks") > 1) & (_share(2) < F.lit(float(HUBS)) / F.col("size"))
-    first = pool.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    links = _verified(first.select("*", F.lit(0).cast("long").alias("part"), F.col("doc_id").alias("component"), F.lit(0).alias("side")), percent, "near-links")
-    if sizes.where(F.col("size") > BLOCK).limit(1).count():
+    links = _in_blocks(pool.withColumn("component", F.col("doc_id")), percent, "near-links")
+    if pool.where(F.col("size") > BLOCK).limit(1).count():
         links = _second_keys(pool, links, percent)
 
     found = components(links, "near-found").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _CODE[ord("A") : ord("Z") + 1] = _CODE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_white = re.compile(rb"[\x20\x09-\x0d]").search
 _BASE = np.uint64(int(_rng.integers(1 << 62, 1 << 63)) | 1)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _SET_SALTS = _rng.integers(1, 1 << 63, 2, dtype=np.uint64)
@@ -29,7 +31,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of UTF-8 text: A-Z as a-z, words parted by white space."""
+    """(hash, start) of each word of UTF-8 text: A-Z as a-z, words parted by white space. Very long texts are read in parts that end at white space."""
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        to = at + 4 * PART_BYTES
+        if to < len(data):
+            cut = _white(data, to)
+            to = cut.start() if cut else len(data)
+        h, s = _word_hashes(data[at:to] if at or to < len(data) else data)
+        hashes.append(h)
+        starts.append(s + at)
+        at = to
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return (hashes[0], starts[0]) if len(hashes) == 1 else (np.concatenate(hashes), np.concatenate(starts))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     at = np.flatnonzero(~_SPACE[b])
     if not len(at):

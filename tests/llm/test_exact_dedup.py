@@ -77,3 +77,20 @@ def test_equal_fingerprints_still_differ_by_bytes(spark, monkeypatch):
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_query_matches_sql(sf, same_rows):
     same_rows(x.query, x.SQL)
+
+
+def test_rows_that_stay(spark):
+    rows = [(1, "same text here", "en", "a"), (2, "same  text here", "en", "a"), (2, "a second unique text", "en", "a"), (3, "twice", "en", "a"), (3, "twice", "en", "a"), (None, "null id", "en", "a"), (None, "null  id", "en", "a"), (9, None, None, None), (4, " ", "en", "b"), (8, "", "en", "b"), (None, "twice", "en", "b")]
+    df = documents(spark, rows).withColumnRenamed("size", "_may").withColumnRenamed("lang", "_norm")
+    kept = x.keep(df)
+    assert kept.columns == df.columns and set(map(str, kept.collect())) <= set(map(str, df.collect()))
+    got = sorted(((r["doc_id"], re.sub(WHITE, " ", r["text"] or "")) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "same text here"), (2, "a second unique text"), (3, "twice"), (None, "null id"), (8, ""), (4, " ")], key=str)
+    assert x.keep(documents(spark, [])).collect() == []
+    assert sorted(map(str, x.keep(df.repartition(3)).collect())) == sorted(map(str, kept.collect()))
+
+
+def test_rows_that_stay_agree_with_the_decisions(spark):
+    rows = [(i, f"text {i % 7 if i % 3 else 0}" if i % 2 else f"alone {i}", "en", "s") for i in range(300)]
+    df = documents(spark, rows)
+    assert {r["doc_id"] for r in x.keep(df).collect()} == {r["doc_id"] for r in x.exact_dedup(df).where("kept").collect()}

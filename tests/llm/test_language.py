@@ -107,3 +107,16 @@ def test_a_repeated_id_trains_once(spark):
     rows = [(1, f"text {i}", "en", "s") for i in range(50)] + [(2, "ein satz", "de", "s"), (2, None, "de", "s")]
     texts, langs = language.labelled_sample(documents(spark, rows), lambda c: c.isNotNull())
     assert sorted(zip(langs, texts)) == [("de", ""), ("en", "text 0")]
+
+
+def test_very_long_texts_in_pieces(texts, monkeypatch):
+    model = language.fit([r[2] for r in texts[:60]], [r[1] for r in texts[:60]])
+    sample = [(r[2] + " ") * 3 for r in texts[60:75]] + ["x" * 5000, "a" * 700 + " b", "", None, " " * 900, "İstanbul " * 200]
+    whole, known = model.logits(sample)
+    monkeypatch.setattr(language, "PART_CHARS", 300)
+    assert len(language.pieces_of(sample[0])) > 1 and language.pieces_of("x" * 5000) == ["x" * 5000]
+    parts, known_too = model.logits(sample)
+    np.testing.assert_allclose(parts, whole, atol=1e-6)
+    assert known.tolist() == known_too.tolist()
+    monkeypatch.undo()
+    assert model.predict(["the quick brown fox " * 200_000])[1][0] > 0

@@ -70,7 +70,7 @@ def test_chains_of_near_copies_equal_brute_force(spark, seed):
 
 def test_large_clusters_in_small_blocks_lose_no_link(spark, monkeypatch):
     """Stars, hubs and cross-block tasks, which usual sizes do not reach here."""
-    for name, value in (("SMALL", 4), ("BLOCK", 12), ("HUBS", 2)):
+    for name, value in (("SMALL", 4), ("BLOCK", 12), ("HUBS", 2), ("WIDE", 10)):
         monkeypatch.setattr(near_dup, name, value)
     rows = variants(140, 5, 4)
     assert run(documents(spark, rows), 4) == brute(rows, 4)
@@ -119,3 +119,48 @@ def test_components_of_edges_that_change_from_run_to_run(spark):
     edges = spark.range(300).select((F.col("id") * 3).alias("x")).select(F.explode(trees).alias("e")).select("e.a", "e.b")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {i: i // 3 * 3 for i in range(900)}
+
+
+def test_very_long_texts_are_hashed_in_parts(monkeypatch):
+    g = random.Random(2)
+    texts = [" ".join(f"w{g.randrange(50)}" for _ in range(3000)), "y" * 9000 + " z", "\n".join("ab" for _ in range(2000)) + " ", "", None]
+    whole = [x.tolist() for x in shingles.shingle_hashes(texts, 5)]
+    monkeypatch.setattr(shingles, "PART_BYTES", 40)
+    assert [x.tolist() for x in shingles.shingle_hashes(texts, 5)] == whole
+    monkeypatch.undo()
+    assert len(next(shingles.shingle_hashes(["one two three four five six " * 300_000], 5))) == 6
+
+
+def templated(n, shared, own, seed):
+    """Pages of one template, each with words of its own; every tenth repeats the one before but for a word."""
+    g = random.Random(seed)
+    head, rows = [f"t{i}" for i in range(shared)], []
+    for i in range(n):
+        words = head + [f"u{g.randrange(10**9)}" for _ in range(own)] if i % 10 or not rows else [*rows[-1][1].split()[:-1], "other"]
+        rows.append((i, " ".join(words), "en", "s"))
+    return rows
+
+
+def test_templates_tie_clusters_but_not_pages(spark, monkeypatch):
+    for name, value in (("SMALL", 8), ("BLOCK", 16), ("HUBS", 3)):
+        monkeypatch.setattr(near_dup, name, value)
+    rows = templated(220, 45, 30, 4) + [(1000 + d, t, x, s) for d, t, x, s in templated(60, 30, 40, 5)]
+    met = []
+    own = near_dup._by_block
+    monkeypatch.setattr(near_dup, "_by_block", lambda df, run, schema, *also: met.append((also, df.count())) or own(df, run, schema, *also))
+    assert run(documents(spark, rows), 5) == brute(rows, 5)
+    # All rows that meet with full sets: little more than each document once, though the clusters have many blocks.
+    assert sum(n for also, n in met if "members" in also) < 2 * len(rows)
+
+
+def test_rows_that_stay(spark):
+    """One row of each component, whatever the ids: repeated ones, null ones, and columns with names of the operator's own."""
+    w = [f"w{i}" for i in range(30)]
+    a, b, c = " ".join(w), " ".join([*w[:-1], "x"]), " ".join(reversed(w))
+    rows = [(5, a, "en", "s"), (2, b, "en", "s"), (2, c, "en", "s"), (None, a + " ", "en", "s"), (None, "alone " * 9, "en", "s"), (7, None, "en", "s"), (7, "", "en", "s"), (2, "a unique text of its own here", "en", "s")]
+    df = documents(spark, rows).withColumnRenamed("size", "_row").withColumnRenamed("norm", "row")
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(2, b), (2, c), (None, "alone " * 9), (7, None), (7, ""), (2, "a unique text of its own here")], key=str)
+    assert near_dup.keep_one(documents(spark, [])).collect() == []
