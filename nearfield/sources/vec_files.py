@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.session import ship
 
+#: Records that pass from Spark's reader as one value.
+CHUNK = 1024
+
 
 def _file(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -45,17 +49,27 @@ def _read(spark: SparkSession, path: str, kind: str, name: str, id_col: str) ->
     schema = f"{id_col} long, {name} array<{'float' if kind == '<f4' else 'int'}>"
     if dim == 0:
         return spark.createDataFrame([], schema)
-    rows = spark.sparkContext.binaryRecords(path, 4 + 4 * dim).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
+    records = spark.sparkContext.binaryRecords(path, 4 + 4 * dim)
+    # All splits of a file but its last have as many records as the first, so a split's place says where its ids start.
+    (each,) = spark.sparkContext.runJob(records, lambda it: [sum(1 for _ in it)], [0])
+
+    def chunks(split: int, it: Iterator[bytes]) -> Iterator[tuple[int, bytearray]]:
+        at = split * each
+        while chunk := list(islice(it, CHUNK)):
+            yield at, bytearray(b"".join(chunk))
+            at += len(chunk)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i4").reshape(-1, dim + 1)
-            if (raw[:, 0] != dim).any():
-                raise ValueError(f"{path} holds vectors of different dimension")
-            flat = pa.array(np.ascontiguousarray(raw[:, 1:]).view(kind).ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * dim, pa.int32()), flat)], [id_col, name])
-
-    return spark.createDataFrame(rows, f"{id_col} long, raw binary").mapInArrow(decode, schema)
+            for at, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = np.frombuffer(data, "<i4").reshape(-1, dim + 1)
+                if (raw[:, 0] != dim).any():
+                    raise ValueError(f"{path} holds vectors of different dimension")
+                flat = pa.array(np.ascontiguousarray(raw[:, 1:]).view(kind).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * dim, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(raw))), lists], [id_col, name])
+
+    return spark.createDataFrame(records.mapPartitionsWithIndex(chunks), "at long, raw binary").mapInArrow(decode, schema)
 
 
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:

@@ -94,6 +94,23 @@ def test_registry_appends_only_new_keys(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_ids_go_on_over_many_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vec_files, "CHUNK", 7)
+    x = np.random.default_rng(0).standard_normal((501, 3)).astype(np.float32)
+    path = str(tmp_path / "a.fvecs")
+    vec_files.write_fvecs(frame(spark, x), path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    key = "mapreduce.input.fileinputformat.split.maxsize"
+    conf.set(key, "1000")
+    try:
+        assert spark.sparkContext.binaryRecords(path, 16).getNumPartitions() > 4
+        got = {r["vec_id"]: r["embedding"] for r in vec_files.read_fvecs(spark, path).collect()}
+    finally:
+        conf.unset(key)
+    assert sorted(got) == list(range(501))
+    np.testing.assert_array_equal(np.array([got[i] for i in range(501)], np.float32), x)
+
+
 def test_figure_files_have_fixed_digits(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.5), ("b", None)], "scheme string, x double")
     run_tree.write_tsv(df, str(tmp_path / "t"), {"x": 4})
