@@ -36,24 +36,40 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _placed(sources: DataFrame) -> DataFrame:
+    """sources with ``place``, a source's number from 0 in code point order, null last. Ranges are numbered apart and their sizes, few, are added up."""
+    spark = sources.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    dealt = materialise(sources.repartitionByRange(ranges, order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before, total = [], 0
+    for r in dealt.groupBy("range").count().orderBy("range").collect():  # at most one row a partition
+        before.append((r["range"], total))
+        total += r["count"]
+    offsets = spark.createDataFrame(before, "range int, before long")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1 + F.col("before")
+    return dealt.join(F.broadcast(offsets), "range").withColumn("place", place).drop("range", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, n, target) from (source, size).
 
-    A source's share by weight stops at ``most`` times its size and the excess is dealt again by weight.
-    With sources ordered by cap over weight, that is one level for all that stay below their cap: the
-    first level that does not pass the cap of the source it is computed at. One row per source is windowed.
+    A source's share by weight stops at ``most`` times its size and the excess is dealt again by weight: all that stay below their cap
+    get one level times their weight. The level rises from round to round, each a sum over the sources, until it passes no further cap.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    s = s.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("level", (F.lit(share) * F.sum("source_size").over(everything) - before) / rest)
-    fits = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("r"), "level"))).over(everything)["level"]
-    return s.withColumn("all_level", fits).select("source", "source_size", "n", F.least("cap", F.coalesce(F.col("all_level") * F.col("weight"), F.col("cap"))).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    s = materialise(_placed(s).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))), "mix-weighed")
+    total = float(s.agg(F.sum("source_size")).first()[0] or 0)
+    level, passed = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.col("weight") * F.lit(level)
+        n, capped, free = s.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        if n <= passed or not free:
+            break
+        level, passed = max(level, (share * total - capped) / free), n
+    target = F.least("cap", F.col("weight") * F.lit(level)) if free else F.col("cap")
+    return s.select("source", "source_size", "n", target.alias("target"))
 
 
 #: One meeting: s.cur is the document whose fraction is open, b the next, t the words that can move to s.cur and from it.

@@ -35,7 +35,7 @@ from nearfield.session import materialise, ship
 
 TREES, BITS = 256, 24
 SHARD, QUERIES = 32_768, 8192
-SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 128, 0.94
+SAMPLE, SAMPLE_QUERIES, TARGET = 8192, 128, 0.93
 #: Shares of a shard that are tried, counted over all trees, with what several trees name.
 SHARES = (0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.8, 1.0, 1.3, 1.6, 2.0, 3.0, 4.0, 8.0, float(TREES))
 #: Queries that ascend at once.

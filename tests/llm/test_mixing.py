@@ -88,3 +88,16 @@ def test_rows_with_null_and_repeated_ids_are_taken_as_the_mix_says(spark):
         got[r["doc_id"], r["source"], len(split_words(r["text"]))] += 1
     assert got == +want and any(k[0] is None for k in got)
     assert sorted(map(str, mixing.take(df).collect())) == sorted(map(str, mixing.take(df.repartition(3)).collect()))
+
+
+def test_targets_of_many_sources_equal_water_filling(spark):
+    g = np.random.default_rng(8)
+    for seed in range(3):
+        sizes = {f"s{i}é{i % 7}": int(x) for i, x in enumerate(g.pareto(0.6, 300) * 20)} | {None: int(seed * 1000), "": 0, "Z": 10**6}
+        df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+        got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+        want = brute_targets(sizes)
+        assert set(got) == set(want)
+        for k in want:
+            assert abs(got[k] - want[k]) <= 1e-9 * (1 + want[k]), k
+        assert abs(sum(got.values()) - 1.5 * sum(sizes.values())) < 1e-6 * sum(sizes.values())
