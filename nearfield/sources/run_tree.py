@@ -53,14 +53,20 @@ def with_path_keys(df: DataFrame) -> DataFrame:
     return df.select("*", part(1).alias("path_machine"), part(2).alias("path_sha"), part(3).alias("path_run"))
 
 
-def _csv(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+def _csv(spark: SparkSession, root: str | list[str], name: str, schema: str) -> DataFrame:
     """All files of a name under a root. Columns are found by the header, which may have hyphens or lack later columns."""
     reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).option("mode", "DROPMALFORMED")
     return reader.schema(schema).csv(root)
 
 
-def read_raw(spark: SparkSession, root: str, name: str = "raw.csv") -> DataFrame:
-    return with_path_keys(_csv(spark, root, name, RAW_SCHEMA))
+def read_raw(spark: SparkSession, root: str, name: str = "raw.csv", runs: DataFrame | None = None) -> DataFrame:
+    """All rows under a root, or those of ``runs`` (path_machine, path_sha, path_run) alone, whose folders are the only ones that are listed and read."""
+    if runs is None:
+        return with_path_keys(_csv(spark, root, name, RAW_SCHEMA))
+    picked = runs.select("path_machine", "path_sha", "path_run").distinct().collect()  # a catalogue's filter leaves few runs
+    if not picked:
+        return with_path_keys(_csv(spark, root, name, RAW_SCHEMA)).limit(0)
+    return with_path_keys(_csv(spark, [f"{root}/{r[0]}/{r[1]}/{r[2]}" for r in picked], name, RAW_SCHEMA))
 
 
 def read_legacy_raw(spark: SparkSession, path: str) -> DataFrame:

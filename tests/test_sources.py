@@ -183,6 +183,19 @@ def test_written_runs_are_read_again(spark, tmp_path):
     assert (row["run_id"], row["git_dirty"], row["duration_secs"], row["status"]) == ("17", False, 9, "complete")
 
 
+def test_only_the_folders_of_picked_runs_are_read(spark, tmp_path):
+    for run in ("1", "2", "3"):
+        d = tmp_path / "m" / "s" / run
+        d.mkdir(parents=True)
+        header = [x.split()[0] for x in run_tree.RAW_SCHEMA.replace("\n", " ").split(",")]
+        (d / "raw.csv").write_text(f"{','.join(header)}\n{run}{',' * (len(header) - 1)}\n")
+    runs = spark.createDataFrame([("m", "s", "1"), ("m", "s", "3")], "path_machine string, path_sha string, path_run string")
+    rows = run_tree.read_raw(spark, str(tmp_path), runs=runs)
+    assert sorted((r["run_id"], r["path_run"]) for r in rows.collect()) == [("1", "1"), ("3", "3")]
+    assert len(rows.inputFiles()) == 2 and run_tree.read_raw(spark, str(tmp_path)).count() == 3
+    assert run_tree.read_raw(spark, str(tmp_path), runs=runs.limit(0)).count() == 0
+
+
 def test_metadata_documents_are_replaced_whole(spark, tmp_path):
     root = tmp_path / "m1" / "sha1" / "18"
     root.mkdir(parents=True)
