@@ -193,3 +193,10 @@ def test_ranks_say_what_a_wording_saves():
     words = licenses._words.findall(licenses.WORDINGS[0][1].lower())
     order = licenses.ranked(words)
     assert len(order) == len(licenses.WORDINGS) and order[0][0] == 0 and [x for _, x in order] == sorted((x for _, x in order), reverse=True)
+
+
+def test_very_long_texts():
+    notice = "Licensed under the Apache License, Version 2.0."
+    text = "words that say nothing about a license of any kind " * 40_000 + notice + " more words" * 100_000
+    (s, e, m), = licenses.scan_text(text)
+    assert text[s:e] == notice and m.license == "Apache-2.0"

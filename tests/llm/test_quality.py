@@ -86,3 +86,64 @@ def test_operator_on_edges_and_empty_tables(spark):
 def test_query_columns(spark, sf_dir):
     rows = quality.query(spark, sf_dir).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+
+
+def plain_features(text):
+    """Features of each line of one text by plain loops."""
+    lines = [line.split() for line in (text or "").encode().split(b"\n")]
+    lower = [tuple(w.lower() for w in words) for words in lines]
+    out = []
+    for words, own in zip(lines, lower):
+        data = b"".join(words)
+        n, m = len(data), len(words)
+        kinds = [0] * 8
+        for b in data:
+            c = chr(b)
+            k = 7 if b >= 0x80 else 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c == "|" else 4 if c == "!" else 5 if c in ".,;:?'\"-()" else 6
+            kinds[k] += 1
+        x = [np.log1p(n), np.log1p(m), n / max(m, 1), *(k / max(n, 1) for k in kinds)]
+        x += [sum(own[i] == own[i - lag] for i in range(lag, m)) / max(m, 1) for lag in (1, 2, 3)]
+        x += [float(m > 0 and lower.count(own) > 1), float(m > 0 and words[0][:1].isupper()), float(m > 0 and data[-1:] in (b".", b"!", b"?"))]
+        out.append((x, n))
+    return out
+
+
+def test_features_and_scores_equal_plain_loops(duck):
+    rows = duck.execute("SELECT text FROM documents ORDER BY doc_id LIMIT 60").fetchall()
+    texts = [t for (t,) in rows] + [None, "", "\n\n", "A a A a\na A a A\n\n| x | y |\r\nWAIT!!! 12,5 \t end."]
+    lines = quality.line_features(texts)
+    want = [f for t in texts for f in plain_features(t)]
+    assert len(want) == len(lines.weight) and [n for _, n in want] == lines.weight.tolist()
+    np.testing.assert_allclose(lines.x, np.array([x for x, _ in want], np.float32), rtol=1e-5, atol=1e-6)
+    g = np.random.default_rng(1)
+    field = quality.fit(texts[:40], g.integers(0, 2, 40))
+    score, good = field.scores(lines)
+    for i, t in enumerate(texts):
+        a, z = lines.first[i], lines.first[i + 1]
+        if z - a > 12:
+            continue
+        own = quality.line_features([t])
+        emit = field.w[field.bins(own)].sum(1)
+        p = brute_marginals(emit, field.transition)
+        np.testing.assert_allclose(good[a:z], p, atol=1e-9)
+        total = own.weight.sum()
+        if total:
+            bad = float((own.weight * (1 - p)).sum() / total)
+            z_ = field.curve @ np.array([1, bad, np.log(bad + 1e-3)])
+            assert score[i] == pytest.approx(1 / (1 + np.exp(-z_)), abs=1e-9)
+        else:
+            assert score[i] == field.prior
+
+
+def test_a_repeated_id_trains_once(spark):
+    df = documents(spark, [(1, f"text {i}", "en", "s") for i in range(30)] + [(2, None, "en", "s")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    texts, own = quality.labelled_sample(df, labels, lambda c: c.isNotNull())
+    assert texts == ["text 0", ""] and own.tolist() == [1, 0]
+
+
+def test_very_long_texts():
+    lines = quality.line_features(["a line of words\n" * 60_000, "x" * 2_000_000])
+    field = quality.fit(["good words here.", "bad|bad|bad !!!"] * 20, np.array([1, 0] * 20))
+    score, good = field.scores(lines)
+    assert len(good) == 60_002 and ((0 <= score) & (score <= 1)).all()
