@@ -1,30 +1,77 @@
-"""Connected components of an edge table, by smallest label and pointer jumping."""
+"""Connected components of an edge table: contraction of chunks of edges, then smallest labels and pointer jumping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.session import discard, materialise
+from nearfield.session import discard, materialise, ship
 from nearfield.tables import lookup
 
-#: Edges of one node that one task reads, about.
-EDGES = 50_000
+#: Edges that a task contracts at once, and of one node that one task reads, about.
+CHUNK, EDGES = 250_000, 50_000
+
+
+def smallest_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each reaches) over the edges a - b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        best = np.minimum(label[u], label[v])
+        after = label.copy()
+        for side in (u, v, label[u], label[v]):  # the labels' own nodes too, so that whole components hook on
+            np.minimum.at(after, side, best)
+        after = after[after]
+        if np.array_equal(after, label):
+            return nodes, nodes[label]
+        label = after
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of each chunk of edges by itself."""
+    a, b, n = [], [], 0
+
+    def out() -> pa.RecordBatch:
+        nodes, labels = smallest_labels(np.concatenate(a), np.concatenate(b))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], ["node", "component"])
+
+    for batch in batches:
+        for s in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(s, CHUNK)
+            if n and n + part.num_rows > CHUNK:
+                yield out()
+                a, b, n = [], [], 0
+            a.append(part.column(0).to_numpy())
+            b.append(part.column(1).to_numpy())
+            n += part.num_rows
+    if n:
+        yield out()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) from (a, b): component is the smallest node reachable. Nodes without an edge have no row.
 
-    Edges and labels stay distributed; a round is a join, a partial minimum and a jump to the label's label,
-    so rounds grow with the logarithm of the longest path. Each round's labels are a table in the shared folder.
+    The edges are written once, as tasks that emit spanning forests may emit other ones when they run again. Chunks of at most :data:`CHUNK` edges are
+    contracted to stars where they lie, which shortens all paths; with one chunk that is the result. The stars of several are joined by rounds of
+    a join, a partial minimum and a jump to the label's label, so rounds grow with the logarithm of the longest path that is left. Edges and labels stay distributed.
 
     A centre of many edges is dealt over as many shares as its edges need, and its label goes to each; the nodes of a large component look its label's
     label up in many tasks.
-
-    The edges are written before they are read in both directions: tasks that emit spanning forests may emit other ones when they
-    run again, and directions from different runs would not belong together.
     """
-    given = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).where("node <> near").distinct(), f"{name}-given")
+    ship(edges.sparkSession)
+    given = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).where("node <> near"), f"{name}-given")
+    chunks = max(1, -(-given.count() // CHUNK))
+    stars = materialise(given.coalesce(chunks).mapInArrow(_contract, "node long, component long"), f"{name}-stars")
+    discard(given)
+    return stars if chunks == 1 else _joined(stars.where("node <> component").withColumnRenamed("component", "near"), name)
+
+
+def _joined(given: DataFrame, name: str) -> DataFrame:
     both = given.unionByName(given.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct()
     both = materialise(both.withColumn("share", F.lit(0)), f"{name}-edges")
     hot = materialise(both.groupBy("near").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > EDGES).select("near", F.ceil(F.col("n") / EDGES).cast("int").alias("shares")), f"{name}-hot")

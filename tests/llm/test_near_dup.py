@@ -4,8 +4,9 @@ import re
 import numpy as np
 import pytest
 
+from nearfield.llm import components as component_module
 from nearfield.llm import near_dup, shingles
-from nearfield.llm.components import components
+from nearfield.llm.components import components, smallest_labels
 from tests.llm.helpers import EDGES, WHITE, documents
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -105,7 +106,10 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert looks[-1][1] > 0.5 * near_dup.HASHES
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("chunk,hot", [(250_000, 50_000), (9, 50_000), (20, 8)])
+def test_components_of_paths_and_stars(spark, monkeypatch, chunk, hot):
+    monkeypatch.setattr(component_module, "CHUNK", chunk)
+    monkeypatch.setattr(component_module, "EDGES", hot)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
@@ -164,3 +168,23 @@ def test_rows_that_stay(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert got == sorted([(2, b), (2, c), (None, "alone " * 9), (7, None), (7, ""), (2, "a unique text of its own here")], key=str)
     assert near_dup.keep_one(documents(spark, [])).collect() == []
+
+
+def test_smallest_labels_equal_a_search():
+    g = np.random.default_rng(6)
+    for n, m in ((30, 20), (200, 150), (200, 600), (1000, 900)):
+        a, b = g.integers(0, n, m) * 7 - 50, g.integers(0, n, m) * 7 - 50
+        near = {}
+        for x, y in zip(a.tolist(), b.tolist()):
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+        want = {}
+        for x in sorted(near):
+            stack = [x]
+            while stack:
+                y = stack.pop()
+                if y not in want:
+                    want[y] = x
+                    stack += near[y]
+        nodes, labels = smallest_labels(a, b)
+        assert dict(zip(nodes.tolist(), labels.tolist())) == want
