@@ -59,7 +59,7 @@ LOOK, MISS = 16, 1e-5
 #: Documents in a block, and hub documents of each kind that the blocks of a large cluster share, about.
 BLOCK, HUBS = 128, 8
 #: Documents of a second key whose pairs one task compares by signatures.
-WIDE = 4096
+WIDE = 1024
 #: Buckets of the counts that say how rare a shingle is. Any order is a right one; a bounded table of counts makes it a good one.
 BUCKETS = 1 << 20
 #: Bits of the bitmap of keys that documents outside their cluster's largest component have.
@@ -394,7 +394,7 @@ def _open_parts(placed: DataFrame) -> DataFrame:
     counts = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     whole = counts.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("open"))
     whole = materialise(whole.where("kinds > 1").drop("kinds"), "near-mixed")
-    return lookup(candidates(placed, "cluster", bitmap(whole, "cluster")), "cluster", whole, "doc_id")
+    return lookup(materialise(candidates(placed, "cluster", bitmap(whole, "cluster")), "near-parted"), "cluster", whole, "doc_id")
 
 
 def _crossing(rows: DataFrame, width: int, salt: int) -> DataFrame:
@@ -501,7 +501,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-numbered")
     found = materialise(near_components(numbered, words, percent, row, text_col).select(F.col("doc_id").alias("row"), "component_id"), "near-rows")
     groups = materialise(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id"), "near-groups")
-    placed = lookup(candidates(found, "component_id", bitmap(groups, "component_id")), "component_id", groups, "row")
+    placed = lookup(materialise(candidates(found, "component_id", bitmap(groups, "component_id")), "near-grouped"), "component_id", groups, "row")
     ids = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
     placed = materialise(placed.join(candidates(ids, "row", bitmap(placed, "row")), "row").select("component_id", "row", "id"), "near-placed")
     first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("stays"))
