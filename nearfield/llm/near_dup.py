@@ -439,6 +439,8 @@ def _second_keys(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     met = materialise(_open_parts(apart.unionByName(main).withColumnRenamed("key", "cluster")), "near-keyed")
     signed = _crossing(met, WIDE, 3).join(large.select("doc_id", "sig", F.expr("length(members) div 8").alias("n_shingles")), "doc_id")
     finer = materialise(_by_block(signed, _plausible(percent), "a long, b long", "n_shingles", "left"), "near-plausible", ARROW_ROWS)
+    for held in (shared, asked):  # what they gave is written, so no task reads them again
+        held.destroy()
     discard(known, apart, main, met)
     if not finer.limit(1).count():
         return links

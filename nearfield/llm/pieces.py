@@ -31,7 +31,7 @@ from nearfield.session import ship
 
 MARK = "▁"
 #: Entries that the table of results, and that of pairs, may hold.
-TABLE = 240_000
+TABLE = 180_000
 #: Longer cuts are not kept.
 SHORT = 48
 
