@@ -17,6 +17,8 @@ agree; rows that repeat a doc_id, and those with a null one, are rounded one by
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,13 +44,10 @@ def _placed(sources: DataFrame) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("source").asc_nulls_last()
     dealt = materialise(sources.repartitionByRange(ranges, order).withColumn("range", F.spark_partition_id()), "mix-ranges")
-    before, total = [], 0
-    for r in dealt.groupBy("range").count().orderBy("range").collect():  # at most one row a partition
-        before.append((r["range"], total))
-        total += r["count"]
-    offsets = spark.createDataFrame(before, "range int, before long")
-    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1 + F.col("before")
-    return dealt.join(F.broadcast(offsets), "range").withColumn("place", place).drop("range", "before")
+    counts = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}  # at most one row a partition
+    before = [0, *accumulate(counts.get(i, 0) for i in range(max(counts, default=0)))]
+    first = F.element_at(F.array(*map(F.lit, before)).cast("array<long>"), F.col("range") + 1)
+    return dealt.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1 + first).drop("range")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
