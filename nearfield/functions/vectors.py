@@ -71,8 +71,8 @@ def clamp_dequantise(v: Column, bits: int, p: int) -> Column:
 
 
 def limb(v: Column, i: int, width: int = 4) -> Column:
-    """The i-th limb of a non-negative integer."""
-    return F.shiftrightunsigned(v, width * i).bitwiseAND(F.lit((1 << width) - 1))
+    """The i-th limb of an integer's 64 bits."""
+    return F.shiftrightunsigned(v.cast("long"), width * i).bitwiseAND(F.lit((1 << width) - 1))
 
 
 def pad(v: Column, n: int) -> Column:

@@ -502,12 +502,13 @@ def augmented_query(codes: np.ndarray, place: int, clusters: int) -> np.ndarray:
 
 
 def limbs(v: Column, n: int = 16, width: int = 4) -> Column:
-    """Limbs of a non-negative integer, least first: the clear arithmetic of hint compression, without encryption."""
+    """Limbs of an integer's 64 bits, least first: the clear arithmetic of hint compression, without encryption. Fewer limbs than 64 bits need hold its low bits only."""
     return F.array(*[limb(v, i, width) for i in range(n)])
 
 
 def from_limbs(parts: Column, width: int = 4) -> Column:
-    return F.aggregate(F.reverse(parts), F.lit(0).cast("long"), lambda a, x: a * F.lit(1 << width) + x)
+    """The integer whose limbs these are, of either sign."""
+    return F.aggregate(F.reverse(parts), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, width).bitwiseOR(x))
 
 
 __all__ = ["Asking", "Blinded", "Retrieval", "ScaleKey", "Scheme", "Trapdoor", "mul61", "require_verified", "scale_encrypt", "scale_keygen", "top"]

@@ -213,8 +213,10 @@ def pir_single_cluster_topk(spark, d):
 
 @query("pir_limb_decompose", "SELECT o_orderkey, limb, value, o_orderkey AS back FROM (SELECT o_orderkey, unnest([0, 1, 2, 3, 4]) AS limb, unnest([o_orderkey & 15, (o_orderkey >> 4) & 15, (o_orderkey >> 8) & 15, (o_orderkey >> 12) & 15, (o_orderkey >> 16) & 15]) AS value FROM orders)")
 def pir_limb_decompose(spark, d):
-    parts = schemes.limbs(F.col("o_orderkey"), 5)
-    return table(spark, d, "orders").select("o_orderkey", F.posexplode(parts).alias("limb", "value"), schemes.from_limbs(parts).alias("back"))
+    """The five lowest limbs of each key, and the key put together from all of its limbs, once a row."""
+    whole = table(spark, d, "orders").select("o_orderkey", schemes.limbs(F.col("o_orderkey")).alias("parts"))
+    whole = whole.withColumn("back", schemes.from_limbs(F.col("parts")))
+    return whole.select("o_orderkey", F.posexplode(F.slice("parts", 1, 5)).alias("limb", "value"), "back")
 
 
 # Costs: labels stand for clusters.
